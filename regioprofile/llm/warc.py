@@ -25,8 +25,6 @@ _FILLER = struct.pack("<II", SKIPPABLE, 1)  # its one byte is the line break tha
 #: Pages sampled for the dictionary, the largest page that takes part, and the dictionary's size.
 SAMPLE_PAGES, SAMPLE_BYTES, DICT_BYTES = 300, 32_768, 32_768
 LEVEL = 3
-#: Payload bytes for each archive.
-ARCHIVE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "urn:page:"
 SCHEMA = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
@@ -135,13 +133,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     sums = base.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").cast("long").alias("bytes"))
     first = sums.filter(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("sha1", "first")
     again = sums.filter(F.col("bytes") >= least_bytes).join(first, "sha1").filter(F.col("page_id") != F.col("first")).select("page_id", F.col("first").alias("refers_to")).distinct()
-    total, n = base.agg(F.coalesce(F.sum(F.octet_length("html").cast("long")), F.lit(0)), F.count("*")).first()
-    sent = pages.sparkSession.sparkContext.broadcast(train_dictionary(base, "html", n))
+    sent = pages.sparkSession.sparkContext.broadcast(train_dictionary(base, "html", base.count()))
+    # an archive for each partition of the join; its adaptive partitions have an even size
     together = base.join(again, "page_id", "left")
-    spark = pages.sparkSession
-    parts = max(-(-total // ARCHIVE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 << 20))), 1)
-    together = together.repartition(parts, "page_id", "url")
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = sent.value
         held = zstandard.ZstdCompressionDict(content) if content else None
