@@ -23,8 +23,10 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a text, and shingles in each. At similarity 0.8 two texts share a sketch with a chance of about 0.44, so
 #: that none of 20 is shared in one of 100,000 pairs.
 SKETCHES, TOGETHER = 20, 2
-#: A bucket with more unlinked groups than this is refined by a further sketch before its pairs are compared.
-BUCKET, DEPTH = 16, 3
+#: Within a bucket of at most so many groups that are still unlinked all pairs of groups are compared. In a larger one,
+#: groups are compared with leaders only: its texts share a passage, and those that are similar beyond it also meet in
+#: small buckets, by sketches that reach outside the passage.
+BUCKET = 32
 #: Fixed table: ASCII bytes other than letters and digits separate words.
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Odd multipliers: each orders the (well mixed) labelled shingles in its own way.
@@ -176,7 +178,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _leader_pairs(keys: DataFrame) -> DataFrame:
     """(a, b): each bucket's members b with two leaders a, the smallest id and one that the bucket's key chooses."""
     lead = keys.groupBy("key").agg(F.min("doc_id").alias("a1"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("a2"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    return keys.join(lead, "key").select(F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    led = keys.join(lead, "key").select("a1", "a2", F.col("doc_id").alias("b"))
+    pairs = led.select(F.col("a1").alias("a"), "b").unionByName(led.select(F.col("a2").alias("a"), "b"))
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
@@ -193,16 +197,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     table gives an empty one.
 
     Steps: sketches; classes of equal sequences; buckets of equal sketches, whose members are compared with two leaders
-    each, so that a large group makes pairs in proportion to its size; components; then, within each bucket, pairs of
-    groups that are still apart. Where these are many, the bucket is refined by further sketches first, so that no pair
-    is left out for a bucket's size.
+    each, so that a large group makes pairs in proportion to its size; components; then, within each bucket of at most
+    BUCKET groups that are still apart, all pairs of these.
     """
     made = written(sketches(docs.filter(F.col(doc_id).isNotNull()), doc_id, text), "sketches")
     one = made.groupBy("doc_id").agg(F.min_by(F.struct("h", "n"), F.col("h")).alias("x")).select("doc_id", "x.h", "x.n")
     classes = one.filter(F.col("h").isNotNull()).groupBy("h", "n").agg(F.min("doc_id").alias("rep"))
     reps = classes.join(made, [made["h"] == classes["h"], made["n"] == classes["n"], made["doc_id"] == classes["rep"]]).select("rep", "sketch").dropDuplicates(["rep"])
-    bands = reps.select(F.col("rep").alias("doc_id"), "sketch", F.posexplode("sketch").alias("band", "s"))
-    bands = bands.select("doc_id", "sketch", "band", F.xxhash64("band", "s").alias("key"))
+    bands = reps.select(F.col("rep").alias("doc_id"), F.posexplode("sketch").alias("band", "s")).select("doc_id", F.xxhash64("band", "s").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     keys = written(bands.join(shared, "key"), "buckets")
 
@@ -211,24 +213,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = written(_verified(pairs, texts), "links").select("a", "b")
 
-    keys = written(_with_component(keys, links), "apart")
-    done = pairs
-    for depth in range(DEPTH + 1):
-        groups = keys.groupBy("key").agg(F.approx_count_distinct("c").alias("groups"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-        keys = written(keys.join(groups.select("key", "groups"), "key"), "apart")
-        if keys.isEmpty():
-            break
-        small = keys.filter(F.col("groups") <= BUCKET) if depth < DEPTH else keys
-        # a group's members within a bucket are compared through its smallest one there
-        own = small.groupBy("key", "c").agg(F.min("doc_id").alias("doc_id"))
-        more = own.alias("x").join(own.select("key", F.col("c").alias("c2"), F.col("doc_id").alias("b")).alias("y"), "key").filter("c < c2").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-        more = written(more.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.unionByName(_verified(more, texts).select("a", "b")), "links")
-        done = done.unionByName(more)
-        if depth == DEPTH:
-            break
-        large = keys.filter(F.col("groups") > BUCKET).select("doc_id", "sketch", "band", F.col("key").alias("outer"), F.posexplode("sketch").alias("next", "s")).filter("next > band")
-        keys = _with_component(large.select("doc_id", "sketch", F.col("next").alias("band"), F.xxhash64("outer", "next", "s").alias("key")), links)
+    # buckets in which few groups are still apart: all pairs of them, each group by its smallest member there
+    own = written(_with_component(keys.select("key", "doc_id"), links).groupBy("key", "c").agg(F.min("doc_id").alias("doc_id")), "apart")
+    few = own.groupBy("key").agg(F.count("*").alias("groups")).filter(F.col("groups").between(2, BUCKET)).select("key")
+    own = written(own.join(few, "key"), "apart")
+    other = own.select("key", F.col("c").alias("c2"), F.col("doc_id").alias("b"))
+    more = own.join(other, "key").filter("c < c2").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = written(links.unionByName(_verified(more, texts).select("a", "b")), "links")
 
     label = components(links)
     x = one.join(classes, ["h", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n")
