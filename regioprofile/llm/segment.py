@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -329,10 +330,15 @@ def decode(df: DataFrame, model: str, ids: str = "ids", into: str = "text") -> D
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _pieces(model).bytes
+        table = pa.array(_pieces(model).bytes, pa.large_binary())
         for batch in batches:
-            own = batch.column(ids)
-            texts = [None if x is None else b"".join(map(table.__getitem__, x)).decode("utf-8", "replace").removeprefix(" ") for x in (own.slice(k, 1).to_pylist()[0] for k in range(len(own)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, into])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                own = part.column(ids)
+                offsets = own.offsets.to_numpy().astype(np.int64)
+                spelled = table.take(own.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])))
+                whole = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets - offsets[0]), spelled), b"").to_pylist()
+                texts = [None if none else x.decode("utf-8", "replace").removeprefix(" ") for x, none in zip(whole, own.is_null().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, into])
 
     return df.select(*[f"`{c}`" for c in rest], ids).mapInArrow(run, (kinds + ", " if kinds else "") + f"`{into}` string")
