@@ -337,7 +337,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", into: str = "text") -> D
                 own = part.column(ids)
                 offsets = own.offsets.to_numpy().astype(np.int64)
                 spelled = table.take(own.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])))
-                whole = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets - offsets[0]), spelled), b"").to_pylist()
+                whole = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets - offsets[0]), spelled), pa.scalar(b"", pa.large_binary())).to_pylist()
                 texts = [None if none else x.decode("utf-8", "replace").removeprefix(" ") for x, none in zip(whole, own.is_null().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, into])
 
