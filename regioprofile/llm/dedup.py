@@ -23,10 +23,11 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a text, and shingles in each. At similarity 0.8 two texts share a sketch with a chance of about 0.44, so
 #: that none of 20 is shared in one of 100,000 pairs.
 SKETCHES, TOGETHER = 20, 2
-#: Within a bucket of at most so many groups that are still unlinked all pairs of groups are compared. In a larger one,
-#: groups are compared with leaders only: its texts share a passage, and those that are similar beyond it also meet in
-#: small buckets, by sketches that reach outside the passage.
+#: A bucket of at most so many texts, some of which are still apart, is compared pair by pair; the texts of larger ones
+#: are compared where they share one of their rarest shingles, which loses no similar pair (see _rarest).
 BUCKET = 32
+#: Counters of shingles, by fingerprint modulo this number. They only order the shingles: any order gives the same links.
+COUNTERS = 1 << 18
 #: Fixed table: ASCII bytes other than letters and digits separate words.
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Odd multipliers: each orders the (well mixed) labelled shingles in its own way.
@@ -184,10 +185,70 @@ def _leader_pairs(keys: DataFrame) -> DataFrame:
 
 
 def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with c, the component of their doc_id."""
     label = components(links)
+    keys = keys.drop("c")
     return keys.join(label, keys["doc_id"] == label["node"], "left").select(*keys.columns, F.coalesce("component", "doc_id").alias("c"))
 
 
+def _apart(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """key of the buckets with members of different components; `few` tells whether they have `most` members or fewer."""
+    x = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low <> high")
+    return x.select("key", (F.col("m") <= most).alias("few")) if most else x.select("key")
+
+
+def _pairs_apart(keys: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket that are in different components and of lengths that allow a link."""
+    other = keys.select("key", F.col("c").alias("c2"), F.col("doc_id").alias("b"), F.col("n").alias("n2"))
+    near = F.least("n", "n2") >= SIMILAR * F.greatest("n", "n2") - 1e-6
+    return keys.join(other, "key").filter((F.col("c") < F.col("c2")) & near).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+
+
+def _counted(texts: DataFrame) -> np.ndarray:
+    """COUNTERS sums over all labelled shingles of the texts: of fixed size, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, some in in_pieces(batch.column(0).to_pylist()):
+                if own := [labelled(x) for x in shingle_sequences(some) if len(x)]:
+                    sums += np.bincount((np.concatenate(own) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["slot", "n"])
+
+    got = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(COUNTERS, np.int64)
+    sums[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return sums
+
+
+def _rarest(texts: DataFrame) -> DataFrame:
+    """key, doc_id, n, c: for each text of n shingles its 0.2 n + 1 rarest labelled shingles, as keys.
+
+    Texts of similarity 0.8 share at least 0.8 of the longer one's labelled shingles; so, in any fixed order of all
+    shingles, the first 0.2 n + 1 of both have one in common. With rare ones first, a passage that many texts share
+    only comes up in texts that hardly have anything else.
+    """
+    spark, kind = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()
+    sums = spark.sparkContext.broadcast(_counted(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, some in in_pieces(batch.column(2).to_pylist()):
+                own, sizes, lengths = [np.empty(0, np.uint64)], [], []
+                for x in shingle_sequences(some):
+                    y = labelled(x) if len(x) else x
+                    size = int((1 - SIMILAR) * len(y) + 1e-9) + 1 if len(y) else 0
+                    own.append(y[np.lexsort((y, sums.value[(y % np.uint64(COUNTERS)).astype(np.int64)]))[:size]])
+                    sizes.append(size)
+                    lengths.append(len(y))
+                at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                doc, c = (batch.column(k).slice(first, len(some)).take(at) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), doc, pa.array(np.repeat(lengths, sizes), pa.int32()), c], ["key", "doc_id", "n", "c"])
+
+    return texts.select("doc_id", "c", "text").mapInArrow(run, f"key long, doc_id {kind}, n int, c {kind}")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id, kept, n_shingles: a row for each distinct non-null id.
 
@@ -197,14 +258,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     table gives an empty one.
 
     Steps: sketches; classes of equal sequences; buckets of equal sketches, whose members are compared with two leaders
-    each, so that a large group makes pairs in proportion to its size; components; then, within each bucket of at most
-    BUCKET groups that are still apart, all pairs of these.
+    each, so that a large group makes pairs in proportion to its size; components. Of the buckets with members that are
+    still apart, small ones are compared pair by pair. The texts of larger ones, which mostly share a passage only, meet
+    again by their rarest shingles, first with leaders, then all that are still apart. So every pair that shares a
+    sketch ends up in one component or has been found to be below the similarity, whatever its bucket's size.
     """
     made = written(sketches(docs.filter(F.col(doc_id).isNotNull()), doc_id, text), "sketches")
     one = made.groupBy("doc_id").agg(F.min_by(F.struct("h", "n"), F.col("h")).alias("x")).select("doc_id", "x.h", "x.n")
     classes = one.filter(F.col("h").isNotNull()).groupBy("h", "n").agg(F.min("doc_id").alias("rep"))
-    reps = classes.join(made, [made["h"] == classes["h"], made["n"] == classes["n"], made["doc_id"] == classes["rep"]]).select("rep", "sketch").dropDuplicates(["rep"])
-    bands = reps.select(F.col("rep").alias("doc_id"), F.posexplode("sketch").alias("band", "s")).select("doc_id", F.xxhash64("band", "s").alias("key"))
+    reps = classes.withColumnRenamed("rep", "doc_id").join(made, ["doc_id", "h", "n"]).dropDuplicates(["doc_id"])
+    bands = reps.select("doc_id", "n", F.posexplode("sketch").alias("band", "s")).select("doc_id", "n", F.xxhash64("band", "s").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     keys = written(bands.join(shared, "key"), "buckets")
 
@@ -213,14 +276,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = written(_verified(pairs, texts), "links").select("a", "b")
 
-    # buckets in which few groups are still apart: all pairs of them, each group by its smallest member there
-    own = written(_with_component(keys.select("key", "doc_id"), links).groupBy("key", "c").agg(F.min("doc_id").alias("doc_id")), "apart")
-    few = own.groupBy("key").agg(F.count("*").alias("groups")).filter(F.col("groups").between(2, BUCKET)).select("key")
-    own = written(own.join(few, "key"), "apart")
-    other = own.select("key", F.col("c").alias("c2"), F.col("doc_id").alias("b"))
-    more = own.join(other, "key").filter("c < c2").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+    # buckets with members that are still apart
+    keys = _with_component(keys, links)
+    keys = written(keys.join(_apart(keys, BUCKET), "key"), "apart")
+    more = _pairs_apart(keys.filter("few"))
+    crowd = keys.filter("not few").select("doc_id", "c").distinct()
+    crowded = not crowd.isEmpty()
+    if crowded:
+        rare = _rarest(written(texts.join(crowd, "doc_id"), "crowd"))
+        rare = written(rare, "rare")
+        rare = written(rare.join(_apart(rare), "key"), "rare")
+        more = more.unionByName(_leader_pairs(rare.select("key", "doc_id"))).distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = written(links.unionByName(_verified(more, texts).select("a", "b")), "links")
+    if crowded:
+        rare = written(_with_component(rare, links), "rare")
+        rest = _pairs_apart(rare.join(_apart(rare), "key"))
+        rest = written(rest.join(pairs.unionByName(more), ["a", "b"], "left_anti"), "pairs")
+        links = written(links.unionByName(_verified(rest, texts).select("a", "b")), "links")
 
     label = components(links)
     x = one.join(classes, ["h", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n")
