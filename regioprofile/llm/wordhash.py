@@ -17,7 +17,7 @@ _POWERS: list[np.ndarray] = []
 #: Fixed value: the bytes that separate words.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are hashed together.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
