@@ -26,7 +26,7 @@ SPACE = "▁"
 #: Paths for each text, and how strongly frequent pieces are preferred (weight = (10 + rank) ** -SHARP).
 PATHS, SHARP = 2, 0.4
 #: Characters of text whose lattices are held together.
-PIECE_CHARS = 3_000_000
+PIECE_CHARS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIER = np.uint64(0x100000001B3)
 _ALL = (1 << 64) - 1
