@@ -26,8 +26,9 @@ SKETCHES, TOGETHER = 20, 2
 #: A bucket of at most so many texts, some of which are still apart, is compared pair by pair; the texts of larger ones
 #: are compared where they share one of their rarest shingles, which loses no similar pair (see _rarest).
 BUCKET = 32
-#: Counters of shingles, by fingerprint modulo this number. They only order the shingles: any order gives the same links.
-COUNTERS = 1 << 18
+#: Counters of shingles, by fingerprint modulo this number, 16 bits each. They order the shingles and show those that occur
+#: once; with more shingles than counters fewer of these are seen, at the same links.
+COUNTERS = 1 << 22
 #: Fixed table: ASCII bytes other than letters and digits separate words.
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Odd multipliers: each orders the (well mixed) labelled shingles in its own way.
@@ -205,29 +206,32 @@ def _pairs_apart(keys: DataFrame) -> DataFrame:
 
 
 def _counted(texts: DataFrame) -> np.ndarray:
-    """COUNTERS sums over all labelled shingles of the texts: of fixed size, whatever the input."""
+    """COUNTERS sums over all labelled shingles of the texts, up to 65,535, and 0 for 1: of fixed size, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(COUNTERS, np.int64)
+        sums = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for _, some in in_pieces(batch.column(0).to_pylist()):
                 if own := [labelled(x) for x in shingle_sequences(some) if len(x)]:
-                    sums += np.bincount((np.concatenate(own) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                    at, n = np.unique(np.concatenate(own) % np.uint64(COUNTERS), return_counts=True)
+                    sums[at.astype(np.int64)] += n.astype(np.int32)
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int32())], ["slot", "n"])
 
-    got = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(COUNTERS, np.int64)
+    made = texts.select("text").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
+    got = made.select("slot", F.least("n", F.lit(0xFFFF)).cast("int").alias("n")).toArrow()
+    sums = np.zeros(COUNTERS, np.uint16)
     sums[got["slot"].to_numpy()] = got["n"].to_numpy()
     return sums
 
 
 def _rarest(texts: DataFrame) -> DataFrame:
-    """key, doc_id, n, c: for each text of n shingles its 0.2 n + 1 rarest labelled shingles, as keys.
+    """key, doc_id, n, c: the labelled shingles among the 0.2 n + 1 rarest of each text of n that others may have, as keys.
 
     Texts of similarity 0.8 share at least 0.8 of the longer one's labelled shingles; so, in any fixed order of all
     shingles, the first 0.2 n + 1 of both have one in common. With rare ones first, a passage that many texts share
-    only comes up in texts that hardly have anything else.
+    only comes up in texts that hardly have anything else. A shingle whose counter shows a single occurrence is in no
+    second text, so it is no key.
     """
     spark, kind = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()
     sums = spark.sparkContext.broadcast(_counted(texts))
@@ -238,9 +242,10 @@ def _rarest(texts: DataFrame) -> DataFrame:
                 own, sizes, lengths = [np.empty(0, np.uint64)], [], []
                 for x in shingle_sequences(some):
                     y = labelled(x) if len(x) else x
-                    size = int((1 - SIMILAR) * len(y) + 1e-9) + 1 if len(y) else 0
-                    own.append(y[np.lexsort((y, sums.value[(y % np.uint64(COUNTERS)).astype(np.int64)]))[:size]])
-                    sizes.append(size)
+                    times = sums.value[(y % np.uint64(COUNTERS)).astype(np.int64)]
+                    order = np.lexsort((y, times))[: int((1 - SIMILAR) * len(y) + 1e-9) + 1]
+                    own.append(y[order[times[order] > 0]])
+                    sizes.append(len(own[-1]))
                     lengths.append(len(y))
                 at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
                 doc, c = (batch.column(k).slice(first, len(some)).take(at) for k in (0, 1))
