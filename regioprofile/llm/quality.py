@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries hold labelled text, one of each class. The difference of the two compressed sizes, divided by
 the text's own size, is turned into a probability by a logistic curve, fitted on labelled rows that went into neither
-dictionary.
+dictionary. Texts are compressed in blocks, each against the whole dictionaries, because zstandard forgets a dictionary
+once a text has filled its window: so every part of a text of any length counts alike.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import bounded_sample
 SAMPLE_ROWS, SLICE_BYTES, DICT_BYTES = 3000, 1000, 600_000
 #: Compression level; from 6 on the matches are good enough to tell the classes apart.
 LEVEL = 6
+#: Bytes compressed in one call, far below the level's window of 2 MiB; the sizes of a text's blocks are summed.
+BLOCK_BYTES = 256 * 1024
 
 
 @dataclass
@@ -50,7 +53,8 @@ class Scorer:
         out[:, 0] = 1
         for i, t in enumerate(texts):
             if b := t.encode("utf-8", "surrogatepass"):
-                g, w = len(self.good.compress(b)), len(self.bad.compress(b))
+                blocks = [b[k : k + BLOCK_BYTES] for k in range(0, len(b), BLOCK_BYTES)]
+                g, w = (sum(len(c.compress(x)) for x in blocks) for c in (self.good, self.bad))
                 out[i, 1:] = (w - g) / len(b), (w - g) / (w + g)
         return out
 

@@ -100,6 +100,16 @@ def test_quality_on_held_out_rows(spark, odd):
     assert quality.with_quality(odd, quality.fit(odd.limit(0).withColumn("quality", F.lit(1)))).count() == 7
 
 
+def test_quality_counts_the_end_of_a_long_text():
+    rng = random.Random(1)
+    lists = [["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3000)] for _ in range(3)]
+    text = lambda k, size: " ".join(rng.choice(lists[k]) for _ in range(size // 8))
+    scorer = quality.Scorer(quality.Model(text(0, 600_000).encode(), text(1, 600_000).encode(), (0.0, 0.0, 0.0)))
+    short, filler = text(0, 300_000), text(2, 3_000_000)
+    gain = lambda t: scorer.features([t])[0, 1] * len(t)
+    assert gain(short) > 1000 and abs(gain(filler + short) - gain(filler) - gain(short)) < 0.2 * gain(short)
+
+
 def test_licences(docs, odd):
     model = licenses.train(docs)
     got = {(r.doc_id, r.family, r.start, r.length) for r in licenses.scan(docs, model).collect() if r.confirmed}
