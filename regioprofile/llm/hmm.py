@@ -1,8 +1,10 @@
 """Hidden Markov language model over words: Baum-Welch counts summed across partitions, exact scaled forward scores.
 
 Symbols of the model are the most frequent training words, one class for each group of the rarer words (by their last
-two bytes), and the end of a text. A rarer word's probability is that of its class times its smoothed share of the
-class, so the scores are probabilities over the same words as the unigram base: V known ones and one for the rest.
+two bytes), and the end of a text. A rarer word's probability in a state is that of its class times its smoothed share of
+the class in that state, so every training word has emissions of its own and the scores are probabilities over the same
+words as the unigram base: V known ones and one for the rest. The rarer words' expected counts are a distributed table;
+only the head and the classes, a model of fixed size, travel to all tasks.
 """
 
 from __future__ import annotations
@@ -79,8 +81,8 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     return Vocabulary(prints[order], np.array([r["c"] for r in head], float)[order], tokens, words, n_docs, n + n_docs, v + (n_docs > 0))
 
 
-def in_time_order(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """docs, longest first: all first symbols, then all second ones ...; each symbol's doc; docs and place of each time."""
+def in_time_order(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """docs, longest first: all first symbols, then all second ones ...; each symbol's doc; docs and place of each time; where each went."""
     lengths = np.array([len(d) for d in docs])
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
     off = np.concatenate([[0], np.cumsum(active)])
@@ -89,7 +91,7 @@ def in_time_order(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     place = off[time] + doc
     flat, own = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
     flat[place], own[place] = np.concatenate(docs), doc
-    return flat, own, active, off
+    return flat, own, active, off, place
 
 
 def pieces(docs: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -110,6 +112,18 @@ class Model:
     start: np.ndarray
     move: np.ndarray  # from row to column
     emit: np.ndarray  # a row for each state
+    ratio: np.ndarray | None = None  # of symbols: training tokens of a class for each one expected in the state; 0 for others
+
+    def emissions(self, flat: np.ndarray, rare: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+        """A column for each symbol; at the places `rare`, a word's expected counts `own` make its share of its class.
+
+        Of a class with T tokens and W words, a word expected e times in a state that the class is expected A times in
+        has the share (e T / A + 1) / (T + W + 1) there, and an unknown word 1 / (T + W + 1); the divisor is left out.
+        """
+        em = self.emit[:, flat]
+        if own is not None:
+            em[:, rare] *= own * self.ratio[:, flat[rare]] + 1
+        return em
 
     def forward(self, em: np.ndarray, active: np.ndarray, off: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
         """The scale of every step; keep gets the scaled forward probabilities. A column for each symbol in time order."""
@@ -125,14 +139,17 @@ class Model:
                 keep[:, i : i + n] = a
         return scale
 
-    def log10_likelihoods(self, docs: list[np.ndarray]) -> np.ndarray:
-        flat, own, active, off = in_time_order(docs)
-        return np.bincount(own, np.log(self.forward(self.emit[:, flat], active, off)), len(docs)) / LOG10
-
-    def counts(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected starts, moves and emissions; log likelihood."""
-        flat, _, active, off = in_time_order(docs)
-        em, k = self.emit[:, flat], len(self.start)
+    def log10_likelihoods(self, docs: list[np.ndarray], rare: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
+        """rare: places of rarer words in the concatenated docs; own: their expected counts, a row for each state."""
+        flat, of, active, off, place = in_time_order(docs)
+        em = self.emissions(flat, place[:0] if rare is None else place[rare], own)
+        return np.bincount(of, np.log(self.forward(em, active, off)), len(docs)) / LOG10
+
+    def counts(self, docs: list[np.ndarray], rare: np.ndarray | None = None, own: np.ndarray | None = None, at_rare: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected starts, moves and emissions; log likelihood. at_rare gets the posteriors at the places `rare`."""
+        flat, _, active, off, place = in_time_order(docs)
+        at = place[:0] if rare is None else place[rare]
+        em, k = self.emissions(flat, at, own), len(self.start)
         gamma = np.empty((k, len(flat)))  # forward probabilities, turned into posteriors from the last time on
         scale = self.forward(em, active, off, gamma)
         em /= scale
@@ -145,6 +162,8 @@ class Model:
             beta = np.ones((k, active[t]))
             beta[:, :n] = self.move @ ahead
         gamma[:, : active[0]] *= beta
+        if at_rare is not None:
+            at_rare.append(gamma[:, at])
         emitted = np.stack([np.bincount(flat, gamma[s], self.emit.shape[1]) for s in range(k)])
         return gamma[:, : active[0]].sum(1), moves * self.move, emitted, float(np.log(scale).sum())
 
@@ -192,51 +211,103 @@ def lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def train_model(codes: DataFrame, voc: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
-    """Baum-Welch over the coded training rows; each round's log likelihood before it.
+def with_words(codes: DataFrame, words: DataFrame | None, columns: list[str]) -> DataFrame:
+    """codes with `own`: place among the row's rare words, and columns, of those that the table `words` has.
+
+    Two shuffle joins, by fingerprint and by row; no table of words is held in a task. Without `words`, own is null.
+    """
+    if words is None:
+        fields = ", ".join(f"{c}: double" for c in columns).replace(": ", ":")
+        return codes.withColumn("own", F.lit(None).cast(f"array<struct<at:int,{fields}>>"))
+    found = codes.select("row", F.posexplode("rare").alias("at", "word")).join(words, "word")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("at", *columns)).alias("own"))
+    return codes.join(found, "row", "left")
+
+
+def rare_words(batch: pa.RecordBatch, names: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each row of columns (rare, own): fingerprints, and own's values as rows of an array, 0 for words that it lacks."""
+    words, out = lists(batch.column("rare")), []
+    own = batch.column("own")
+    fields = own.values.flatten() if len(own.values) else None
+    starts, null = own.offsets.to_numpy(), own.is_null().to_numpy(zero_copy_only=False)
+    columns = [f.to_numpy(zero_copy_only=False) for f in fields] if fields else []
+    for i, w in enumerate(words):
+        x = np.zeros((len(names), len(w)))
+        a, b = starts[i], starts[i + 1]
+        if b > a and not null[i]:
+            x[:, columns[0][a:b]] = [c[a:b] for c in columns[1:]]
+        out.append(x)
+    return words, out
+
+
+def joined(parts: list[np.ndarray], at: list[int]) -> np.ndarray:
+    return np.concatenate([parts[i] for i in at], axis=-1)
+
+
+def train_model(codes: DataFrame, voc: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame | None, list[float]]:
+    """Baum-Welch over the coded training rows; the rarer words' expected counts; each round's log likelihood before it.
 
     A task sums its own expected counts; one row for each symbol and task is shuffled, and the sums, as many as the
-    bounded model has symbols, come to the driver.
+    bounded model has symbols, come to the driver. Those of the rarer words are summed by word and stay a table, which
+    the next round joins with the texts. In the first round a rarer word's share of its class is alike in all states
+    and moves no posterior, so it is left out there, from the likelihood too. Without rarer words there is no table.
     """
-    model, seen = first_model(voc, states), []
+    model, seen, words = first_model(voc, states), [], None
     columns = [f"s{k}" for k in range(states)]
     prior = np.concatenate([voc.head_counts, voc.class_tokens, [voc.ends]]) + 0.5
     prior /= prior.sum()
+    head, some_rare = len(voc.head), bool(voc.class_words.sum())
     for _ in range(rounds):
         sent = codes.sparkSession.sparkContext.broadcast(model)
+        first = words is None
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = sent.value
             k, size = m.emit.shape
+            names = ["symbol", "word", *columns]
             total = np.zeros((k, size + k + 2))  # emissions, moves, starts, log likelihood
             for batch in batches:
-                for _at, docs in pieces(lists(batch.column(0))):
-                    start, moves, emitted, ll = m.counts(docs)
+                prints, own = rare_words(batch, columns)
+                for at, docs in pieces(lists(batch.column("codes"))):
+                    flat = np.concatenate(docs)
+                    rare, posteriors = np.flatnonzero((flat >= head) & (flat < size - 1)), []
+                    start, moves, emitted, ll = m.counts(docs, rare, None if first else joined(own, at), posteriors)
                     total[:, :size] += emitted
                     total[:, size : size + k] += moves.T
                     total[:, -2] += start
                     total[0, -1] += ll
+                    if len(rare):
+                        one, of = np.unique(joined(prints, at), return_inverse=True)
+                        sums = [np.bincount(of, g, len(one)) for g in posteriors[0]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), -1, np.int32)), pa.array(one), *map(pa.array, sums)], names)
             some = np.flatnonzero(total.any(0))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(total[s, some]) for s in range(k)]], ["symbol", *[f"s{s}" for s in range(k)]])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.zeros(len(some), np.int64)), *[pa.array(total[s, some]) for s in range(k)]], names)
 
-        sums = codes.filter("train").select("codes").mapInArrow(expect, "symbol int, " + ", ".join(f"{c} double" for c in columns))
+        x = with_words(codes.filter("train"), words, columns).select("codes", "rare", "own")
+        sums = x.mapInArrow(expect, "symbol int, word long, " + ", ".join(f"{c} double" for c in columns))
+        sums = written(sums.groupBy("symbol", "word").agg(*[F.sum(c).alias(c) for c in columns]), "expected")
         total = np.zeros((states, voc.size + states + 2))
-        for r in sums.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).collect():  # at most a row for each symbol
+        for r in sums.filter("symbol >= 0").drop("word").collect():  # at most a row for each symbol
             total[:, r[0]] = r[1:]
+        if some_rare:
+            words = sums.filter("symbol < 0").select("word", *columns)
         emit = total[:, : voc.size] + 0.1 * prior * states
         move, start = total[:, voc.size : voc.size + states].T + 0.1, total[:, -2] + 0.1
         seen.append(float(total[0, -1]))
-        model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-    return model, seen
+        ratio = np.zeros_like(emit)
+        ratio[:, head:-1] = voc.class_tokens / np.maximum(total[:, head : voc.size - 1], 1e-300)
+        model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), ratio)
+    return model, words, seen
 
 
-def score(codes: DataFrame, counts: DataFrame, voc: Vocabulary, model: Model) -> DataFrame:
+def score(codes: DataFrame, counts: DataFrame, voc: Vocabulary, model: Model, words: DataFrame | None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: a row for each coded row.
 
     A text of any length is one exact forward recursion. Words outside the head get their counts by a shuffle join.
     """
     sent = codes.sparkSession.sparkContext.broadcast((voc, model))
     kind = codes.schema["doc_id"].dataType.simpleString()
+    columns = ["c", *(f"s{k}" for k in range(len(model.start)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = sent.value
@@ -245,29 +316,27 @@ def score(codes: DataFrame, counts: DataFrame, voc: Vocabulary, model: Model) ->
         within = np.concatenate([np.zeros(head), -np.log10(v.class_tokens + v.class_words + 1), [0.0]])
         known_of = np.concatenate([np.ones(head), np.zeros(CLASSES), [float(v.ends > 0)]])
         for batch in batches:
-            for at, docs in pieces(lists(batch.column(2))):
+            _, owns = rare_words(batch, columns)
+            for at, docs in pieces(lists(batch.column("codes"))):
                 sizes = np.array([len(d) for d in docs])
-                flat, own = np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
-                known, base, inner = (np.bincount(own, x[flat], len(docs)) for x in (known_of, base_of, within))
+                flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
+                rare, own = np.flatnonzero((flat >= head) & (flat < v.size - 1)), joined(owns, at)
+                known, base, inner = (np.bincount(of, x[flat], len(docs)) for x in (known_of, base_of, within))
+                known += np.bincount(of[rare], own[0] > 0, len(docs))
+                base += np.bincount(of[rare], np.log10(own[0] + 1), len(docs))
+                found = m.log10_likelihoods(docs, rare, own[1:] if m.ratio is not None else None)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(pa.array(at)) for k in (0, 1)), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(m.log10_likelihoods(docs) + inner)],
-                    ["row", "doc_id", "n_tokens", "known", "base", "score"],
+                    [batch.column("doc_id").take(pa.array(at)), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(found + inner)],
+                    ["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
-    done = codes.select("row", "doc_id", "codes").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double")
-    rare = codes.select("row", F.explode("rare").alias("word"))
-    # words that training lacks add log10(0 + 1) = 0, so the inner join loses nothing
-    found = rare.join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("more_known"))
-    x = done.join(found, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return x.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(voc.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
-    )
+    if words is None and voc.class_words.sum():  # no round was made
+        words = counts.select("word", *[F.lit(0.0).alias(c) for c in columns[1:]])
+    # words that training lacks have no row there: they count 0, and their share of the class is the unknown word's
+    known = None if words is None else words.join(counts.select("word", F.col("c").cast("double").alias("c")), "word")
+    x = with_words(codes, known, columns).select("doc_id", "codes", "rare", "own")
+    x = x.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return x.select("doc_id", "n_tokens", "n_known", F.lit(voc.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def fit_and_score(docs: DataFrame, is_train, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -281,5 +350,5 @@ def fit_and_score(docs: DataFrame, is_train, doc_id: str = "doc_id", text: str =
     counts = written(count_words(train, text), "words")
     voc = vocabulary(counts, train.count())
     codes = coded(docs, voc, is_train, doc_id, text)
-    model, _ = train_model(codes, voc, states, rounds)
-    return score(codes, counts, voc, model)
+    model, words, _ = train_model(codes, voc, states, rounds)
+    return score(codes, counts, voc, model, words)

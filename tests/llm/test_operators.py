@@ -304,6 +304,17 @@ def test_hidden_markov_scores(docs, odd):
     assert hmm.fit_and_score(odd.limit(0), F.lit(True)).count() == 0
 
 
+def test_hidden_markov_words_outside_the_head_have_states(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 20)
+    rng = random.Random(4)
+    text = lambda k, n: " ".join(f"{k}{rng.randint(0, 9)}" for _ in range(n))
+    rows = [(i, f"{text(k, 8)} {w} {text(k, 8)}") for i in range(200) for k, w in (("a", "foozz"), ("b", "barzz"))]
+    rows += [(1000, "a1 a2 a3 foozz a4 a5"), (1001, "a1 a2 a3 barzz a4 a5"), (1002, "a1 a2 a3 newzz a4 a5")]
+    got = {r.doc_id: r for r in hmm.fit_and_score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert abs(got[1000].base_score - got[1001].base_score) < 1e-9 and got[1002].n_known == got[1000].n_known - 1
+    assert got[1000].score > got[1001].score + 1 and got[1000].score > got[1002].score + 1
+
+
 def test_forward_and_counts_equal_enumeration():
     rng = np.random.default_rng(0)
     m = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3))
