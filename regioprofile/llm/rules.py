@@ -19,14 +19,15 @@ MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 SKETCH_K = 4096
 #: A group with fewer rows takes the cutoffs of its language, and a language with fewer those of all rows.
 MIN_GROUP = 200
-#: Measure: (quantile that stands for the bulk, allowed factor of the quartile distance, least slack).
-#: Upper cutoff = q75 + factor * (q75 - q25) + slack; a measure that has a lower cutoff mirrors it below q25.
+#: Measure: (lower and upper quantile q and r around the bulk, allowed factor of their distance, least slack).
+#: Upper cutoff = r + factor * (r - q) + slack; a measure that has a lower cutoff mirrors it below q. Most texts repeat
+#: nothing, so that the quartiles of the two shares of repetition are 0: their groups' upper quantiles decide.
 CUTOFFS = {
-    "symbol_share": (4.0, 0.02),
-    "upper_share": (4.0, 0.10),
-    "dup_line_share": (4.0, 0.25),
-    "repeat_share": (4.0, 0.40),
-    "mean_word": (4.0, 1.0),
+    "symbol_share": (0.25, 0.75, 4.0, 0.02),
+    "upper_share": (0.25, 0.75, 4.0, 0.10),
+    "dup_line_share": (0.50, 0.95, 1.0, 0.05),
+    "repeat_share": (0.50, 0.95, 1.0, 0.05),
+    "mean_word": (0.25, 0.75, 4.0, 1.0),
 }
 LOWER = ("mean_word",)
 
@@ -74,7 +75,7 @@ def measures(text: Column) -> Column:
             _let(words, counts).alias("of_words"),
             without(SYMBOLS).alias("n_symbols"),
             without(r"\p{Lu}").alias("n_upper"),
-            _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("of_lines"),
         )
 
     return _let(F.coalesce(text, F.lit("")), of)
@@ -87,7 +88,7 @@ def _shares(df: DataFrame) -> DataFrame:
         {
             "_symbol_share": share("_m.n_symbols", chars),
             "_upper_share": share("_m.n_upper", chars),
-            "_dup_line_share": share("_m.n_dup_lines", n),
+            "_dup_line_share": share("_m.of_lines.n_dup_lines", F.col("_m.of_lines.n_lines").cast("double")),
             "_repeat_share": share("_m.of_words.n_repeat_words", n),
             "_mean_word": F.coalesce(F.try_divide(chars, n), F.lit(0.0)),
             "_base_failed": (F.col("_m.of_words.n_words") < MIN_WORDS)
@@ -113,8 +114,8 @@ def _limits(measured: DataFrame) -> DataFrame:
     used = F.when(F.col("_own._n") >= MIN_GROUP, F.col("_own")).when(F.col("_by_lang._n") >= MIN_GROUP, F.col("_by_lang")).otherwise(F.col("_of_all"))
     x = x.select(F.col("_lang").alias("_lang1"), F.col("_source").alias("_source1"), used.alias("_used"))
     out = []
-    for m, (factor, slack) in CUTOFFS.items():
-        low, high = (F.kll_sketch_get_quantile_double(F.col(f"_used._{m}"), F.lit(q)) for q in (0.25, 0.75))
+    for m, (lower, upper, factor, slack) in CUTOFFS.items():
+        low, high = (F.kll_sketch_get_quantile_double(F.col(f"_used._{m}"), F.lit(q)) for q in (lower, upper))
         out.append((high + factor * (high - low) + slack).alias(f"_high_{m}"))
         if m in LOWER:
             out.append((low - factor * (high - low) - slack).alias(f"_low_{m}"))
@@ -145,7 +146,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
             reasons.append(F.when(F.col(f"_{m}") < F.col(f"_low_{m}"), F.lit(f"{m}_low")))
     reason = F.coalesce(*reasons)
     verdict = F.struct(
-        "_m.of_words.n_words", "_m.of_words.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.of_words.n_repeat_words",
+        "_m.of_words.n_words", "_m.of_words.word_chars", "_m.n_symbols", "_m.of_lines.n_dup_lines", "_m.of_words.n_repeat_words",
         F.col("_base_failed").alias("base_failed"), reason.isNull().alias("kept"), reason.alias("reason"),
     )
     return x.select(*[F.col("_row")[c].alias(c) for c in keep], verdict.alias("quality_rules"))

@@ -62,6 +62,16 @@ def test_rules_reject_outliers_of_a_group(spark):
     assert [(r.doc_id, r.quality_rules.reason) for r in got.filter("not quality_rules.kept").collect()] == [(999, "symbol_share")]
 
 
+def test_rules_reject_repetition_in_long_lines(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    rows = [(i, "\n".join(words(10) for _ in range(20)), "xx", "s") for i in range(300)]
+    line, part = words(10), words(40)
+    rows += [(998, "\n".join([line] * 5 + [words(10) for _ in range(15)]), "xx", "s"), (999, f"{part} {words(170)} {part}", "xx", "s")]
+    got = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted((r.doc_id, r.quality_rules.reason) for r in got.filter("not quality_rules.kept").collect()) == [(998, "dup_line_share"), (999, "repeat_share")]
+
+
 def test_cross_parsing_equals_substring_search(docs):
     samples = langid.language_samples(docs, chars=4000)
     parser = langid.CrossParser(samples)
