@@ -17,8 +17,8 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 #: Sketch size: quantiles of a group of up to about this many rows are exact.
 SKETCH_K = 4096
-#: A group with fewer rows takes the cutoffs of its language, and a language with fewer those of all rows.
-MIN_GROUP = 200
+#: A group of n rows counts n / (n + PRIOR_ROWS) for its cutoffs and its language the rest; a language likewise with all rows.
+PRIOR_ROWS = 20
 #: Measure: (lower and upper quantile q and r around the bulk, allowed factor of their distance, least slack).
 #: Upper cutoff = r + factor * (r - q) + slack; a measure that has a lower cutoff mirrors it below q. Most texts repeat
 #: nothing, so that the quartiles of the two shares of repetition are 0: their groups' upper quantiles decide.
@@ -98,7 +98,10 @@ def _shares(df: DataFrame) -> DataFrame:
 
 
 def _limits(measured: DataFrame) -> DataFrame:
-    """(_lang, _source, _low_<m>, _high_<m>): cutoffs of each group, from its own or the merged sketches above it."""
+    """(_lang, _source, _low_<m>, _high_<m>): cutoffs of each group, from its own and the merged sketches above it.
+
+    At every size they are weighted means, so that no verdict turns at a certain number of rows.
+    """
     good = measured.filter(~F.col("_base_failed"))
     group = good.groupBy("_lang", "_source").agg(F.count("*").alias("_n"), *[F.kll_sketch_agg_double(f"_{m}", F.lit(SKETCH_K)).alias(f"_{m}") for m in CUTOFFS])
     merged = [F.sum("_n").alias("_n"), *[F.kll_merge_agg_double(f"_{m}", F.lit(SKETCH_K)).alias(f"_{m}") for m in CUTOFFS]]
@@ -111,22 +114,29 @@ def _limits(measured: DataFrame) -> DataFrame:
     x = x.join(own, F.col("_lang").eqNullSafe(F.col("_lang1")) & F.col("_source").eqNullSafe(F.col("_source1")), "left")
     x = x.join(by_lang, F.col("_lang").eqNullSafe(F.col("_lang2")), "left")
     x = x.join(F.broadcast(of_all), F.lit(True), "left")  # a single row: the sketches of all rows
-    used = F.when(F.col("_own._n") >= MIN_GROUP, F.col("_own")).when(F.col("_by_lang._n") >= MIN_GROUP, F.col("_by_lang")).otherwise(F.col("_of_all"))
-    x = x.select(F.col("_lang").alias("_lang1"), F.col("_source").alias("_source1"), used.alias("_used"))
+
+    def mixed(m: str, q: float) -> Column:
+        of = lambda level: F.kll_sketch_get_quantile_double(F.col(f"{level}._{m}"), F.lit(q))
+        out = of("_of_all")
+        for level in ("_by_lang", "_own"):
+            n = F.col(f"{level}._n").cast("double")
+            out = F.when(n > 0, (n * of(level) + PRIOR_ROWS * out) / (n + PRIOR_ROWS)).otherwise(out)
+        return out
+
     out = []
     for m, (lower, upper, factor, slack) in CUTOFFS.items():
-        low, high = (F.kll_sketch_get_quantile_double(F.col(f"_used._{m}"), F.lit(q)) for q in (lower, upper))
+        low, high = mixed(m, lower), mixed(m, upper)
         out.append((high + factor * (high - low) + slack).alias(f"_high_{m}"))
         if m in LOWER:
             out.append((low - factor * (high - low) - slack).alias(f"_low_{m}"))
-    return x.filter(F.col("_used._n") > 0).select("_lang1", "_source1", *out).checkpoint()
+    return x.filter(F.col("_of_all._n") > 0).select(F.col("_lang").alias("_lang1"), F.col("_source").alias("_source1"), *out).checkpoint()
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default) and a struct `quality_rules`: counts, base_failed, kept and the reason.
 
     A row fails the base rule, or lies beyond a cutoff of its (language, source) group. Null text counts as empty (no
-    words, base_failed); null language or source is a group of its own; small groups take merged sketches; equal rows
+    words, base_failed); null language or source is a group of its own; the cutoffs of small groups lean to the merged sketches; equal rows
     get equal verdicts; an empty table gives an empty one. Columns of docs may have any names; one that is called
     quality_rules is replaced.
 

@@ -62,6 +62,16 @@ def test_rules_reject_outliers_of_a_group(spark):
     assert [(r.doc_id, r.quality_rules.reason) for r in got.filter("not quality_rules.kept").collect()] == [(999, "symbol_share")]
 
 
+def test_rules_let_a_small_source_have_its_style(spark):
+    rng = random.Random(5)
+    word = lambda upper: "".join(rng.choice("abcdefgh") for _ in range(5)).capitalize() if upper else "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda upper: " ".join(word(upper) for _ in range(120))
+    for n in (150, 250):  # on both sides of the size at which cutoffs once switched
+        rows = [(i, text(False), "xx", "big") for i in range(900)] + [(1000 + i, text(True), "xx", "own") for i in range(n)] + [(2000, text(True).upper(), "xx", "own")]
+        got = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+        assert [(r.doc_id, r.quality_rules.reason) for r in got.filter("not quality_rules.kept").collect()] == [(2000, "upper_share")]
+
+
 def test_rules_reject_repetition_in_long_lines(spark):
     rng = random.Random(2)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
