@@ -11,6 +11,9 @@ from regioprofile.llm.common import id_remainder, written
 
 #: A language counts as recognised from this score on; the score is a posterior over the learned languages.
 SURE = 0.5
+#: A text fits its language up to FACTOR times the phrases per character that this share of the language's labelled texts
+#: outside the training rows stay within.
+FIT_QUANTILE, FIT_FACTOR = 0.99, 1.3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +23,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognised language; learns from the labelled ones that it gets."""
-    samples = langid.language_samples(docs.filter(id_remainder("doc_id", 4) != 2))
+    """Drops documents without a recognised language or that don't fit the likeliest one; learns from the labelled ones.
+
+    The score only compares learned languages. A text in none of them falls into many short phrases of each, so it is
+    held against labelled texts of that language that went into no automaton. Without any such text nothing is known of
+    the fit, and the score alone decides.
+    """
+    held_out = id_remainder("doc_id", 4) == 2
+    samples = langid.language_samples(docs.filter(~held_out))
+    known = langid.with_language(docs.filter(held_out & F.col("lang").isNotNull()), samples, into="_language")
+    found = known.filter(F.col("lang") == F.col("_language.lang_pred")).groupBy("lang")
+    limits = found.agg(F.percentile_approx("_language.phrases_per_char", FIT_QUANTILE).alias("q")).collect()  # a row for each learned language
+    limit = F.lit(None).cast("double")
+    for lang, q in limits:
+        limit = F.when(F.col("_language.lang_pred") == lang, FIT_FACTOR * q).otherwise(limit)
     x = langid.with_language(docs, samples, into="_language")
-    return x.filter((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= SURE)).select(*docs.columns)
+    sure = (F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= SURE)
+    return x.filter(sure & F.coalesce(F.col("_language.phrases_per_char") <= limit, F.lit(True))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -415,3 +415,18 @@ def test_pipeline(spark, docs, odd):
     assert not {r.doc_id for r in rows if (c := brute_counts(r.text))[0] < 50 or 2 * c[4] > c[0]} & kept
     packed = corpus_pipeline.run(spark, SF).collect()
     assert packed and {r.doc_id for r in packed} <= kept
+
+
+def test_pipeline_rejects_a_language_without_labels(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars > 300").select("doc_id", "text", "lang")
+    rng = random.Random(6)
+    noise = [(-k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(100)), None) for k in range(1, 6)]
+    given = docs.withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang"))).unionByName(spark.createDataFrame(noise, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, given, "").select("doc_id").collect()}
+    by = collections.defaultdict(set)
+    for r in docs.collect():
+        by[r.lang == "fr"].add(r.doc_id)
+    assert len(by[True] & kept) <= 0.05 * len(by[True]) and len(by[False] & kept) >= 0.97 * len(by[False])
+    assert not {k for k, _, _ in noise} & kept
