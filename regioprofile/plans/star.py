@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import category, compass, decade, decimal_comma, lenient_double, looked_up, round_to, safe_div, unquoted, year_of
 from ..operators.match import best_containing, nearest, numbered
 from ..operators.reshape import anomaly, at_level, growth, pivoted, unpivot_years, with_group_stats, z
-from ..sources.fixtures import BASE, EXTRA_YEARS, REPORT, YEARS
+from ..sources.fixtures import BASE, EXTRA_YEARS, REPORT
 from ..sources.tables import conform, full_load
 
 #: Names of the states whose code is known; patterns of feature labels, of which umlauts are damaged.
-STATES = {"01": "Schleswig-Holstein", "02": "Hamburg", "03": "Niedersachsen", "04": "Bremen"}
+STATES = {
+    "01": "Schleswig-Holstein", "02": "Hamburg", "03": "Niedersachsen", "04": "Bremen", "05": "Nordrhein-Westfalen", "06": "Hessen", "07": "Rheinland-Pfalz", "08": "Baden-Wuerttemberg",
+    "09": "Bayern", "10": "Saarland", "11": "Berlin", "12": "Brandenburg", "13": "Mecklenburg-Vorpommern", "14": "Sachsen", "15": "Sachsen-Anhalt", "16": "Thueringen",
+}
 FEATURES = [("erungsf.lle", "faelle"), ("erte Bauland", "flaeche"), ("^Kaufsumme", "kaufsumme")]
 ALL_FEATURES = [*FEATURES, ("^Durchschnittlicher Kaufwert", "kaufwert")]
 LEVEL, COUNTRY = 5, "Germany"
 
 
-def dim_kreis(population: DataFrame) -> DataFrame:
+def dim_kreis(population: DataFrame, states: dict[str, str] = STATES) -> DataFrame:
     state = F.substring("id", 1, 2)
     x = at_level(population, "id", LEVEL)
-    return conform(x.select(F.col("id").alias("kreis_id"), F.col("kreis").alias("kreis_name"), state.alias("bundesland_id"), looked_up(state, STATES).alias("bundesland_name")), "dim_kreis")
+    return conform(x.select(F.col("id").alias("kreis_id"), F.col("kreis").alias("kreis_name"), state.alias("bundesland_id"), looked_up(state, states).alias("bundesland_name")), "dim_kreis")
 
 
 def year_rows(spark: SparkSession, first: int, last: int) -> DataFrame:
@@ -52,8 +57,14 @@ def dim_gemeinde(municipality: DataFrame, kreise: DataFrame) -> DataFrame:
     return conform(numbered(x, order, "gemeinde_id"), "dim_gemeinde")
 
 
+def years_of(population: DataFrame) -> list[int]:
+    """The years of the columns insgesamt_<last two digits>, which are those of 1950 to 2049."""
+    found = [int(c[-2:]) for c in population.columns if re.fullmatch("insgesamt_[0-9]{2}", c)]
+    return sorted(y + (1900 if y >= 50 else 2000) for y in found)
+
+
 def fact_bevoelkerung(population: DataFrame) -> DataFrame:
-    suffixes = {str(y)[2:]: y for y in YEARS}
+    suffixes = {str(y)[2:]: y for y in years_of(population)}
     x = unpivot_years(at_level(population, "id", LEVEL), ["id"], ["insgesamt", "maennlich", "weiblich"], suffixes, "insgesamt")
     x = growth(x, "id", "jahr", "insgesamt", "g")
     return conform(

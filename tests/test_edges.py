@@ -94,3 +94,10 @@ def test_seed_and_increment(spark):
     empty, seed = spark.createDataFrame([], "id long"), spark.range(3)
     assert t.seed_if_empty(empty, seed).count() == 3 and t.seed_if_empty(seed, seed).count() == 3
     assert t.newer_rows(spark.range(5), spark.range(3), "id").count() == 2 and t.newer_rows(spark.range(5), empty, "id").count() == 5
+
+
+def test_all_states_have_names_and_no_year_is_dropped(spark):
+    wide = spark.createDataFrame([(f"{k:02d}001", "x", 10, 4, 6, 20, 9, 11) for k in range(1, 18)], "id string, kreis string, insgesamt_01 long, maennlich_01 long, weiblich_01 long, insgesamt_24 long, maennlich_24 long, weiblich_24 long")
+    names = {r.bundesland_id: r.bundesland_name for r in star.dim_kreis(wide).collect()}
+    assert names["17"] is None and names["05"] == "Nordrhein-Westfalen" and names["16"] == "Thueringen" and len(set(names.values())) == 17
+    assert {r.jahr for r in star.fact_bevoelkerung(wide).collect()} == {2001, 2024}
