@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Each line of a text is a paragraph. Sparse logistic regression over word unigrams and bigrams names its licence family
+Each line of a text is a paragraph, and so is a run of lines between blank lines where a notice is wrapped over several
+of them. Sparse logistic regression over word unigrams and bigrams names its licence family
 or `unknown`; it is trained on disturbed copies of the templates and on a bounded sample of paragraphs of the corpus, and
 its probabilities are calibrated on copies that it wasn't trained on. A prediction is confirmed if a template of that
 family is found in the paragraph.
@@ -162,23 +163,107 @@ def _found(template: str, own: list[str]) -> float:
     return sum(p in have for p in pairs) / max(1, len(pairs))
 
 
+#: Templates as (family, text, bigrams, words in which they may be spread), and the places of each bigram's templates.
+_KNOWN = [(f, t, len({*zip(words(t), words(t)[1:])}), 2 + int(1.4 * len(words(t)))) for f, ts in TEMPLATES.items() for t in ts]
+_HOLDERS: dict[tuple[str, str], list[int]] = {}
+for _i, _k in enumerate(_KNOWN):
+    for _pair in {*zip(words(_k[1]), words(_k[1])[1:])}:
+        _HOLDERS.setdefault(_pair, []).append(_i)
+
+
+def notices(model: Model, own: list[str]) -> list[tuple]:
+    """(first word, end, family, probability, template, similarity) of every notice in the words, without overlaps.
+
+    A notice is a stretch that holds CONFIRMS of a template's bigrams; of overlapping ones the most similar counts, and
+    the classifier names its family.
+    """
+    hits: dict[int, list] = {}
+    for i, pair in enumerate(zip(own, own[1:])):
+        for k in _HOLDERS.get(pair, ()):
+            hits.setdefault(k, []).append((i, pair))
+    found = []
+    for k, h in hits.items():
+        _, _, n, reach = _KNOWN[k]
+        i = 0
+        while i < len(h):
+            seen, j, end = {}, i, 0
+            while j < len(h) and h[j][0] < h[i][0] + reach:
+                if h[j][1] not in seen:
+                    end = h[j][0] + 2
+                seen[h[j][1]] = j
+                j += 1
+            if len(seen) < CONFIRMS * n:
+                i += 1
+                continue
+            while seen[h[i][1]] > i and h[seen[h[i][1]]][0] < end:  # a stray bigram before the notice
+                i += 1
+            found.append((len(seen) / n, n, -h[i][0], end, k))
+            while i < len(h) and h[i][0] < end - 1:
+                i += 1
+    taken, out = set(), []
+    for share, _, start, end, k in sorted(found, reverse=True):
+        if taken.isdisjoint(range(-start, end)):
+            taken.update(range(-start, end))
+            p = model.probabilities(own[-start:end])
+            if (best := int(p.argmax())) and p[best] >= NAMES:
+                family, template = model.families[best], _KNOWN[k][1]
+                if family != _KNOWN[k][0]:
+                    share, template = max((_found(t, own[-start:end]), t) for t in TEMPLATES[family])
+                out.append((-start, end, family, float(p[best]), template, share))
+    return sorted(out)
+
+
 def scan_text(model: Model, text: str) -> Iterator[tuple]:
-    """(paragraph, start, length, family, probability, template, similarity, confirmed) of each paragraph that is named."""
+    """(paragraph, start, length, family, probability, template, similarity, confirmed) of each paragraph and family named.
+
+    A paragraph's number is that of its first line. A line is a paragraph; lines over which a notice is wrapped count
+    with the whole run of lines between blank ones. A paragraph with several licences gives a row for each.
+    """
     # a text without any word that a feature needs is unknown throughout; cut at other characters, words may end in dots
     quick = text.lower().encode("utf-8", "surrogatepass").translate(_CUT).split()
     if model.alert_bytes.isdisjoint(quick) and model.alert_bytes.isdisjoint(w.strip(b".") for w in quick if w[-1:] == b"." or w[:1] == b"."):
         return
-    start = 0
-    for k, line in enumerate(text.split("\n")):
-        own = words(line)
-        if not model.alert.isdisjoint(own):
-            p = model.probabilities(own)
+    start, run = 0, []
+    for k, line in enumerate([*text.split("\n"), ""]):
+        if line.strip():
+            run.append((k, start, line, words(line)))
+        elif run:
+            yield from _scan_run(model, run)
+            run = []
+        start += len(line) + 1
+
+
+def _scan_run(model: Model, run: list[tuple]) -> Iterator[tuple]:
+    """scan_text() of a run of lines: a row for the whole run for each family of wrapped notices, and rows of the other lines."""
+    own = [w for r in run for w in r[3]]
+    if model.alert.isdisjoint(own):
+        return
+    line_of = [i for i, r in enumerate(run) for _ in r[3]]
+    wrapped, inside, covered = {}, {}, set()
+    for a, b, *notice in notices(model, own):
+        first, last = line_of[a], line_of[b - 1]
+        if first == last:
+            inside.setdefault(first, []).append(notice)
+        else:
+            covered.update(range(first, last + 1))
+            if notice[3] > wrapped.get(notice[0], (None,) * 3 + (-1,))[3]:
+                wrapped[notice[0]] = notice
+    for family, p, template, share in wrapped.values():
+        yield run[0][0], run[0][1], run[-1][1] + len(run[-1][2]) - run[0][1], family, p, template, share, share >= CONFIRMS
+    for i, (k, start, line, line_words) in enumerate(run):
+        named = set()
+        if i not in covered and not model.alert.isdisjoint(line_words):
+            p = model.probabilities(line_words)
             best = int(p.argmax())
             if best and p[best] >= NAMES:
                 family = model.families[best]
-                score, template = max((_found(t, own), -i) for i, t in enumerate(TEMPLATES[family]))
+                score, template = max((_found(t, line_words), -i) for i, t in enumerate(TEMPLATES[family]))
+                named.add(family)
                 yield k, start, len(line), family, float(p[best]), TEMPLATES[family][-template], score, score >= CONFIRMS
-        start += len(line) + 1
+        for family, p, template, share in inside.get(i, ()):
+            if family not in named:
+                named.add(family)
+                yield k, start, len(line), family, p, template, share, share >= CONFIRMS
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:

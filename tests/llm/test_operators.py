@@ -145,6 +145,19 @@ def test_licences(docs, odd):
     assert licenses.scan(odd, model).count() == 0 and licenses.scan(odd.limit(0), model).count() == 0
 
 
+def test_licences_wrapped_over_lines_and_two_in_a_line(docs):
+    model = licenses.train(docs)
+    mit, bsd, gpl = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["BSD"][0], licenses.TEMPLATES["GPL-3.0"][1]
+    for family, template in (("MIT", mit), ("BSD", bsd), ("GPL-3.0", gpl)):
+        own = template.split(" ")
+        for width in (5, 9, 12):
+            body = "\n".join(" * " + " ".join(own[i : i + width]) for i in range(0, len(own), width))
+            rows = list(licenses.scan_text(model, f"some words\n\n{body}\n\nother words"))
+            assert [(r[0], r[1], r[2], r[3], r[7]) for r in rows] == [(2, 12, len(body), family, True)]
+    both = f"one two three {mit} and then four five six Licensed under CC BY-SA 4.0. seven eight"
+    assert {r[3] for r in licenses.scan_text(model, both) if r[7]} == {"MIT", "CC-BY-SA"}
+
+
 def test_packing(docs, odd):
     from tokenizers import Tokenizer
 
