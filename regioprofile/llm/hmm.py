@@ -2,7 +2,7 @@
 
 Symbols of the model are the most frequent training words, one class for each group of the rarer words (by their last
 two bytes), and the end of a text. A rarer word's probability in a state is that of its class times its smoothed share of
-the class in that state, so every training word has emissions of its own and the scores are probabilities over the same
+the class in that state, as the last round expects it, so every training word has emissions of its own and the scores are probabilities over the same
 words as the unigram base: V known ones and one for the rest. The rarer words' expected counts are a distributed table;
 only the head and the classes, a model of fixed size, travel to all tasks.
 """
@@ -22,10 +22,14 @@ from .common import written
 from .wordhash import hashed_words, in_pieces
 
 STATES, ROUNDS = 4, 4
-#: Words with their own symbol (so that the table sent to tasks is bounded), and classes of the rest.
-HEAD, CLASSES = 65_536, 512
+#: Classes of the rarer words, and words with a symbol of their own: all symbols are 16-bit numbers, and the table sent to
+#: tasks is bounded.
+CLASSES = 512
+HEAD = (1 << 16) - CLASSES - 1
 #: Tokens that one piece of a batch holds.
 PIECE_TOKENS = 1_500_000
+#: Expected counts are summed as whole numbers of this fraction, so that no order of tasks changes the sums.
+UNIT = 1 << 16
 LOG10 = math.log(10)
 
 
@@ -68,17 +72,25 @@ def count_words(train: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
-    """The bounded head, and sums over all other words; counts: a written table."""
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # a table of fixed size
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    """The bounded head, and sums over all other words; counts: a written table.
+
+    A histogram of the counts' logarithms, of a few hundred rows at any size, tells from which count on the words fit
+    into the head; only those come to the driver.
+    """
+    level = F.floor(8 * F.log2("c"))
+    n, v, taken, least = 0, 0, 0, 1 << 30
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("c").alias("tokens")).collect(), reverse=True):
+        n, v = n + r["tokens"], v + r["words"]
+        if v <= HEAD:
+            taken, least = v, r["level"]
+    head = counts.filter(level >= least).select("word", "c").toArrow()
     tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
-    if len(head) < v:
-        rare = (F.col("c") < head[-1]["c"]) | ((F.col("c") == head[-1]["c"]) & (F.col("word") > head[-1]["word"]))
-        for r in counts.filter(rare).groupBy("class").agg(F.sum("c"), F.count("*")).collect():
+    if taken < v:
+        for r in counts.filter(level < least).groupBy("class").agg(F.sum("c"), F.count("*")).collect():
             tokens[r[0]], words[r[0]] = r[1], r[2]
-    prints = np.array([r["word"] for r in head], np.int64).view(np.uint64)
+    prints = head["word"].to_numpy().view(np.uint64)
     order = np.argsort(prints)
-    return Vocabulary(prints[order], np.array([r["c"] for r in head], float)[order], tokens, words, n_docs, n + n_docs, v + (n_docs > 0))
+    return Vocabulary(prints[order], head["c"].to_numpy().astype(float)[order], tokens, words, n_docs, n + n_docs, v + (n_docs > 0))
 
 
 def in_time_order(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,11 +157,10 @@ class Model:
         em = self.emissions(flat, place[:0] if rare is None else place[rare], own)
         return np.bincount(of, np.log(self.forward(em, active, off)), len(docs)) / LOG10
 
-    def counts(self, docs: list[np.ndarray], rare: np.ndarray | None = None, own: np.ndarray | None = None, at_rare: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def counts(self, docs: list[np.ndarray], rare: np.ndarray | None = None, at_rare: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected starts, moves and emissions; log likelihood. at_rare gets the posteriors at the places `rare`."""
         flat, _, active, off, place = in_time_order(docs)
-        at = place[:0] if rare is None else place[rare]
-        em, k = self.emissions(flat, at, own), len(self.start)
+        em, k = self.emit[:, flat], len(self.start)
         gamma = np.empty((k, len(flat)))  # forward probabilities, turned into posteriors from the last time on
         scale = self.forward(em, active, off, gamma)
         em /= scale
@@ -163,7 +174,7 @@ class Model:
             beta[:, :n] = self.move @ ahead
         gamma[:, : active[0]] *= beta
         if at_rare is not None:
-            at_rare.append(gamma[:, at])
+            at_rare.append(gamma[:, place[rare]])
         emitted = np.stack([np.bincount(flat, gamma[s], self.emit.shape[1]) for s in range(k)])
         return gamma[:, : active[0]].sum(1), moves * self.move, emitted, float(np.log(scale).sum())
 
@@ -194,14 +205,14 @@ def coded(docs: DataFrame, voc: Vocabulary, is_train, doc_id: str = "doc_id", te
                 rare = codes >= len(v.head)
                 places = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 n_rare = np.bincount(np.repeat(np.arange(len(sizes)), sizes), rare, len(sizes)).astype(np.int64)
-                ends = np.insert(codes, np.cumsum(sizes), v.size - 1).astype(np.int32)
+                ends = np.split(np.insert(codes, np.cumsum(sizes), v.size - 1).astype("<u2"), np.cumsum(sizes + 1)[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(first, len(texts)) for k in range(3)), pa.ListArray.from_arrays(places(sizes + 1), pa.array(ends)), pa.ListArray.from_arrays(places(n_rare), pa.array(words[rare].view(np.int64)))],
+                    [*(batch.column(k).slice(first, len(texts)) for k in range(3)), pa.array([x.tobytes() for x in ends], pa.binary()), pa.ListArray.from_arrays(places(n_rare), pa.array(words[rare].view(np.int64)))],
                     ["row", "doc_id", "train", "codes", "rare"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(is_train, F.lit(False)).alias("train"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(encode, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, train boolean, codes array<int>, rare array<long>"), "coded")
+    return written(rows.mapInArrow(encode, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, train boolean, codes binary, rare array<long>"), "coded")
 
 
 def lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -211,33 +222,41 @@ def lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def symbols_of(column: pa.BinaryArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+
+
 def with_words(codes: DataFrame, words: DataFrame | None, columns: list[str]) -> DataFrame:
-    """codes with `own`: place among the row's rare words, and columns, of those that the table `words` has.
+    """doc_id, codes, n_rare; `at`, places among the row's rare words, and a list for each of columns: those that `words` has.
 
-    Two shuffle joins, by fingerprint and by row; no table of words is held in a task. Without `words`, own is null.
+    The lists of a row are collected side by side, in one order. Two shuffle joins, by fingerprint and by row; no table
+    of words is held in a task. No word outside the head is frequent enough to make a hot key. Without `words` they are null.
     """
+    own = codes.select("row", "doc_id", "codes", F.size("rare").alias("n_rare"))
     if words is None:
-        fields = ", ".join(f"{c}: double" for c in columns).replace(": ", ":")
-        return codes.withColumn("own", F.lit(None).cast(f"array<struct<at:int,{fields}>>"))
+        return own.withColumns({"at": F.lit(None).cast("array<int>")} | {c: F.lit(None).cast("array<long>") for c in columns})
     found = codes.select("row", F.posexplode("rare").alias("at", "word")).join(words, "word")
-    found = found.groupBy("row").agg(F.collect_list(F.struct("at", *columns)).alias("own"))
-    return codes.join(found, "row", "left")
-
-
-def rare_words(batch: pa.RecordBatch, names: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each row of columns (rare, own): fingerprints, and own's values as rows of an array, 0 for words that it lacks."""
-    words, out = lists(batch.column("rare")), []
-    own = batch.column("own")
-    fields = own.values.flatten() if len(own.values) else None
-    starts, null = own.offsets.to_numpy(), own.is_null().to_numpy(zero_copy_only=False)
-    columns = [f.to_numpy(zero_copy_only=False) for f in fields] if fields else []
-    for i, w in enumerate(words):
-        x = np.zeros((len(names), len(w)))
-        a, b = starts[i], starts[i + 1]
-        if b > a and not null[i]:
-            x[:, columns[0][a:b]] = [c[a:b] for c in columns[1:]]
+    found = found.groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("at", *columns)])
+    return own.join(found, "row", "left")
+
+
+def rare_words(batch: pa.RecordBatch, columns: list[str]) -> list[np.ndarray]:
+    """For each row of with_words(): counts and expected counts in each state, 0 for words that the table lacks.
+
+    columns: those of the counts and of all states but the last, in UNITs.
+    """
+    at, values = batch.column("at"), [lists(batch.column(c)) for c in columns]
+    places, null = lists(at), at.is_null().to_numpy(zero_copy_only=False)
+    out = []
+    for i, n in enumerate(batch.column("n_rare").to_pylist()):
+        x = np.zeros((len(columns) + 1, n))
+        if not null[i]:
+            x[0, places[i]] = values[0][i]
+            for k, own in enumerate(values[1:]):
+                x[k + 1, places[i]] = own[i] / UNIT
+            x[-1] = np.maximum(x[0] - x[1:-1].sum(0), 0)
         out.append(x)
-    return words, out
+    return out
 
 
 def joined(parts: list[np.ndarray], at: list[int]) -> np.ndarray:
@@ -248,18 +267,19 @@ def train_model(codes: DataFrame, voc: Vocabulary, states: int = STATES, rounds:
     """Baum-Welch over the coded training rows; the rarer words' expected counts; each round's log likelihood before it.
 
     A task sums its own expected counts; one row for each symbol and task is shuffled, and the sums, as many as the
-    bounded model has symbols, come to the driver. Those of the rarer words are summed by word and stay a table, which
-    the next round joins with the texts. In the first round a rarer word's share of its class is alike in all states
-    and moves no posterior, so it is left out there, from the likelihood too. Without rarer words there is no table.
+    bounded model has symbols, come to the driver. The rarer words' emissions are tied to their classes until the last
+    round, in which their expected counts are summed by word, too, and stay a table. Untying them in the last
+    maximisation raises the likelihood as any other, and saves a join of all their occurrences in each round. The log
+    likelihoods are those of symbols. Without rarer words, or without rounds, there is no table.
     """
     model, seen, words = first_model(voc, states), [], None
     columns = [f"s{k}" for k in range(states)]
     prior = np.concatenate([voc.head_counts, voc.class_tokens, [voc.ends]]) + 0.5
     prior /= prior.sum()
-    head, some_rare = len(voc.head), bool(voc.class_words.sum())
-    for _ in range(rounds):
+    head = len(voc.head)
+    for turn in range(rounds):
         sent = codes.sparkSession.sparkContext.broadcast(model)
-        first = words is None
+        with_rare = turn == rounds - 1 and bool(voc.class_words.sum())
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = sent.value
@@ -267,33 +287,37 @@ def train_model(codes: DataFrame, voc: Vocabulary, states: int = STATES, rounds:
             names = ["symbol", "word", *columns]
             total = np.zeros((k, size + k + 2))  # emissions, moves, starts, log likelihood
             for batch in batches:
-                prints, own = rare_words(batch, columns)
-                for at, docs in pieces(lists(batch.column("codes"))):
-                    flat = np.concatenate(docs)
-                    rare, posteriors = np.flatnonzero((flat >= head) & (flat < size - 1)), []
-                    start, moves, emitted, ll = m.counts(docs, rare, None if first else joined(own, at), posteriors)
+                prints = lists(batch.column("rare")) if with_rare else []
+                for at, docs in pieces(symbols_of(batch.column("codes"))):
+                    rare, posteriors = None, None
+                    if with_rare:
+                        flat = np.concatenate(docs)
+                        rare, posteriors = np.flatnonzero((flat >= head) & (flat < size - 1)), []
+                    start, moves, emitted, ll = m.counts(docs, rare, posteriors)
                     total[:, :size] += emitted
                     total[:, size : size + k] += moves.T
                     total[:, -2] += start
-                    total[0, -1] += ll
-                    if len(rare):
+                    total[0, -1] += ll / UNIT
+                    if with_rare and len(rare):
                         one, of = np.unique(joined(prints, at), return_inverse=True)
-                        sums = [np.bincount(of, g, len(one)) for g in posteriors[0]]
+                        sums = [np.rint(UNIT * np.bincount(of, g, len(one))).astype(np.int64) for g in posteriors[0]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), -1, np.int32)), pa.array(one), *map(pa.array, sums)], names)
+            total = np.rint(UNIT * total).astype(np.int64)
             some = np.flatnonzero(total.any(0))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.zeros(len(some), np.int64)), *[pa.array(total[s, some]) for s in range(k)]], names)
 
-        x = with_words(codes.filter("train"), words, columns).select("codes", "rare", "own")
-        sums = x.mapInArrow(expect, "symbol int, word long, " + ", ".join(f"{c} double" for c in columns))
-        sums = written(sums.groupBy("symbol", "word").agg(*[F.sum(c).alias(c) for c in columns]), "expected")
+        x = codes.filter("train").select("codes", *["rare"] * with_rare)
+        sums = x.mapInArrow(expect, "symbol int, word long, " + ", ".join(f"{c} long" for c in columns))
+        sums = sums.groupBy("symbol", "word").agg(*[F.sum(c).alias(c) for c in columns])
+        if with_rare:
+            sums = written(sums, "expected")
+            words = sums.filter("symbol < 0").select("word", F.round(sum(F.col(c) for c in columns) / UNIT).cast("long").alias("c"), *columns[:-1])
         total = np.zeros((states, voc.size + states + 2))
         for r in sums.filter("symbol >= 0").drop("word").collect():  # at most a row for each symbol
-            total[:, r[0]] = r[1:]
-        if some_rare:
-            words = sums.filter("symbol < 0").select("word", *columns)
+            total[:, r[0]] = np.array(r[1:]) / UNIT
         emit = total[:, : voc.size] + 0.1 * prior * states
         move, start = total[:, voc.size : voc.size + states].T + 0.1, total[:, -2] + 0.1
-        seen.append(float(total[0, -1]))
+        seen.append(float(total[0, -1] * UNIT))
         ratio = np.zeros_like(emit)
         ratio[:, head:-1] = voc.class_tokens / np.maximum(total[:, head : voc.size - 1], 1e-300)
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), ratio)
@@ -307,7 +331,7 @@ def score(codes: DataFrame, counts: DataFrame, voc: Vocabulary, model: Model, wo
     """
     sent = codes.sparkSession.sparkContext.broadcast((voc, model))
     kind = codes.schema["doc_id"].dataType.simpleString()
-    columns = ["c", *(f"s{k}" for k in range(len(model.start)))]
+    columns = ["c", *(f"s{k}" for k in range(len(model.start) - 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = sent.value
@@ -316,8 +340,8 @@ def score(codes: DataFrame, counts: DataFrame, voc: Vocabulary, model: Model, wo
         within = np.concatenate([np.zeros(head), -np.log10(v.class_tokens + v.class_words + 1), [0.0]])
         known_of = np.concatenate([np.ones(head), np.zeros(CLASSES), [float(v.ends > 0)]])
         for batch in batches:
-            _, owns = rare_words(batch, columns)
-            for at, docs in pieces(lists(batch.column("codes"))):
+            owns = rare_words(batch, columns)
+            for at, docs in pieces(symbols_of(batch.column("codes"))):
                 sizes = np.array([len(d) for d in docs])
                 flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
                 rare, own = np.flatnonzero((flat >= head) & (flat < v.size - 1)), joined(owns, at)
@@ -331,10 +355,9 @@ def score(codes: DataFrame, counts: DataFrame, voc: Vocabulary, model: Model, wo
                 )
 
     if words is None and voc.class_words.sum():  # no round was made
-        words = counts.select("word", *[F.lit(0.0).alias(c) for c in columns[1:]])
+        words = counts.select("word", "c", *[F.lit(0).cast("long").alias(c) for c in columns[1:]])
     # words that training lacks have no row there: they count 0, and their share of the class is the unknown word's
-    known = None if words is None else words.join(counts.select("word", F.col("c").cast("double").alias("c")), "word")
-    x = with_words(codes, known, columns).select("doc_id", "codes", "rare", "own")
+    x = with_words(codes, words, columns).drop("row")
     x = x.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return x.select("doc_id", "n_tokens", "n_known", F.lit(voc.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
