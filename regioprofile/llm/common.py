@@ -13,10 +13,12 @@ SPACES = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests) a temporary one is made and set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one is made, but only if the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -31,7 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,16 +49,14 @@ def hash_share(c: Column, seed: int = 0) -> Column:
 
 
 def bounded_sample(df: DataFrame, by: Column, group: str, size: int, seed: int = 0) -> DataFrame:
-    """About `size` rows of each group, those with the smallest hash of `by`; never more than twice as many.
+    """About `size` rows of each group, those with the smallest hash of `by`; never more than twice as many in all.
 
-    The groups' counts fix a hash limit for each, so no task ever sees a whole group.
+    The groups' counts, a written table, fix a hash limit for each; the optimizer sees its size and chooses the join.
+    No task ever sees a whole group. The rows drawn meet in one task: give it rows of bounded width.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(group).eqNullSafe(F.lit(value)), min(1.0, 1.25 * size / n)).otherwise(share)
-    drawn = df.withColumn("_share", hash_share(by, seed)).filter(F.col("_share") < share)
-    return drawn.orderBy("_share").limit(2 * size * max(1, len(counts))).drop("_share")
+    counts = written(df.groupBy(F.col(group).alias("_group")).agg((1.25 * size / F.count("*")).alias("_limit")), "limits")
+    drawn = df.withColumn("_share", hash_share(by, seed)).join(counts, F.col(group).eqNullSafe(F.col("_group"))).filter("_share < _limit")
+    return drawn.orderBy("_share").limit(2 * size * max(1, counts.count())).drop("_share", "_group", "_limit")
 
 
 def components(edges: DataFrame) -> DataFrame:

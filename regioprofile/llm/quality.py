@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, written
 
 #: Bounds of the fit: labelled rows drawn of each class, bytes taken of each for a dictionary, bytes of a dictionary.
 SAMPLE_ROWS, SLICE_BYTES, DICT_BYTES = 3000, 1000, 600_000
@@ -75,14 +75,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "quality") -> Model:
-    """Fits on at most about SAMPLE_ROWS labelled rows of each class, chosen by their text's hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """(text, label) of at most about SAMPLE_ROWS labelled documents of each class, chosen by their id's hash.
+
+    The sample is drawn from the labels alone; only its ids, at most 4 * SAMPLE_ROWS, are broadcast to the texts, which are
+    scanned once and not shuffled, but for those drawn. Null ids, labels and texts and labels other than 0 and 1 count for
+    nothing. Of an id with several labels the smallest counts, of one with several texts the first in their order.
+    """
+    own = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
+    drawn = bounded_sample(own, F.col("_id").cast("string"), "_y", SAMPLE_ROWS)
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).filter("_t is not null")
+    found = texts.join(F.broadcast(drawn), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
+    return written(found.select(F.col("_t").alias(text), F.col("_y").alias(label)), "labelled")
+
+
+def fit(sample: DataFrame, text: str = "text", label: str = "quality") -> Model:
+    """Fits on all rows of a bounded sample such as labelled_sample() draws.
 
     Rows of null text or label count for nothing. With rows of one class or none the score is constant: the share of
     good rows, 0.5 without any.
     """
-    rows = train.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("_t"), F.col(label).cast("int").alias("_y"))
-    rows = bounded_sample(rows, F.col("_t"), "_y", SAMPLE_ROWS)
+    rows = sample.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("_t"), F.col(label).cast("int").alias("_y"))
     half = F.pmod(F.xxhash64("_t", F.lit(9)), F.lit(2))
     # a slice of the text at a place drawn by hash goes into a dictionary; texts of the other half are compressed whole
     place = F.lit(1) + F.pmod(F.xxhash64("_t", F.lit(5)), F.greatest(F.lit(1), F.length("_t") - SLICE_BYTES + 1)).cast("int")
@@ -94,8 +107,8 @@ def fit(train: DataFrame, text: str = "text", label: str = "quality") -> Model:
         n = rows.groupBy("_y").count().collect()
         good = (sum(r[1] for r in n if r[0] == 1) + 0.5) / (sum(r[1] for r in n) + 1)
         return Model(content[1], content[0], (float(np.log(good / (1 - good))), 0.0, 0.0))
-    features = rows.filter(half == 1).select("_y", _udf(train, model, lambda s, texts: pd.DataFrame(s.features(texts), columns=["c", "d", "r"]), "c double, d double, r double")(F.col("_t")).alias("f"))
-    found = features.select("_y", "f.*").collect()  # four numbers for each row of the bounded sample
+    features = rows.filter(half == 1).select("_y", _udf(sample, model, lambda s, texts: pd.DataFrame(s.features(texts), columns=["c", "d", "r"]), "c double, d double, r double")(F.col("_t")).alias("f"))
+    found = sorted(features.select("_y", "f.*").collect())  # four numbers for each row of the bounded sample
     if not found:
         return model
     x, y = np.array([r[1:] for r in found], float), np.array([r[0] for r in found], float)

@@ -24,9 +24,9 @@ def op1_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", "quality")
     held_out = id_remainder("doc_id", 3) == 1
-    model = quality.fit(docs.select("doc_id", "text").filter(~held_out).join(labels, "doc_id"))
+    sample = quality.labelled_sample(docs.filter(~held_out), _table(spark, sf_dir, "labels").filter(~held_out))
+    model = quality.fit(sample)
     x = quality.with_quality(docs.select("doc_id", "text"), model)
     return x.select("doc_id", held_out.alias("held_out"), "quality_score.score", "quality_score.predicted")
 
