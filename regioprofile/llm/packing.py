@@ -1,16 +1,17 @@
 """Packing tokenised documents into sequences by length patterns.
 
 The pieces' lengths are a histogram of at most `capacity` bins. Patterns of a few lengths that fill a sequence are
-enumerated from it, repeat counts are fitted to the histogram by non-negative least squares, rounded down, and what is
-left is packed by best fit on the histogram. Pieces then find their places by their rank among those of equal length.
+enumerated from it, repeat counts are fitted to the histogram by non-negative least squares and rounded so that their
+sums are kept; the same is done with what is left, and the residual that no pattern fits is packed by best fit on the
+histogram. Pieces then find their places by their rank among those of equal length.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -18,46 +19,110 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .wordhash import fingerprints, in_pieces
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct words whose ids a Python worker keeps.
 CACHED = 1_000_000
-#: Patterns enumerated for each first length, lengths in a pattern, rounds of the fit, least share filled.
-ALTERNATIVES, MOST_ITEMS, FIT_ROUNDS, LEAST_FILL = 24, 12, 300, 0.97
+#: Tokens of a sequence that a pattern may leave free.
+ROOM = 2
+#: Second lengths tried for each first one, lengths in a pattern, times that patterns are fitted to what is left, steps of
+#: a fit at most, and the relative change that ends it.
+ALTERNATIVES, MOST_ITEMS, FITS, STEPS, SETTLED = 10, 16, 8, 1000, 2e-5
 #: Parts that pieces of one length are dealt to when they are ranked.
 SALTS = 64
 
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
+#: Bytes at which texts are cut, those of plain letters, and ASCII ones that are neither of these nor digits.
+_GAP, _LETTER, _SIGN = (np.array([f(b) for b in range(256)]) for f in (lambda b: b in b" \t\n\r", lambda b: 97 <= b <= 122, lambda b: 32 < b < 127 and not chr(b).isalnum()))
 
 
 class WordTokenizer:
-    """Ids of whole texts from ids of their words: this tokenizer never lets a token reach across white space."""
+    """Ids of whole texts from ids of their words, for tokenizers that lower-case texts and keep tokens within words.
+
+    Texts are cut at white space and between a plain letter and a sign, where no token reaches across. Words are told
+    apart by fingerprints in numpy; those that are new to the worker are encoded, and a table keeps their ids. Texts that
+    hold a special token's string, and all texts of a tokenizer of another kind, are encoded as they are.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        probe = ["The", "end", ".", "Of", "it", "'s", "(", "a", ")", "b", ",", "x", "-", "y", "3", "Été"]
+        together = " ".join(probe).replace(" .", ".").replace(" 's", "'s").replace("a )", "a)").replace("b ,", "b,")
+        plain = [i for w in probe for i in self._plain(w.replace("T", "t").replace("O", "o"))]
+        self.by_words = plain == self._plain(together) == self._plain(together.replace(" ", "\n\t"))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.prints, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {"": b""}
-        new = list(set().union(*(filterfalse(self.known.__contains__, own) for own in words)))
-        for i in range(0, len(new), 64):
-            self._learn(new[i : i + 64])
-        return [b"".join(map(self.known.__getitem__, own)) for own in words]
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words that are encoded side by side and told apart by the offsets of their tokens."""
-        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids, starts = np.array(e.ids, "<u4"), [o[0] for o in e.offsets]
-        cuts = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in new])).tolist()
-        for w, a, b in zip(new, [0, *cuts], cuts, strict=False):
-            self.known[w] = ids[a:b].tobytes()
+        apart = [bool(t) and (not self.by_words or any(s in t or s in t.lower() for s in self.special if s[:1] in t)) for t in texts]
+        coded = [t.encode() if t and not x else b"" for t, x in zip(texts, apart, strict=True)]
+        ids, ends = self._by_words(coded)
+        out = [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for i, x in enumerate(apart):
+            if x:
+                out[i] = np.array(self._plain(texts[i]), "<u4").tobytes()
+        return out
+
+    def _by_words(self, coded: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts in turn and where each text's end."""
+        whole = (b" " + b" ".join(coded) + b" ").lower()
+        b = np.frombuffer(whole, np.uint8)
+        inside = ~_GAP[b]
+        before = np.concatenate([[False], inside[:-1]])
+        begins = inside & (~before | np.concatenate([[False], _LETTER[b[:-1]]]) & _SIGN[b])
+        start = np.flatnonzero(begins)
+        after = np.append(begins[1:], False) | ~np.append(inside[1:], False)
+        end = np.flatnonzero(inside & after) + 1
+        prints, at, of = np.unique(fingerprints(b, start, end), return_index=True, return_inverse=True)
+        if len(self.prints) > CACHED:
+            self._forget()
+        place = np.searchsorted(self.prints, prints)
+        new = place == len(self.prints)
+        new[~new] = self.prints[place[~new]] != prints[~new]
+        if new.any():
+            self._learn(prints[new], [whole[i:j].decode() for i, j in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.prints, prints)
+        place = place[of]
+        count = self.count[place]
+        upto = np.cumsum(count)
+        ids = self.pool[np.repeat(self.first[place] - (upto - count), count) + np.arange(count.sum())]
+        text_ends = np.searchsorted(start, 1 + np.cumsum([len(c) + 1 for c in coded])) if coded else np.zeros(0, int)
+        return ids, np.concatenate([[0], upto])[text_ends].tolist()
+
+    def _learn(self, prints: np.ndarray, words: list[str]) -> None:
+        """Words of plain letters are single entries of the model; others are encoded side by side and told apart by offsets."""
+        plain = np.array([w.isascii() and w.isalpha() for w in words])
+        order = [*np.flatnonzero(plain).tolist(), *np.flatnonzero(~plain).tolist()]
+        ids: list[int] = []
+        ends: list[int] = []
+        tokenize = self.tokenizer.model.tokenize
+        for i in order[: int(plain.sum())]:
+            ids += [t.id for t in tokenize(words[i])]
+            ends.append(len(ids))
+        for a in range(len(ends), len(order), 64):
+            part = [words[i] for i in order[a : a + 64]]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            cuts = np.searchsorted([o[0] for o in e.offsets], np.cumsum([len(w) + 1 for w in part]))
+            ends += (cuts + len(ids)).tolist()
+            ids += e.ids
+        end = np.array(ends)
+        first = np.concatenate([[0], end[:-1]])
+        both = np.concatenate([self.prints, prints[order]])
+        by = np.argsort(both, kind="stable")
+        self.prints, self.first, self.count = both[by], np.concatenate([self.first, first + len(self.pool)])[by], np.concatenate([self.count, end - first])[by]
+        self.pool = np.concatenate([self.pool, np.array(ids, "<u4")])
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -78,9 +143,9 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         end = np.array([END_ID], "<u4").tobytes()
         size = 4 * capacity
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
+            for first, texts in in_pieces(batch.column(1).to_pylist()):
                 rows, at = [], []
-                for i, ids in enumerate(_tokenizer(tokenizer).encode(batch.column(1).slice(first, 500).to_pylist())):
+                for i, ids in enumerate(_tokenizer(tokenizer).encode(texts)):
                     ids += end
                     for k in range(0, len(ids), size):
                         part = ids[k : k + size]
@@ -99,46 +164,97 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 Group = tuple[tuple[tuple[int, int], ...], int]  # ((length, how often in a sequence), ...), sequences of this kind
 
 
-def patterns(have: np.ndarray) -> list[dict[int, int]]:
-    """Patterns of a few lengths that exist and nearly fill a sequence: for each first length, several second ones."""
+def patterns(have: np.ndarray) -> list[tuple[int, dict[int, int]]]:
+    """(room left, {length: times}) of a few lengths that exist: for each first length several second ones, then what fills up.
+
+    A room is filled by one length or by two if any fill it exactly, else by the largest that fits.
+    """
     capacity = len(have) - 1
-    lengths = np.flatnonzero(have)
-    if not len(lengths):
-        return []
-    exists = np.where(have > 0, np.arange(capacity + 1), 0)
-    best = np.maximum.accumulate(exists)  # the largest length that fits into a room
-    found: dict[tuple, dict[int, int]] = {}
-    for first in lengths[::-1]:
-        fitting = lengths[lengths <= min(first, capacity - first)]
-        seconds = {0, int(best[capacity - first])} | {int(x) for x in fitting[np.linspace(0, len(fitting) - 1, min(ALTERNATIVES, len(fitting))).astype(int)]} if len(fitting) else {0}
-        for second in seconds:
-            items, room = {int(first): 1}, capacity - int(first)
-            take = second or int(best[room])
-            while take and sum(items.values()) < MOST_ITEMS:
-                items[take] = items.get(take, 0) + 1
-                room -= take
-                take = int(best[room])
-            if capacity - room >= LEAST_FILL * capacity:
-                found[tuple(sorted(items.items()))] = items
+    lengths, exists = np.flatnonzero(have), have > 0
+    best = np.maximum.accumulate(np.where(exists, np.arange(capacity + 1), 0))  # the largest length that fits into a room
+    halves: dict[int, np.ndarray] = {}  # the smaller ones of two lengths that fill a room
+
+    def smaller(room: int) -> np.ndarray:
+        if room not in halves:
+            a = lengths[: np.searchsorted(lengths, room // 2, side="right")]
+            a = a[exists[room - a]]
+            halves[room] = a[(2 * a != room) | (have[a] > 1)]
+        return halves[room]
+
+    found: dict[tuple, tuple[int, dict[int, int]]] = {}
+    for first in lengths[::-1].tolist():
+        room = capacity - first
+        fitting = lengths[: np.searchsorted(lengths, min(first, room), side="right")]
+        seconds = {int(best[room]) if best[room] <= first else 0, *fitting[np.linspace(0, len(fitting) - 1, min(ALTERNATIVES, len(fitting))).astype(int)].tolist()}
+        for k, take in enumerate(sorted(seconds)):
+            items, left, n = {first: 1}, room, 1
+            while take and n < MOST_ITEMS:
+                items[take], left, n = items.get(take, 0) + 1, left - take, n + 1
+                pairs = smaller(left) if left and not exists[left] else ()
+                take = left if exists[left] else int(pairs[(7 * k + first) % len(pairs)]) if len(pairs) else int(best[left])
+            if all(have[i] >= m for i, m in items.items()):
+                found[tuple(sorted(items.items()))] = left, items
     return list(found.values())
 
 
 def fitted(have: np.ndarray, pats: list[dict[int, int]]) -> np.ndarray:
-    """Non-negative least squares of the patterns' counts to the histogram, by multiplicative updates."""
+    """Non-negative least squares of the patterns' counts to the histogram, by accelerated projected gradients.
+
+    Each length's difference counts with its tokens, so that a few long pieces weigh as much as many short ones.
+    """
     if not pats:
         return np.zeros(0)
     pat = np.repeat(np.arange(len(pats)), [len(p) for p in pats])
     length = np.array([k for p in pats for k in p])
-    times = np.array([n for p in pats for n in p.values()], float)
-    h = have.astype(float)
-    x = np.full(len(pats), h.sum() / max(1.0, times.sum()))
-    wanted = np.bincount(pat, times * h[length], len(pats))
-    for _ in range(FIT_ROUNDS):
-        now = np.bincount(length, x[pat] * times, len(h))
-        x *= wanted / np.maximum(np.bincount(pat, times * now[length], len(pats)), 1e-12)
+    weight = np.arange(len(have)) / len(have)
+    times = np.array([n for p in pats for n in p.values()]) * weight[length]
+    h = have * weight
+    made = lambda x: np.bincount(length, x[pat] * times, len(h))
+    pulled = lambda r: np.bincount(pat, times * r[length], len(pats))
+    v = np.ones(len(pats))
+    for _ in range(20):  # the largest eigenvalue bounds the step
+        v = pulled(made(v / np.linalg.norm(v)))
+    step = 1 / (1.05 * np.linalg.norm(v))
+    x = y = np.zeros(len(pats))
+    t = 1.0
+    for _ in range(STEPS):
+        new = np.maximum(y - step * pulled(made(y) - h), 0)
+        s = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        back = (y - new) @ (new - x) > 0  # the momentum leads uphill
+        y, t = (new, 1.0) if back else (new + (t - 1) / s * (new - x), s)
+        moved = np.abs(new - x).sum()
+        x = new
+        if moved <= SETTLED * x.sum():
+            break
     return x
 
 
+def by_patterns(have: np.ndarray) -> tuple[list[Group], np.ndarray]:
+    """Groups of equal sequences by fitted patterns, and the histogram of the pieces that are left.
+
+    Counts are rounded along the patterns' order, the longest first, so that each stretch of patterns gets its sum: many
+    patterns of less than one sequence still give whole ones. No piece is used twice; patterns are then enumerated and
+    fitted again for what is left. Only patterns that leave next to no room take part, or those that leave the least at
+    first, so that the rest isn't packed worse than best fit would.
+    """
+    left, out, room = have.astype(np.int64).copy(), [], None
+    for _ in range(FITS):
+        found = patterns(left)
+        room = max(ROOM, min((r for r, _ in found), default=0)) if room is None else room
+        pats = sorted((p for r, p in found if r <= room), key=lambda p: (-max(p), -min(p)))
+        upto = np.floor(np.cumsum(fitted(left, pats)) + 0.5)
+        before = left.sum()
+        for p, n in zip(pats, np.diff(upto, prepend=0).astype(np.int64).tolist(), strict=True):
+            n = min([n, *(int(left[k]) // m for k, m in p.items())])
+            if n:
+                for k, m in p.items():
+                    left[k] -= n * m
+                out.append((tuple(sorted(p.items(), reverse=True)), n))
+        if before - left.sum() <= 0.002 * before:
+            break
+    return out, left
+
+
 def best_fit(have: np.ndarray) -> list[Group]:
     """Best fit, the longest first, over groups of equal sequences: its work grows with lengths, not with pieces."""
     capacity = len(have) - 1
@@ -175,17 +291,8 @@ def best_fit(have: np.ndarray) -> list[Group]:
 
 def plan(have: np.ndarray) -> list[Group]:
     """Groups of equal sequences that hold every piece of the histogram exactly once."""
-    left, out = have.astype(np.int64).copy(), []
-    pats = patterns(left)
-    x = fitted(left, pats)
-    fill = np.array([sum(k * n for k, n in p.items()) for p in pats])
-    for i in np.lexsort((-x, -fill)) if len(pats) else []:
-        n = min([int(x[i]), *(int(left[k]) // m for k, m in pats[i].items())])
-        if n:
-            for k, m in pats[i].items():
-                left[k] -= n * m
-            out.append((tuple(sorted(pats[i].items(), reverse=True)), n))
-    return out + best_fit(left)
+    groups, left = by_patterns(have)
+    return groups + best_fit(left)
 
 
 def places(groups: list[Group], capacity: int = CAPACITY) -> tuple[np.ndarray, ...]:

@@ -49,6 +49,19 @@ def in_pieces(texts: list[str | None], size: int = PIECE_BYTES) -> Iterator[tupl
         yield first, own
 
 
+def fingerprints(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of the stretches [start, end) of the bytes b."""
+    p, q, ip, iq = _powers(len(b) + 1)
+    out = np.zeros(len(start), np.uint64)
+    big = b.astype(np.uint64) + np.uint64(1)
+    for power, inverse, turned in ((p, ip, np.uint64(0)), (q, iq, np.uint64(29))):
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(big * power[: len(b)], out=sums[1:])
+        h = mix((sums[end] - sums[start]) * inverse[start])
+        out = mix(out ^ ((h << turned) | (h >> (np.uint64(64) - turned) if turned else np.uint64(0))))
+    return out
+
+
 def hashed_words(texts: list[str | None], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints of all words in turn, the last two bytes of each (high byte first), and the words of each text.
 
@@ -63,14 +76,6 @@ def hashed_words(texts: list[str | None], table: bytes | None = None) -> tuple[n
     inside = ~space[b]
     turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = turn[::2], turn[1::2]
-    p, q, ip, iq = _powers(len(b) + 1)
-    out = np.zeros(len(start), np.uint64)
-    big = b.astype(np.uint64) + np.uint64(1)
-    for power, inverse, turned in ((p, ip, np.uint64(0)), (q, iq, np.uint64(29))):
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(big * power[: len(b)], out=sums[1:])
-        h = mix((sums[end] - sums[start]) * inverse[start])
-        out = mix(out ^ ((h << turned) | (h >> (np.uint64(64) - turned) if turned else np.uint64(0))))
     last = b[end - 1].astype(np.int64) + 256 * np.where(end - start > 1, b[end - 2].astype(np.int64), 0)
     begins = 1 + np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])]).astype(np.int64)
-    return out, last, np.diff(np.searchsorted(start, begins))
+    return fingerprints(b, start, end), last, np.diff(np.searchsorted(start, begins))
