@@ -52,41 +52,92 @@ def record(page_id: object, url: str | None, payload: bytes, refers_to: object |
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of a record, after validation of its version, lengths and payload digest."""
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that starts with white space continues the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for x in lines:
+        if x[:1] in (" ", "\t") and name:
+            out[name] += " " + x.strip()
+            continue
+        name, colon, value = x.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            raise ValueError(f"no header field: {x[:40]!r}")
+        out.setdefault(name, value.strip())
+    return out
+
+
+def _digest_holds(stated: str, payload: bytes) -> bool:
+    """Whether a labelled digest (base32 or hexadecimal) is the payload's; an algorithm that isn't known here passes."""
+    kind, _, value = stated.partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    own = hashlib.new(kind, payload)
+    return value.upper().rstrip("=") in (base64.b32encode(own.digest()).decode().rstrip("="), own.hexdigest().upper())
+
+
+def parsed(data: bytes) -> tuple[dict[str, str | None], bytes]:
+    """Header fields by lower-case name and payload of a record, after validation of its version, fields and lengths.
+
+    Of responses and revisits come, too, `payload_bytes` and `payload_digest` (bare SHA-1 in base32): of a response those
+    of its payload, which must be as long as its HTTP head says, if that says it, and have the stated digest, if there
+    is one; of a revisit what its heads state, else None. A block without an HTTP head is a payload as a whole; a payload
+    under a transfer encoding is kept as sent and not held against length and digest, as writers differ there.
+    """
     head, found, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    if not found or lines[0] not in ("WARC/1.0", "WARC/1.1"):
+    if not found or lines[0].strip() not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError(f"no WARC record: {lines[0][:40]!r}")
-    headers = dict(x.split(": ", 1) for x in lines[1:])
-    for needed in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"):
+    headers: dict[str, str | None] = {**_fields(lines[1:])}
+    for needed in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if needed not in headers:
             raise ValueError(f"record without {needed}")
-    length = int(headers["Content-Length"])
+    if not headers["content-length"].isdigit():
+        raise ValueError(f"Content-Length {headers['content-length']!r} is no number")
+    length = int(headers["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
-        raise ValueError(f"Content-Length {length} of {headers['WARC-Record-ID']} doesn't hold")
-    http, found, payload = rest[:length].partition(b"\r\n\r\n")
-    inner = dict(x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:])
-    headers["payload_bytes"] = inner["Content-Length"]
-    if headers["WARC-Type"] == "response" and (len(payload) != int(inner["Content-Length"]) or "sha1:" + digest(payload) != headers["WARC-Payload-Digest"]):
-        raise ValueError(f"the payload of {headers['WARC-Record-ID']} doesn't match its length and digest")
+        raise ValueError(f"Content-Length {length} of {headers['warc-record-id']} doesn't hold")
+    kind, block = headers["warc-type"], rest[:length]
+    if kind not in ("response", "revisit"):
+        return headers, block
+    inner: dict[str, str] = {}
+    payload = block if kind == "response" else b""
+    if block.startswith(b"HTTP/"):
+        http, found, after = block.partition(b"\r\n\r\n")
+        inner = _fields(http.decode("latin-1").rstrip("\r\n").split("\r\n")[1:])
+        payload = after
+    stated, said = headers.get("warc-payload-digest"), inner.get("content-length", "")
+    if kind == "revisit":
+        headers["payload_bytes"] = said if said.isdigit() else None
+        headers["payload_digest"] = stated[5:] if stated and stated.lower().startswith("sha1:") else None
+        return headers, payload
+    if "transfer-encoding" not in inner:
+        if said.isdigit() and len(payload) != int(said) or stated and not _digest_holds(stated, payload):
+            raise ValueError(f"the payload of {headers['warc-record-id']} doesn't match its length and digest")
+    headers["payload_bytes"], headers["payload_digest"] = str(len(payload)), digest(payload)
     return headers, payload
 
 
 def frame_end(data: memoryview, at: int) -> int:
     """Where the zstandard frame at `at` ends, by its header and the headers of its blocks (RFC 8878)."""
-    flags = data[at + 4]
-    single = flags >> 5 & 1
-    p = at + 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
-    while True:
-        block = data[p] | data[p + 1] << 8 | data[p + 2] << 16
-        p += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
-        if block & 1:
-            return p + 4 * (flags >> 2 & 1)
+    try:
+        flags = data[at + 4]
+        single = flags >> 5 & 1
+        p = at + 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
+        while True:
+            block = data[p] | data[p + 1] << 8 | data[p + 2] << 16
+            p += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
+            if block & 1:
+                return p + 4 * (flags >> 2 & 1)
+    except IndexError:
+        raise ValueError("the archive ends within a frame") from None
 
 
 def frames(data: bytes) -> Iterator[bytes]:
-    """The decompressed frames of an archive; its dictionary is taken from the leading skippable frame."""
+    """The decompressed frames of an archive, whether they state their size or not; its dictionary is taken from the
+    leading skippable frame."""
     view, at, held = memoryview(data), 0, None
     while at < len(data):
         if at + 8 > len(data):
@@ -96,14 +147,18 @@ def frames(data: bytes) -> Iterator[bytes]:
             if magic == DICTIONARY and at == 0:
                 content = bytes(view[8 : 8 + size])
                 if content[:4] == struct.pack("<I", FRAME):  # the dictionary may be compressed itself
-                    content = zstandard.ZstdDecompressor().decompress(content)
+                    content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
                 held = zstandard.ZstdCompressionDict(content)
             at += 8 + size
         elif magic == FRAME:
             end = frame_end(view, at)
             if end > len(data):
                 raise ValueError("the archive ends within a frame")
-            yield zstandard.ZstdDecompressor(dict_data=held).decompress(view[at:end]) if held else zstandard.ZstdDecompressor().decompress(view[at:end])
+            one = (zstandard.ZstdDecompressor(dict_data=held) if held else zstandard.ZstdDecompressor()).decompressobj()
+            out = one.decompress(view[at:end])
+            if not one.eof:
+                raise ValueError(f"the frame at byte {at} doesn't end")
+            yield out
             at = end
         else:
             raise ValueError(f"no frame at byte {at}")
@@ -114,7 +169,8 @@ def frames(data: bytes) -> Iterator[bytes]:
 def train_dictionary(pages: DataFrame, html: str, n: int) -> bytes:
     """A dictionary from a bounded sample of the n pages; empty if they are too few or too alike to train one."""
     small = pages.filter(F.octet_length(html).between(1, SAMPLE_BYTES))
-    sample = [r[0].encode("utf-8", "surrogatepass") for r in small.filter(hash_share(F.col(html), 3) < 2 * SAMPLE_PAGES / max(1, n)).select(html).limit(SAMPLE_PAGES).collect()]
+    drawn = small.select(html, hash_share(F.col(html), 3).alias("_share")).filter(F.col("_share") < 2 * SAMPLE_PAGES / max(1, n))
+    sample = [r[0].encode("utf-8", "surrogatepass") for r in drawn.orderBy("_share", html).limit(SAMPLE_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, sample).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -124,18 +180,21 @@ def train_dictionary(pages: DataFrame, html: str, n: int) -> bytes:
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> None:
     """Writes a record for every row of pages to archives under path.
 
-    Of the pages with equal payloads of at least least_bytes, that with the smallest id is a response and those of other
-    ids revisit it. A null html is an empty payload. Pages of null id are responses. Rows that repeat an id are written
-    each. An empty table gives archives without records.
+    Of the pages with equal payloads of at least least_bytes, those with the smallest id are responses and those of other
+    ids, null ones too, revisit it; without any id all are responses. Rows that repeat an id are each written, as what
+    their own payload makes them. A null html is an empty payload, payloads may be of any length, and an empty table gives
+    archives without records. Other columns are left out, whatever their names.
     """
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    # only ids and digests take part in the search for equal payloads; the payloads are shuffled once, by their id
-    sums = base.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").cast("long").alias("bytes"))
-    first = sums.filter(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("sha1", "first")
-    again = sums.filter(F.col("bytes") >= least_bytes).join(first, "sha1").filter(F.col("page_id") != F.col("first")).select("page_id", F.col("first").alias("refers_to")).distinct()
+    base = base.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    # only ids and digests take part in the search for equal payloads; the payloads are shuffled once, by both
+    sums = base.filter(F.octet_length("html") >= least_bytes).select("page_id", "sha1")
+    first = sums.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).filter("m > 1 and first is not null").select("sha1", "first")
+    again = sums.join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("again_id"), F.col("sha1").alias("again_sha1"), F.col("first").alias("refers_to")).distinct()
     sent = pages.sparkSession.sparkContext.broadcast(train_dictionary(base, "html", base.count()))
     # an archive for each partition of the join; its adaptive partitions have an even size
-    together = base.join(again, "page_id", "left")
+    together = base.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("sha1") == F.col("again_sha1")), "left")
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = sent.value
         held = zstandard.ZstdCompressionDict(content) if content else None
@@ -157,13 +216,14 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """A row for each response or revisit record of the archives under path; malformed archives raise an error.
 
-    Archives are read whole by tasks, one at a time; they are as large as their writer made them.
+    Records of other types are validated and left out. page_id and refers_to are the record ids, without this writer's
+    prefix. Size and digest of a revisit are those that it states, null if it doesn't. Archives are read whole by tasks, one at a time; they are as large as their writer made them.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in SCHEMA.split(", ")] + ["payload"] * with_payload
         kinds = [pa.string()] * 4 + [pa.int64(), pa.string()] + [pa.binary()] * with_payload
-        strip = lambda x: x[len(RECORD) + 1 : -1] or None if x else None
+        strip = lambda x: x.strip("<>").removeprefix(RECORD) or None if x else None
         for batch in batches:
             for k in range(batch.num_rows):
                 rows, held = [], 0
@@ -172,10 +232,11 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
                 for data in frames(batch.column(0)[k].as_py()):
-                    h, payload = parsed(data) if not data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") else ({"WARC-Type": ""}, b"")
-                    if h["WARC-Type"] not in ("response", "revisit"):
+                    h, payload = parsed(data)
+                    if h["warc-type"] not in ("response", "revisit"):
                         continue
-                    rows.append((strip(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), h["WARC-Type"], strip(h.get("WARC-Refers-To")), int(h["payload_bytes"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), *([payload] * with_payload)))
+                    size = None if h["payload_bytes"] is None else int(h["payload_bytes"])
+                    rows.append((strip(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], strip(h.get("warc-refers-to")), size, h["payload_digest"], *([payload] * with_payload)))
                     held += len(payload)
                     if len(rows) >= 2000 or with_payload and held > 8_000_000:
                         yield out()

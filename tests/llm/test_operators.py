@@ -83,22 +83,37 @@ def test_rules_reject_repetition_in_long_lines(spark):
 
 
 def test_cross_parsing_equals_substring_search(docs):
-    samples = langid.language_samples(docs, chars=4000)
+    samples = langid.language_samples(docs, chars=4000) | {"zh": "".join(chr(0x4E00 + i * i % 3000) for i in range(4000)), "ja": "".join(chr(0x3041 + i * i % 83) + chr(0x20000 + i % 500) for i in range(1000))}
     parser = langid.CrossParser(samples)
     as_text = lambda t: "".join(map(chr, langid.letters_and_gaps([t])[0]))
-    for text in [*(r.text for r in docs.limit(8).collect()), "", "123", "Ünï 漢字 𝒳 test"]:
-        points, lengths, _ = langid.letters_and_gaps([text])
+    rng = random.Random(3)
+    varied = " ".join(rng.choice(samples[rng.choice(["de", "en", "zh"])][i:][:30]) for i in range(400))
+    source = as_text(samples["en"])
+    texts = [*(r.text for r in docs.limit(8).collect()), "", "123", "Ünï 漢字 𝒳 test", varied, source[500:3000], samples["zh"][900:3500], "ab" * 3000]
+    points, lengths, _ = langid.letters_and_gaps(texts)
+    got = parser.phrases(points, lengths)
+    for row, text in enumerate(texts):
         stream = as_text(text)
         for k, lang in enumerate(parser.langs):
-            source, n = as_text(samples[lang]), 0
-            for b in range(0, len(stream), langid.BLOCK):
-                block, i = stream[b : b + langid.BLOCK], 0
-                while i < len(block):
-                    j = i + 1
-                    while j <= len(block) and block[i:j] in source:
-                        j += 1
-                    i, n = max(i + 1, j - 1), n + 1
-            assert parser.phrases(parser.codes(points), lengths)[0, k] == n
+            source, n, i = as_text(samples[lang]), 0, 0
+            while i < len(stream):
+                j = i + 1
+                while j <= len(stream) and stream[i:j] in source:
+                    j += 1
+                i, n = max(i + 1, j - 1), n + 1
+            assert got[row, k] == n
+
+
+def test_languages_of_other_scripts_need_little_memory(spark):
+    rng = random.Random(8)
+    zh = [chr(c) for c in rng.sample(range(0x4E00, 0x9FA0), 4000)]
+    text = lambda own, n: "".join(rng.choice(own) for _ in range(n))
+    common = {"zh": [text(zh, 3) for _ in range(900)], "ja": [text([chr(c) for c in range(0x3041, 0x3097)], 4) for _ in range(500)], "en": [text("abcdefghij", 5) for _ in range(300)]}
+    rows = [(f"{k}{i}", " ".join(rng.choice(own) for _ in range(200)), k) for k, own in common.items() for i in range(80)]
+    samples = langid.language_samples(spark.createDataFrame(rows[::2], "doc_id string, text string, lang string"))
+    parser = langid.CrossParser(samples)
+    assert parser.next.pair.nbytes + parser.next.to.nbytes < 20_000_000
+    assert parser.predict([r[1] for r in rows[1::2]])["lang_pred"].tolist() == [r[2] for r in rows[1::2]]
 
 
 def test_languages(spark, docs, odd):
@@ -162,8 +177,8 @@ def test_packing(docs, odd):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(WORD)
-    plain.encode_special_tokens = True
-    for df in (docs, odd):
+    special = [(20, "a <|endoftext|> b"), (21, "<|ENDOFTEXT|> It's <|startoftext|>")]
+    for df in (docs, odd, docs.sparkSession.createDataFrame(special, "doc_id long, text string")):
         rows = packing.pack_documents(df, WORD, with_ids=True).collect()
         texts = collections.Counter((r.doc_id, r.text) for r in df.collect())
         ids = {k: plain.encode(k[1] or "", add_special_tokens=False).ids + [1] for k in texts}
@@ -181,17 +196,42 @@ def test_packing(docs, odd):
     assert packing.pack_documents(odd.limit(0), WORD).count() == 0
 
 
-def test_packing_plan_holds_each_piece_once_and_is_tight():
+def test_word_tokenizer_equals_the_plain_one():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(WORD), packing.WordTokenizer(WORD)
+    assert own.by_words
+    rng = random.Random(1)
+    texts = ["", None, "ΣΑΣ ß İ é é ́x .́ ≮ a≮", "don't.stop 'so' x'll y'S 3a4b a1.2", "\x0b\x0c x\u00a0y\u2003z", "漢字 テスト。 a漢", "a<|endoftext|>b <|Endoftext|>"]
+    texts += ["".join(rng.choice("abS'T .,$1é́\t\n<|>ß漢") for _ in range(60)) for _ in range(500)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(other), packing.WordTokenizer(other)
+    assert not own.by_words and [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_plan_holds_each_piece_once_and_is_tight(spark):
     rng = np.random.default_rng(0)
-    have = np.bincount(np.minimum(4096, rng.lognormal(6, 1, 20_000).astype(int) + 2), minlength=4097)
-    groups = packing.plan(have)
-    again = np.zeros_like(have)
-    for items, n in groups:
-        assert sum(k * m for k, m in items) <= 4096
-        for k, m in items:
-            again[k] += m * n
-    assert (again == have).all()
-    assert sum(n for _, n in groups) <= 1.005 * math.ceil((have * np.arange(4097)).sum() / 4096)
+    drawn = np.bincount(np.minimum(4096, rng.lognormal(6, 1, 20_000).astype(int) + 2), minlength=4097)
+    few = np.zeros(4097, np.int64)
+    few[[1500, 300]] = 1000, 7
+    for have in (drawn, 1000 * drawn, few, np.zeros(4097, np.int64)):
+        groups = packing.plan(have)
+        again = np.zeros_like(have)
+        for items, n in groups:
+            assert sum(k * m for k, m in items) <= 4096
+            for k, m in items:
+                again[k] += m * n
+        assert (again == have).all()
+        assert sum(n for _, n in groups) <= (500 if have is few else 1.0005 * math.ceil((have * np.arange(4097)).sum() / 4096))
+        assert have is few or packing.by_patterns(have)[1].sum() <= 0.65 * have.sum()
+    # the patterns carry the supplied documents, and no sequence more is needed than the tokens fill
+    for sf, most in (("sf0.001", 44), ("sf0.01", 221)):
+        rows = packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), WORD).groupBy("length").count().collect()
+        have = np.zeros(4097, np.int64)
+        have[[r[0] for r in rows]] = [r[1] for r in rows]
+        assert packing.by_patterns(have)[1].sum() < 0.5 * have.sum() and sum(n for _, n in packing.plan(have)) == most
 
 
 def lev(a, b):
@@ -235,11 +275,25 @@ def test_near_duplicates_equal_brute_force(docs, odd):
                 parent[y] = x
     got = {r.doc_id: (r.component_id, r.kept) for r in dedup.near_duplicates(docs).collect()}
     assert got == {k: (root(k), root(k) == k) for k in ids}
-    assert {r.doc_id: r.kept for r in dedup.near_duplicates(odd).collect()} == {1: True, 2: True, 3: True, 4: True, 6: True}
+    assert sorted((str(r.doc_id), r.kept) for r in dedup.near_duplicates(odd).collect()) == [(k, True) for k in ("1", "2", "3", "4", "6", "None")]
     assert dedup.near_duplicates(odd.limit(0)).count() == 0
     assert sorted(str(r.doc_id) for r in dedup.without_near_duplicates(odd).collect()) == ["1", "2", "3", "4", "6", "None"]
 
 
+def test_near_duplicates_of_repeated_and_null_ids_and_long_texts(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randint(0, 99999)}" for _ in range(n)]
+    one, two, three, long = text(80), text(90), text(70), text(400_000)  # 2.7 MB
+    changed = lambda w: " ".join(w[:20] + ["new"] + w[21:])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (5, " ".join(two)), (7, changed(one)), (8, changed(two)), (9, " ".join(three)), (None, changed(three)), (None, changed(three)), (1, None), (20, " ".join(long)), (21, changed(long)), (None, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("_kept", "h", "n", "t", "kept", "component", "row", "id")})
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (None, 9, False), (1, 1, True), (20, 20, True), (21, 20, False), (None, None, True)], key=str)
+    kept = dedup.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(str((r.doc_id, (r.text or "")[:5])) for r in kept.collect()) == sorted(str((i, (t or "")[:5])) for i, t in [rows[0], rows[1], rows[5], rows[6], rows[7], rows[8], rows[9], rows[11]])
+
+
 def test_buckets_with_many_groups_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BUCKET", 2)
     rng = random.Random(3)
@@ -276,6 +330,7 @@ def test_warc_round_trip(spark, odd):
     got = warc.read_archives(spark, path, with_payload=True).collect()
     assert len(got) == 7
     by = {r.page_id: r for r in got}
+    assert [r.record_type for r in got if r.page_id is None] == ["revisit"]
     assert (by["3"].record_type, by["5"].record_type, by["5"].refers_to, by["8"].refers_to) == ("response", "revisit", "3", "7")
     assert by["9"].payload.decode() == LONG and by["5"].payload_bytes == len("<p>é</p>".encode())
     assert by["7"].payload_digest == base64.b32encode(hashlib.sha1(b"").digest()).decode()
@@ -284,8 +339,60 @@ def test_warc_round_trip(spark, odd):
     with pytest.raises(ValueError):
         list(warc.frames(b"not an archive at all"))
     good = warc.record(1, "u", b"abc", None)
+    for bad in (good.replace(b"abc", b"abd"), good.replace(b"abc", b"abcd"), good.replace(b"WARC-Date", b"WARC-Dote"), b"HTTP" + good):
+        with pytest.raises(ValueError):
+            warc.parsed(bad)
+
+
+def test_warc_of_repeated_ids(spark):
+    pages = spark.createDataFrame([(3, "X"), (4, "Y"), (5, "X"), (5, "Y"), (5, "Q"), (6, "Z"), (None, "X")], "page_id long, html string").withColumns({"url": F.lit("u"), "sha1": F.lit("own"), "first": F.lit("own")})
+    warc.write_archives(pages, path := common.new_path(spark, "test-warc"))
+    got = sorted((r.page_id or "-", r.record_type, r.refers_to or "", r.payload.decode(), r.payload_bytes) for r in warc.read_archives(spark, path, with_payload=True).collect())
+    assert got == [
+        ("-", "revisit", "3", "", 1), ("3", "response", "", "X", 1), ("4", "response", "", "Y", 1), ("5", "response", "", "Q", 1),
+        ("5", "revisit", "3", "", 1), ("5", "revisit", "4", "", 1), ("6", "response", "", "Z", 1),
+    ]
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    import io
+    import struct
+
+    import zstandard
+
+    block = lambda *lines, body=b"": "\r\n".join(lines).encode() + b"\r\n\r\n" + body
+    record = lambda kind, name, body, *more, version="WARC/1.0": block(version, f"warc-type:{kind}", f"WARC-Record-ID: <{name}>", "Warc-Date:2020-01-01T00:00:00Z", *more, f"CONTENT-LENGTH: {len(body)}", body=body) + b"\r\n\r\n"
+    http = block("HTTP/1.1 200 OK", "content-type: text/html", "X-Long: a", " b", body=b"<p>hello</p>")
+    sha1 = base64.b32encode(hashlib.sha1(b"<p>hello</p>").digest()).decode()
+    records = [
+        record("warcinfo", "urn:info", b"software: other"), record("request", "urn:q", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"), record("metadata", "urn:m", b"a: b"),
+        record("response", "urn:uuid:1", http, f"WARC-Payload-Digest: sha256:{hashlib.sha256(b'<p>hello</p>').hexdigest()}"), record("response", "urn:uuid:2", http),
+        record("revisit", "urn:uuid:3", block("HTTP/1.1 200 OK"), f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Refers-To: <urn:uuid:1>", version="WARC/1.1"), record("response", "urn:uuid:4", b"plain"),
+    ]
+    held = zstandard.train_dictionary(2048, [r + bytes([i]) * 50 for i in range(200) for r in records])
+    streamed = zstandard.ZstdCompressor(dict_data=held, write_content_size=False)
+    packed = zstandard.ZstdCompressor().compress(held.as_bytes())
+    data = struct.pack("<II", warc.DICTIONARY, len(packed)) + packed
+    for r in records:
+        one = streamed.compressobj()
+        data += one.compress(r) + one.flush()
+    (tmp_path / "other.warc.zst").write_bytes(data)
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.payload_digest, r.refers_to, r.payload) for r in warc.read_archives(spark, str(tmp_path), with_payload=True).collect()}
+    whole = ("response", 12, sha1, None, b"<p>hello</p>")
+    plain = ("response", 5, base64.b32encode(hashlib.sha1(b"plain").digest()).decode(), None, b"plain")
+    assert got == {"urn:uuid:1": whole, "urn:uuid:2": whole, "urn:uuid:3": ("revisit", None, sha1, "urn:uuid:1", b""), "urn:uuid:4": plain}
     with pytest.raises(ValueError):
-        warc.parsed(good.replace(b"abc", b"abd"))
+        list(warc.frames(data[:-3]))
+    # what is written here is a plain stream of frames to other readers
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>\n" * 300) for i in range(50)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), path := common.new_path(spark, "test-warc"))
+    texts = 0
+    for r in spark.read.format("binaryFile").load(path).collect():
+        content = bytes(r.content)
+        size = struct.unpack_from("<I", content, 4)[0]
+        own = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content[8 : 8 + size])) if struct.unpack_from("<I", content)[0] == warc.DICTIONARY else zstandard.ZstdDecompressor()
+        texts += own.stream_reader(io.BytesIO(content), read_across_frames=True).read().count(b"WARC-Type: response")
+    assert texts == 50
 
 
 def test_vectors_equal_brute_force(spark):
