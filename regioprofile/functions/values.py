@@ -17,8 +17,13 @@ def safe_div(n: str | Column, d: str | Column) -> Column:
 
 
 def round_to(x: str | Column, digits: int) -> Column:
-    """Half-up rounding by way of a decimal, so that ties don't depend on binary fractions; |x| below 10**20."""
-    return F.round(_c(x).cast("decimal(28,8)"), digits).cast("double")
+    """Half-up rounding of a double.
+
+    It goes by way of a decimal of 12 places, so that a tie counts as one whatever the order in which its sums were made;
+    numbers too large for that have no places to round.
+    """
+    c = _c(x).cast("double")
+    return F.coalesce(F.round(c.try_cast("decimal(38,12)"), digits).cast("double"), F.round(c, digits))
 
 
 def finite(x: str | Column) -> Column:

@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialized
 
 
-def contains_join(left: DataFrame, right: DataFrame, part: str, name: str) -> DataFrame:
-    """Left outer join where right's name contains left's part, in any case. Only distinct parts enter the nested loop."""
+#: Rows of the right side up to which names or points are sent whole to all tasks; beyond, keys lead to candidates.
+FEW = 5_000
+
+
+def _containing(left: DataFrame, right: DataFrame, part: str, name: str) -> DataFrame:
+    """_part with the columns of right: each distinct part of left with the rows whose name contains it, in any case.
+
+    Beyond FEW names, a part of three characters or more is only compared with names that have its rarest three
+    characters in a row, which any name that contains it has; shorter parts, of which there are few, with all names.
+    """
     parts = left.select(F.col(part).alias("_part")).distinct()
-    pairs = parts.join(right, F.lower(F.col(name)).contains(F.lower(F.col("_part"))))
-    return left.join(pairs, F.col(part) == F.col("_part"), "left").drop("_part")
+    holds = F.lower(F.col(name)).contains(F.lower(F.col("_part")))
+    if right.limit(FEW + 1).count() <= FEW:
+        return parts.join(F.broadcast(right), holds)
+    triples = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.lower(c), i, F.lit(3))))
+    right = materialized(right)
+    grams = right.filter(F.length(name) >= 3).withColumn("_gram", F.explode(triples(F.col(name))))
+    often = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    long = parts.filter(F.length("_part") >= 3)
+    wanted = long.select("_part", F.explode(triples(F.col("_part"))).alias("_gram")).join(often, "_gram", "left")
+    rarest = wanted.groupBy("_part").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("r")).select("_part", F.col("r._gram").alias("_gram"))
+    found = rarest.join(grams, "_gram").filter(holds).select("_part", *right.columns)
+    return found.unionByName(parts.filter(F.length("_part") < 3).join(right, holds))
+
+
+def contains_join(left: DataFrame, right: DataFrame, part: str, name: str) -> DataFrame:
+    """Left outer join where right's name contains left's part, in any case. Only distinct parts are compared."""
+    return left.join(_containing(left, right, part, name), F.col(part) == F.col("_part"), "left").drop("_part")
 
 
 def best_containing(left: DataFrame, right: DataFrame, part: str, name: str, key: str, by: list[str]) -> DataFrame:
@@ -20,8 +43,7 @@ def best_containing(left: DataFrame, right: DataFrame, part: str, name: str, key
 
     Each distinct part's best name decides first; the best of a group is the best among its rows' bests.
     """
-    parts = left.select(F.col(part).alias("_part")).distinct()
-    hits = parts.join(right, F.lower(F.col(name)).contains(F.lower(F.col("_part"))))
+    hits = _containing(left, right, part, name)
     best = hits.groupBy("_part").agg(F.min_by(F.struct(*right.columns), F.struct(-F.length(name), F.col(key))).alias("_hit"))
     found = left.join(best, F.col(part) == F.col("_part"), "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in right.columns])
     rest = [F.asc_nulls_first(c) for c in left.columns if c not in by]
@@ -29,15 +51,55 @@ def best_containing(left: DataFrame, right: DataFrame, part: str, name: str, key
     return found.withColumn("_rn", F.row_number().over(order)).filter((F.col("_rn") == 1) | F.col(key).isNull()).drop("_rn")
 
 
+def _distance(lat: str, lon: str, p: Column) -> Column:
+    """Squared distance to a point, then its name, in the order of nearness."""
+    return F.struct((F.pow(F.col(lat) - p["a"], F.lit(2)) + F.pow(F.col(lon) - p["o"], F.lit(2))).alias("d"), p["n"].alias("n"))
+
+
 def nearest(left: DataFrame, right: DataFrame, name: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Adds the name of right's nearest point by squared distance (ties: first name).
 
-    right is a dimension; it is reduced to one row of distinct points, whose place in the plan is a broadcast of that row,
-    so that left is neither shuffled nor multiplied.
+    Up to FEW points are one row, whose place in the plan is a broadcast, so that left is neither shuffled nor multiplied;
+    more are searched by grid cells. Rows and points without coordinates: a row's name is null, a point is left out.
+    """
+    points = right.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).alias("a"), F.col(lon).alias("o"), F.col(name).alias("n")).distinct()
+    if points.limit(FEW + 1).count() > FEW:
+        return nearest_by_cells(left, points, name, lat, lon)
+    whole = points.agg(F.collect_list(F.struct("a", "o", "n")).alias("_points"))
+    found = left.crossJoin(F.broadcast(whole)).withColumn(name, F.array_min(F.transform("_points", lambda p: _distance(lat, lon, p)))["n"])
+    return found.withColumn(name, F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.col(name))).drop("_points")
+
+
+def nearest_by_cells(left: DataFrame, points: DataFrame, name: str, lat: str, lon: str) -> DataFrame:
+    """nearest() to distinct points (a, o, n) of any number.
+
+    A row meets the points of its cell and of the eight around it. What it finds within a cell's width is its nearest
+    point, as all others are farther; rows that find none so near go on with cells of twice the width, until a cell
+    holds everything. Cells start small enough to hold few points, were these even.
     """
-    points = right.select(F.struct(F.col(lat).alias("a"), F.col(lon).alias("o"), F.col(name).alias("n")).alias("p")).agg(F.collect_set("p").alias("_points"))
-    d = lambda p: F.struct(F.pow(F.col(lat) - p["a"], F.lit(2)) + F.pow(F.col(lon) - p["o"], F.lit(2)), p["n"].alias("n"))
-    return left.crossJoin(points).withColumn(name, F.array_min(F.transform("_points", d))["n"]).drop("_points")
+    points = materialized(points)
+    box = points.agg(F.count(F.lit(1)).alias("n"), F.min("a"), F.max("a"), F.min("o"), F.max("o")).first()
+    rows = materialized(left.withColumn("_row", F.monotonically_increasing_id()))
+    here = rows.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    span = here.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
+    if span[0] is None or not box["n"]:
+        return rows.withColumn(name, F.lit(None).cast("string")).drop("_row")
+    whole = max(max(box[2], span[1]) - min(box[1], span[0]), max(box[4], span[3]) - min(box[3], span[2]), 1e-9)
+    width = max(whole / max(1.0, box["n"] ** 0.5), 1e-9)
+    waiting, found = here.select("_row", lat, lon), None
+    while True:
+        cell = lambda c, by=0: (F.floor(F.col(c) / width) + by).cast("long")  # noqa: B023, E731
+        around = F.array(*[F.struct(cell(lat, i).alias("x"), cell(lon, j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        asked = waiting.withColumn("_c", F.explode(around)).withColumns({"_x": F.col("_c.x"), "_y": F.col("_c.y")}).drop("_c")
+        met = asked.join(points.withColumns({"_x": cell("a"), "_y": cell("o")}), ["_x", "_y"])
+        best = met.groupBy("_row").agg(F.min(_distance(lat, lon, F.struct("a", "o", "n"))).alias("_b"))
+        own = best.filter(F.col("_b.d") <= width * width) if width <= whole else best
+        own = materialized(own.select("_row", F.col("_b.n").alias(name)))
+        found = own if found is None else found.unionByName(own)
+        waiting = materialized(waiting.join(own.select("_row"), "_row", "left_anti"))
+        if width > whole or waiting.isEmpty():
+            return rows.join(found, "_row", "left").drop("_row")
+        width *= 2
 
 
 def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:

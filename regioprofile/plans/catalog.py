@@ -22,7 +22,8 @@ ORACLES: dict[str, str] = {}
 
 
 def _r(x: str, k: int) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(28,8)), {k}) AS DOUBLE)"
+    """Half up, away from zero; what is within 1e-9 of a last place below a tie counts as the tie."""
+    return f"(sign({x}) * floor(abs({x}) * 1e{k} + 0.5 + 1e-9) / 1e{k} + 0.0)"
 
 
 def _div(n: str, d: str) -> str:
@@ -33,13 +34,11 @@ def _z(c: str) -> str:
     return _div(f"({c} - avg({c}) OVER w)", f"stddev_samp({c}) OVER w")
 
 
-#: The states that the SQL of dim_kreis and map_lookup names; these two queries keep to it. The plans have all of them.
-STATES = {k: star.STATES[k] for k in ("01", "02", "03", "04")}
 _NUM = "TRY_CAST(trim(area_km2) AS DOUBLE)"
 _COMPASS = "TRY_CAST(regexp_replace({0}, '[NSEW]', '', 'g') AS DOUBLE) * CASE WHEN {0} LIKE '%S' OR {0} LIKE '%W' THEN -1 ELSE 1 END"
 _CASES = "CASE WHEN regexp_matches(merkmal, 'erungsf.lle') THEN 'faelle' WHEN regexp_matches(merkmal, 'erte Bauland') THEN 'flaeche' WHEN starts_with(merkmal, 'Kaufsumme') THEN 'kaufsumme' {0} END"
 _CATEGORY, _CATEGORY4 = _CASES.format(""), _CASES.format("WHEN starts_with(merkmal, 'Durchschnittlicher Kaufwert') THEN 'kaufwert'")
-_STATE = "CASE substring(id, 1, 2) " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in STATES.items()) + " END"
+_STATE = "CASE substring(id, 1, 2) " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in star.STATES.items()) + " END"
 _MUNI = "municipality_name, postal_code, state_land, latitude, longitude, trim(replace(district_kreis, '\"', '')) AS district"
 
 PARTS: dict[str, tuple[tuple[str, ...], str]] = FIXTURES | {
@@ -129,12 +128,12 @@ def table(s: SparkSession, d: str, name: str) -> DataFrame:
 
 @query("SELECT * FROM dim_kreis", "dim_kreis")
 def dim_kreis(s, d):
-    return star.dim_kreis(population(s, d), STATES)
+    return star.dim_kreis(population(s, d))
 
 
 @query("SELECT * FROM dim_jahr", "dim_jahr")
 def dim_jahr(s, d):
-    return star.dim_jahr(land(s, d))
+    return star.dim_jahr(land(s, d), EXTRA_YEARS)
 
 
 @query("SELECT * FROM dim_klimastadt", "dim_klimastadt")
@@ -159,7 +158,7 @@ def fact_bauland(s, d):
 
 @query("SELECT * FROM fact_klima", "fact_klima")
 def fact_klima(s, d):
-    return star.fact_klima(climate(s, d))
+    return star.fact_klima(climate(s, d), BASE, REPORT)
 
 
 @query("SELECT * FROM fact_gemeinde_stamm", "fact_gemeinde_stamm")
@@ -168,9 +167,12 @@ def fact_gemeinde_stamm(s, d):
 
 
 def _kpi_base(s: SparkSession, d: str) -> DataFrame:
-    gemeinden = dim_gemeinde(s, d)  # numbered once; its rows are kept in storage
-    klima = star.climate_by_kreis(gemeinden, dim_klimastadt(s, d), fact_klima(s, d))
-    return star.kpi_base(fact_bevoelkerung(s, d), fact_bauland(s, d), klima, star.density_by_kreis(star.fact_gemeinde_stamm(municipality(s, d), gemeinden), gemeinden))
+    """The KPIs' inputs, as a table; each raw table is made once, and the municipalities are numbered once."""
+    wide, weather, places = t.materialized(population(s, d)), t.materialized(climate(s, d)), t.materialized(municipality(s, d))
+    gemeinden = star.dim_gemeinde(places, star.dim_kreis(wide))
+    klima = star.climate_by_kreis(gemeinden, star.dim_klimastadt(weather), star.fact_klima(weather, BASE, REPORT))
+    dichte = star.density_by_kreis(star.fact_gemeinde_stamm(places, gemeinden), gemeinden)
+    return t.materialized(star.kpi_base(star.fact_bevoelkerung(wide), fact_bauland(s, d), klima, dichte))
 
 
 @query("SELECT * FROM fact_standortprofil_kpi", "fact_standortprofil_kpi")
@@ -216,15 +218,41 @@ def stage_copy(s, d):
     return s.read.parquet(path).withColumn("n_staged", F.lit(n).cast("long"))
 
 
+_STAGED = ("region", "nation", "supplier", "customer")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_source, count(*) AS n_staged, true AS same FROM {n}" for n in _STAGED) + " UNION ALL SELECT 'none', 0, 0, true")
+def stage_several(s, d):
+    source = {n: table(s, d, n) for n in _STAGED}
+    source["none"] = source["region"].filter("r_regionkey < 0")
+    out = None
+    for name, (copy, n) in t.stage_all(source, t.shared_path(s, "staging")).items():
+        same = F.lit(copy.schema == source[name].schema and n == copy.count())
+        own = source[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_source")).withColumns({"n_staged": F.lit(n).cast("long"), "same": same})
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_PROFILED = (("region", ["r_regionkey", "r_name"]), ("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]))
+
+
 @query(
     " UNION ALL ".join(
-        f"SELECT '{tab}' AS table_name, '{c}' AS column_name, CAST({i} AS INT) AS position, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {tab}"
-        for tab, cols in (("region", ["r_regionkey", "r_name"]), ("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]))
+        f"SELECT '{tab}' AS table_name, '{c}' AS column_name, (SELECT CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END FROM {tab} LIMIT 1) AS column_type, CAST({i} AS INT) AS position, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {tab}"
+        for tab, cols in _PROFILED
         for i, c in enumerate(cols)
     )
 )
 def profile_tables(s, d):
-    return t.profile({n: table(s, d, n) for n in ("region", "nation", "supplier")})
+    own = {n: (lambda n=n: table(s, d, n)) for n in ("region", "nation", "supplier")}
+    found, bad = t.inspected(own | {"missing": lambda: s.read.parquet(f"{d}/no_such_table.parquet")})
+    assert list(bad) == ["missing"]
+    return found
+
+
+@query("SELECT row FROM (SELECT format('{{\"n_nationkey\":{},\"n_name\":\"{}\",\"n_regionkey\":{}}}', n_nationkey, n_name, n_regionkey) AS row FROM nation ORDER BY n_nationkey LIMIT 3) AS x")
+def profile_samples(s, d):
+    return t.sample_rows(table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"])
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 3")
@@ -239,10 +267,33 @@ def seed_if_empty(s, d):
     return t.seed_if_empty(full, seed).unionByName(t.seed_if_empty(full.filter("id < 0"), seed))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')")
+_SEEDS = [("A1", "9.90", "2024-01-15 08:30:00"), ("A2", "1234.50", "2024-02-29 23:59:59"), ("Customer#000000001", "0.05", "1999-12-31 00:00:00")]
+
+
+@query(
+    "SELECT c_name AS code, CAST(c_acctbal AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS since FROM customer UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"('{a}', CAST({b} AS DOUBLE), '{c}')" for a, b, c in _SEEDS) + ") AS v(code, amount, since) WHERE code NOT IN (SELECT c_name FROM customer)"
+)
+def seed_missing_keys(s, d):
+    """Literal rows of DECIMAL(10,2) and TIMESTAMP, added where their key is missing; a second run adds nothing."""
+    rows = " UNION ALL ".join(f"SELECT '{a}' AS code, CAST({b} AS DECIMAL(10,2)) AS amount, TIMESTAMP '{c}' AS since" for a, b, c in _SEEDS)
+    have = table(s, d, "customer").select(F.col("c_name").alias("code"), F.col("c_acctbal").cast("decimal(10,2)").alias("amount"), F.lit(None).cast("timestamp").alias("since"))
+    x = t.with_missing(t.with_missing(have, s.sql(rows), "code"), s.sql(rows), "code")
+    return x.select("code", F.col("amount").cast("double").alias("amount"), F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')")
 def incremental_load(s, d):
     o = table(s, d, "orders")
-    return t.newer_rows(o, o.filter("o_orderdate < timestamp '1998-01-01'"), "o_orderkey").select("o_orderkey", "o_custkey")
+    return t.newer_rows(o, o.filter("o_orderdate < timestamp '1998-01-01'"), "o_orderdate").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) AS x WHERE rn = 1")
+def incremental_latest(s, d):
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    old = o.filter("o_orderdate < timestamp '1998-01-01'")
+    now = old.unionByName(t.newer_rows(o, old, "o_orderdate"))
+    return t.latest_rows(now, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 # ---- filters and joins --------------------------------------------------------------------------------------------
@@ -490,7 +541,7 @@ def categorize_labels(s, d):
 
 @query(f"SELECT id, {_STATE} AS bundesland_name FROM raw_population_wide", "raw_population_wide")
 def map_lookup(s, d):
-    return population(s, d).select("id", v.looked_up(F.substring("id", 1, 2), STATES).alias("bundesland_name"))
+    return population(s, d).select("id", v.looked_up(F.substring("id", 1, 2), star.STATES).alias("bundesland_name"))
 
 
 @query("SELECT dt, city, TRY_CAST(substring(dt, 1, 4) AS INT) AS jahr FROM raw_climate", "raw_climate")
@@ -515,9 +566,40 @@ _AUDITS = {
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS check_name, count(*) FILTER (WHERE {c}) AS n_bad, count(*) FILTER (WHERE {c}) = 0 AS passed FROM dim_gemeinde" for k, c in _AUDITS.items()), "dim_gemeinde")
 def audit_checks(s, d):
-    one = dim_gemeinde(s, d).agg(*[F.count_if(F.expr(c)).alias(k) for k, c in _AUDITS.items()])
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(k).alias("n_bad")) for k in _AUDITS]))
-    return one.select(rows.alias("r")).select("r.*", (F.col("r.n_bad") == 0).alias("passed"))
+    return t.audit(dim_gemeinde(s, d), _AUDITS)
+
+
+_PLAUSIBLE = {
+    "year_missing": "jahr IS NULL",
+    "price_negative": "baulandpreis_pro_kopf_eur < 0",
+    "land_negative": "freiflaeche_pro_einwohner_qm < 0",
+    "urbanisation_below_one": "verstaedterung_index < 1",
+    "score_extreme": "abs(standortattraktivitaets_score) > 30",
+    "risk_without_pressure": "klima_angepasstes_wohnraumrisiko IS NOT NULL AND wohnraumdruck_index IS NULL",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS check_name, count(*) FILTER (WHERE {c}) AS n_bad, count(*) FILTER (WHERE {c}) = 0 AS passed FROM fact_standortprofil_kpi" for k, c in _PLAUSIBLE.items()), "fact_standortprofil_kpi")
+def plausibility_kpi(s, d):
+    return t.audit(fact_standortprofil_kpi(s, d), _PLAUSIBLE)
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def audit_then_publish(s, d):
+    """A staged table is published where its audit passes; the second, which doesn't, leaves the target as it is."""
+    own = table(s, d, "customer").select("c_custkey", "c_name")
+    root, target = t.shared_path(s, "staging"), t.shared_path(s, "published")
+    t.stage_all({"good": own, "bad": own.withColumn("c_name", F.when(F.col("c_custkey") > 3, F.col("c_name")))}, root)
+    checks = {"key_missing": "c_custkey IS NULL", "name_missing": "c_name IS NULL"}
+    failed = [t.publish(f"{root}/{k}", target, checks, s) for k in ("good", "bad")]
+    assert not failed[0] and list(failed[1]) == ["name_missing"]
+    return s.read.parquet(target)
+
+
+@query("SELECT count(*) AS n_rows, count(kreis_id) AS n_matched, " + _r(_div("100.0 * count(kreis_id)", "count(*)"), 2) + " AS pct FROM matched", "matched")
+def bridge_match_rate(s, d):
+    x = fuzzy_best_match(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count("kreis_id").alias("n_matched"))
+    return x.withColumn("pct", v.round_to(v.safe_div(100.0 * F.col("n_matched"), "n_rows"), 2))
 
 
 _COVERED = ["wohnraumdruck_index", "baulandpreis_pro_kopf_eur", "verstaedterung_index", "standortattraktivitaets_score"]

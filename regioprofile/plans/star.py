@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.values import category, compass, decade, decimal_comma, lenient_double, looked_up, round_to, safe_div, unquoted, year_of
 from ..operators.match import best_containing, nearest, numbered
 from ..operators.reshape import anomaly, at_level, growth, pivoted, unpivot_years, with_group_stats, z
-from ..sources.fixtures import BASE, EXTRA_YEARS, REPORT
 from ..sources.tables import conform, full_load
 
 #: Names of the states whose code is known; patterns of feature labels, of which umlauts are damaged.
@@ -21,6 +20,8 @@ STATES = {
 FEATURES = [("erungsf.lle", "faelle"), ("erte Bauland", "flaeche"), ("^Kaufsumme", "kaufsumme")]
 ALL_FEATURES = [*FEATURES, ("^Durchschnittlicher Kaufwert", "kaufwert")]
 LEVEL, COUNTRY = 5, "Germany"
+#: First and last years of the climate baseline, of the reported years, and of the year dimension's own rows.
+BASE, REPORT, EXTRA_YEARS = (1961, 1990), (1995, 2024), (1995, 2024)
 
 
 def dim_kreis(population: DataFrame, states: dict[str, str] = STATES) -> DataFrame:
@@ -33,9 +34,9 @@ def year_rows(spark: SparkSession, first: int, last: int) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("jahr"))
 
 
-def dim_jahr(land: DataFrame) -> DataFrame:
+def dim_jahr(land: DataFrame, extra: tuple[int, int] = EXTRA_YEARS) -> DataFrame:
     found = land.select(F.col("jahr").try_cast("int").alias("jahr")).filter(F.col("jahr").isNotNull())
-    years = found.distinct().unionByName(year_rows(land.sparkSession, *EXTRA_YEARS)).distinct()
+    years = found.distinct().unionByName(year_rows(land.sparkSession, *extra)).distinct()
     return conform(years.withColumn("jahrzehnt", decade("jahr")), "dim_jahr")
 
 
@@ -63,8 +64,9 @@ def years_of(population: DataFrame) -> list[int]:
     return sorted(y + (1900 if y >= 50 else 2000) for y in found)
 
 
-def fact_bevoelkerung(population: DataFrame) -> DataFrame:
-    suffixes = {str(y)[2:]: y for y in years_of(population)}
+def fact_bevoelkerung(population: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
+    """years: first and last one; all that there are columns of by default."""
+    suffixes = {str(y)[2:]: y for y in years_of(population) if years is None or years[0] <= y <= years[1]}
     x = unpivot_years(at_level(population, "id", LEVEL), ["id"], ["insgesamt", "maennlich", "weiblich"], suffixes, "insgesamt")
     x = growth(x, "id", "jahr", "insgesamt", "g")
     return conform(
@@ -92,9 +94,9 @@ def fact_bauland(land: DataFrame) -> DataFrame:
     )
 
 
-def fact_klima(climate: DataFrame) -> DataFrame:
+def fact_klima(climate: DataFrame, base: tuple[int, int] = BASE, report: tuple[int, int] = REPORT) -> DataFrame:
     x = climate.filter((F.col("country") == COUNTRY) & F.col("averagetemperature").isNotNull()).select(F.col("city").alias("stadt_name"), year_of("dt").alias("jahr"), "averagetemperature")
-    x = anomaly(x, "stadt_name", "jahr", "averagetemperature", BASE, REPORT)
+    x = anomaly(x, "stadt_name", "jahr", "averagetemperature", base, report)
     return conform(x.select("stadt_name", "jahr", round_to("mean", 2).alias("avg_temperatur"), round_to("anomaly", 2).alias("temperatur_abweichung_grad")), "fact_klima")
 
 
@@ -148,7 +150,10 @@ def fact_standortprofil_kpi(base: DataFrame) -> DataFrame:
     )
 
 
-def build_all(raws: dict[str, DataFrame], root: str) -> dict[str, int]:
+def build_all(
+    raws: dict[str, DataFrame], root: str, states: dict[str, str] = STATES, years: tuple[int, int] | None = None,
+    extra: tuple[int, int] = EXTRA_YEARS, base: tuple[int, int] = BASE, report: tuple[int, int] = REPORT,
+) -> dict[str, int]:
     """Builds and loads all nine tables under root; each is read back for the next ones. Returns their row counts."""
     spark = next(iter(raws.values())).sparkSession
     counts: dict[str, int] = {}
@@ -157,11 +162,11 @@ def build_all(raws: dict[str, DataFrame], root: str) -> dict[str, int]:
         counts[name] = full_load(df, f"{root}/{name}")
         return spark.read.parquet(f"{root}/{name}")
 
-    kreise = load("dim_kreis", dim_kreis(raws["population"]))
-    load("dim_jahr", dim_jahr(raws["land"]))
+    kreise = load("dim_kreis", dim_kreis(raws["population"], states))
+    load("dim_jahr", dim_jahr(raws["land"], extra))
     staedte = load("dim_klimastadt", dim_klimastadt(raws["climate"]))
     gemeinden = load("dim_gemeinde", dim_gemeinde(raws["municipality"], kreise))
-    bev, bau, klima = load("fact_bevoelkerung", fact_bevoelkerung(raws["population"])), load("fact_bauland", fact_bauland(raws["land"])), load("fact_klima", fact_klima(raws["climate"]))
+    bev, bau, klima = load("fact_bevoelkerung", fact_bevoelkerung(raws["population"], years)), load("fact_bauland", fact_bauland(raws["land"])), load("fact_klima", fact_klima(raws["climate"], base, report))
     stamm = load("fact_gemeinde_stamm", fact_gemeinde_stamm(raws["municipality"], gemeinden))
     load("fact_standortprofil_kpi", fact_standortprofil_kpi(kpi_base(bev, bau, climate_by_kreis(gemeinden, staedte, klima), density_by_kreis(stamm, gemeinden))))
     return counts

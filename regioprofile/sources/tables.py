@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +34,11 @@ CONTRACTS = {
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; in a temporary folder only where that is unset."""
+    """A new path in the folder of spark.checkpoint.dir; where that is unset, in a temporary one, if the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tables-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
@@ -73,6 +78,31 @@ def stage(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def stage_all(tables: dict[str, DataFrame], root: str) -> dict[str, tuple[DataFrame, int]]:
+    """Copies of several tables under root, each with its source's columns and types, even without rows, and its count."""
+    out = {}
+    for name, df in tables.items():
+        n = stage(df, path := f"{root}/{name}")
+        out[name] = df.sparkSession.read.schema(df.schema).parquet(path), n
+    return out
+
+
+def audit(df: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """check_name, n_bad, passed: by one aggregation, how many rows meet each condition that no row should meet."""
+    one = df.agg(*[F.count_if(F.expr(c)).alias(k) for k, c in checks.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(k).alias("n_bad")) for k in checks]))
+    return one.select(rows.alias("r")).select("r.*", (F.col("r.n_bad") == 0).alias("passed"))
+
+
+def publish(staged: str, target: str, checks: dict[str, str], spark: SparkSession) -> dict[str, int]:
+    """Loads a staged table into its target if its audit passes; else the target stays. Returns the failed checks' rows."""
+    df = spark.read.parquet(staged)
+    failed = {r["check_name"]: r["n_bad"] for r in audit(df, checks).filter("not passed").collect()}  # a row for each check
+    if not failed:
+        full_load(df, target)
+    return failed
+
+
 def truncate(spark: SparkSession, path: str, schema: T.StructType) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
@@ -90,16 +120,45 @@ def list_tables(spark: SparkSession, database: str = "default") -> list[str]:
 
 
 def profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, column_name, position, n_rows, n_nulls for each column, by one aggregation of each table."""
+    """table_name, column_name, column_type, position, n_rows, n_nulls for each column, by one aggregation of each table."""
     out = None
     for name, df in tables.items():
-        stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(df.columns)])
-        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), F.col(f"_{i}").alias("n_nulls")) for i, c in enumerate(df.columns)])
-        own = stats.select(F.lit(name).alias("table_name"), F.col("n").alias("n_rows"), F.explode(rows).alias("c")).select("table_name", "c.column_name", "c.position", "n_rows", "c.n_nulls")
+        stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_{i}") for i, c in enumerate(df.columns)])
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("column_type"), F.lit(i).alias("position"), F.col(f"_{i}").alias("n_nulls")) for i, (c, k) in enumerate(df.dtypes)])
+        own = stats.select(F.lit(name).alias("table_name"), F.col("n").alias("n_rows"), F.explode(rows).alias("c")).select("table_name", "c.column_name", "c.column_type", "c.position", "n_rows", "c.n_nulls")
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def sample_rows(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:
+    """The first n rows in an order, each as text."""
+    return df.orderBy(*order).limit(n).select(F.to_json(F.struct(*df.columns)).alias("row"))
+
+
+def inspected(tables: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """profile() of the tables that can be read, and what was wrong with the others; one broken table stops no other."""
+    good, bad = {}, {}
+    for name, read in tables.items():
+        try:
+            df = read()
+            df.limit(1).collect()
+            good[name] = df
+        except (AnalysisException, Py4JJavaError, SparkRuntimeException) as e:
+            bad[name] = str(e).splitlines()[0]
+    return (profile(good) if good else None), bad
+
+
+def with_missing(target: DataFrame, seed: DataFrame, key: str) -> DataFrame:
+    """The target and the seed rows whose key it lacks; running it again adds nothing."""
+    return target.unionByName(seed.join(target.select(key), key, "left_anti").select(*target.columns))
+
+
+def latest_rows(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row of each key in an order: of what a target has and what came later, the current state."""
+    last = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
+    return last.select("_r.*")
+
+
 def seed_if_empty(target: DataFrame, seed: DataFrame) -> DataFrame:
     """The target, or the seed rows where it has none."""
     none = target.limit(1).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(F.lit(1).alias("_e"))

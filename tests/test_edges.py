@@ -1,6 +1,7 @@
 """Edge cases of the operators on small frames, and the tables' contracts."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ def test_division_and_rounding(spark):
     assert one(spark, v.safe_div("n", "d"), n=1.0, d=0.0) is None
     assert one(spark, v.safe_div("n", "d"), n=0, d=0) is None
     assert one(spark, v.safe_div("n", "d"), n=1, d=4) == 0.25
-    assert one(spark, v.round_to("x", 2), x=19.435) == 19.44
+    assert one(spark, v.round_to("x", 2), x=19.435) == 19.44 and one(spark, v.round_to("x", 2), x=-0.125) == -0.13
+    assert one(spark, v.round_to("x", 2), x=0.0049999999) == 0.0 and one(spark, v.round_to("x", 2), x=1e21) == 1e21
+    assert math.isnan(one(spark, v.round_to("x", 2), x=math.nan)) and one(spark, v.round_to("x", 2), x=-math.inf) == -math.inf
 
 
 def test_nonfinite_numbers_become_null(spark):
@@ -73,8 +76,9 @@ def test_nearest_takes_the_first_name_on_ties(spark):
 def test_loading_twice_gives_the_same_tables(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     raws = {"population": catalog.population(spark, sf), "land": catalog.land(spark, sf), "climate": catalog.climate(spark, sf), "municipality": catalog.municipality(spark, sf)}
-    first = star.build_all(raws, str(tmp_path / "a"))
-    assert first == star.build_all(raws, str(tmp_path / "a"))
+    bounds = {"extra": catalog.EXTRA_YEARS, "base": catalog.BASE, "report": catalog.REPORT}
+    first = star.build_all(raws, str(tmp_path / "a"), **bounds)
+    assert first == star.build_all(raws, str(tmp_path / "a"), **bounds)
     assert first["dim_gemeinde"] == 138 and first["fact_standortprofil_kpi"] == 67 and first["dim_jahr"] == 12
     for name, schema in t.CONTRACTS.items():
         assert [(f.name, f.dataType) for f in spark.read.parquet(str(tmp_path / "a" / name)).schema] == [(f.name, f.dataType) for f in schema]
@@ -101,3 +105,72 @@ def test_all_states_have_names_and_no_year_is_dropped(spark):
     names = {r.bundesland_id: r.bundesland_name for r in star.dim_kreis(wide).collect()}
     assert names["17"] is None and names["05"] == "Nordrhein-Westfalen" and names["16"] == "Thueringen" and len(set(names.values())) == 17
     assert {r.jahr for r in star.fact_bevoelkerung(wide).collect()} == {2001, 2024}
+
+
+def test_year_bounds_by_default(spark):
+    rows = [(f"{y}-06-01", float(y % 10), "A", "Germany") for y in range(1955, 2027)]
+    klima = spark.createDataFrame(rows, "dt string, averagetemperature double, city string, country string")
+    got = {r.jahr: r.temperatur_abweichung_grad for r in star.fact_klima(klima).collect()}
+    assert sorted(got) == list(range(1995, 2025)) and got[1995] == 0.5  # 5 - the mean 4.5 of 1961-1990
+    land = spark.createDataFrame([("1990",), ("x",), (None,), ("2024",)], "jahr string")
+    assert sorted((r.jahr, r.jahrzehnt) for r in star.dim_jahr(land).collect()) == [(1990, 1990)] + [(y, y // 10 * 10) for y in range(1995, 2025)]
+    wide = spark.createDataFrame([("01001", "x", 1, 2, 3, 4, 5, 6)], "id string, kreis string, insgesamt_94 long, maennlich_94 long, weiblich_94 long, insgesamt_24 long, maennlich_24 long, weiblich_24 long")
+    assert [r.jahr for r in star.fact_bevoelkerung(wide, (1995, 2024)).collect()] == [2024]
+
+
+def test_many_names_and_points_give_what_few_do(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    left = spark.createDataFrame([(i, "p", None if i % 13 == 0 else word(rng.randint(0, 5)).upper()) for i in range(150)], "id int, plz string, part string")
+    right = spark.createDataFrame([(f"{i:03d}", word(rng.randint(1, 9))) for i in range(80)], "kid string, kname string")
+    place = lambda k: (rng.gauss(0, 1) ** k, rng.gauss(0, 5))
+    here = spark.createDataFrame([(i, *place(3)) for i in range(200)] + [(900, None, 1.0), (901, 300.0, -200.0)], "id int, latitude double, longitude double")
+    there = spark.createDataFrame([(f"n{i}", *place(1)) for i in range(60)] + [("x", None, None), ("n99", 0.0, 0.0), ("n98", 0.0, 0.0)], "name string, latitude double, longitude double")
+    results = []
+    for few in (5000, 10):
+        monkeypatch.setattr(match, "FEW", few)
+        joined = match.contains_join(left, right, "part", "kname")
+        best = match.best_containing(left, right, "part", "kname", "kid", ["id", "plz"])
+        near = match.nearest(here, there, "name")
+        results.append([sorted(map(str, df.select(*sorted(df.columns)).collect())) for df in (joined, best, near)])
+    assert results[0] == results[1]
+    assert len(results[0][2]) == 202
+
+
+def test_tables_staged_audited_and_inspected(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
+    staged = t.stage_all({"x": df, "none": df.limit(0)}, str(tmp_path / "s"))
+    assert [n for _, n in staged.values()] == [2, 0] and all(copy.schema == df.schema for copy, _ in staged.values())
+    checks, target = {"name_missing": "s IS NULL"}, str(tmp_path / "t")
+    assert t.publish(str(tmp_path / "s/none"), target, checks, spark) == {} and spark.read.parquet(target).count() == 0
+    assert t.publish(str(tmp_path / "s/x"), target, checks, spark) == {"name_missing": 1} and spark.read.parquet(target).count() == 0
+    found, bad = t.inspected({"x": lambda: df, "gone": lambda: spark.read.parquet(str(tmp_path / "gone"))})
+    assert [(r.column_name, r.column_type, r.n_rows, r.n_nulls) for r in found.orderBy("position").collect()] == [("k", "int", 2, 0), ("s", "string", 2, 1)] and list(bad) == ["gone"]
+    assert [r.row for r in t.sample_rows(df, ["k"]).collect()] == ['{"k":1,"s":"a"}', '{"k":2}']
+    more = t.with_missing(df, spark.createDataFrame([(2, "z"), (3, "c")], df.schema), "k")
+    assert sorted((r.k, r.s or "") for r in more.collect()) == [(1, "a"), (2, ""), (3, "c")]
+    assert [(r.k, r.s) for r in t.latest_rows(spark.createDataFrame([(1, "a"), (1, "b")], df.schema), "k", ["s"]).collect()] == [(1, "b")]
+
+
+def test_jdbc_reads_are_split(spark, monkeypatch):
+    """Without a database, what the reader is given is looked at: the splits are Spark's own options."""
+    given = {}
+
+    class Reader:
+        def format(self, f):
+            given["format"] = f
+            return self
+
+        def options(self, **o):
+            given.update(o)
+            return self
+
+        def load(self, *where):
+            given["where"] = where
+            return spark.range(1)
+
+    class Session:
+        read = Reader()
+
+    t.read_table(Session(), "unused", "jdbc", url="jdbc:x", dbtable="t", partitionColumn="id", lowerBound="0", upperBound="100", numPartitions="4")
+    assert given == {"format": "jdbc", "url": "jdbc:x", "dbtable": "t", "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "4", "where": ()}
