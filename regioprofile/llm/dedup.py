@@ -8,11 +8,12 @@ needs an edit similarity of 0.8 or more between the two shingle sequences.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -84,10 +85,10 @@ def sketch(x: np.ndarray) -> np.ndarray:
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences, by alignment within a band of `most` cells on both sides of the diagonal.
+    """Edit distance of two sequences, by alignment within a band around the diagonal that doubles until it suffices.
 
-    Exact if it is `most` at most, else some number above. A row of the matrix is one integer with a bit for each cell
-    (vertical differences, after Myers and Hyyro); cells outside the band never match.
+    Exact if it is `most` at most, else some number above. Time and memory follow the length times the distance, so that
+    very long texts that are alike cost little.
     """
     n = min(len(a), len(b))
     if abs(len(a) - len(b)) > most:
@@ -101,69 +102,105 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         same = a[::-1][:n] == b[::-1][:n]
         back = n if same.all() else int(np.argmin(same))
     a, b = a[: len(a) - back], b[: len(b) - back]
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
-    where: dict[int, int] = {}
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return len(a)
+    places: dict[int, list[int]] = {}
     for i, v in enumerate(a.tolist()):
-        where[v] = where.get(v, 0) | 1 << i
-    every = (1 << len(a)) - 1
-    top = 1 << (len(a) - 1)
-    down, up, distance = every, 0, len(a)
-    band = (1 << (2 * most + 1)) - 1
-    for j, v in enumerate(b.tolist()):
-        match = where.get(v, 0)
-        if match:
-            match &= band << (j - most) if j > most else band >> (most - j)
-        x = match | up
-        d0 = ((((match & down) + down) ^ down) | x) & every
-        right = up | (every & ~(d0 | down))
-        left = d0 & down
-        if right & top:
-            distance += 1
-        elif left & top:
-            distance -= 1
-        right = (right << 1 | 1) & every
-        left = (left << 1) & every
-        down = left | (every & ~(d0 | right))
-        up = d0 & right
+        places.setdefault(v, []).append(i)
+    given, band = [places.get(v, ()) for v in b.tolist()], max(16, len(a) - len(b))
+    while band < most and (d := _in_band(given, len(a), band)) > band:
+        band *= 4
+    return d if band < most else _in_band(given, len(a), most)
+
+
+def _in_band(given: list, n: int, band: int) -> int:
+    """Edit distance of a longer sequence of n and a shorter one, if it is at most `band`, else some number above.
+
+    given: for each element of the shorter one its places in the longer one, in order. A column of the matrix is two
+    integers with a bit for each of the 2 * band + 1 cells around the diagonal (vertical differences, after Myers and
+    Hyyro); the window moves down by one cell with each column.
+    """
+    width = 2 * band + 1
+    every = (1 << width) - 1
+    last = 1 << (width - 1)  # the cell `band` below the diagonal, while the matrix reaches as far
+    down, up, distance = every & (every << band), 0, min(band, n)
+    columns = len(given)
+    for j, own in enumerate(given):
+        low = j - band  # row of the window's first cell
+        match = 0
+        if own:
+            k = bisect_left(own, low) if own[0] < low else 0
+            while k < len(own) and own[k] <= j + band:
+                match |= 1 << (own[k] - low)
+                k += 1
+        d0 = ((((match & down) + down) ^ down) | match | up) & every
+        right, left = up | (every & ~(d0 | down)), d0 & down
+        if j + band < n:  # down the diagonal
+            if not d0 & last:
+                distance += 1
+        else:  # along the last row, which moves up through the window
+            bottom = 1 << (n - 1 - low)
+            if right & bottom:
+                distance += 1
+            elif left & bottom:
+                distance -= 1
+        if distance - max(0, columns - 1 - max(j, n - 1 - band)) > band:  # it can fall in columns of the last row only
+            return distance
+        down, up = left | (every & ~(d0 >> 1 | right)), d0 >> 1 & right
     return distance
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
-    """1 - edit distance / longer length; exact from `least` up, and 0 below it or if one has no shingle."""
+    """1 - edit distance / longer length; exact from `least` up, and 0 below it or if one has no shingle.
+
+    Whatever an alignment keeps is in both, so only sequences that have enough labelled shingles in common are aligned.
+    """
     longer = max(len(a), len(b))
     if not len(a) or not len(b):
         return 0.0
     most = int((1 - least) * longer + 1e-9)
+    if longer - min(len(a), len(b)) > most or longer - len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) > most:
+        return 0.0
     d = edit_distance(a, b, most)
     return 1 - d / longer if d <= most else 0.0
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h, n, sketch: fingerprint and length of the shingle sequence, and its sketches; null for no words."""
+    """doc_id, t, h, n, sketch: the text's hash, fingerprint and length of the shingle sequence, and its sketches.
+
+    The last three are null, 0 and null for a text without words.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in in_pieces(batch.column(1).to_pylist()):
+            for first, texts in in_pieces(batch.column(2).to_pylist()):
                 seqs = shingle_sequences(texts)
                 whole = [int(mix((x * (2 * np.arange(len(x), dtype=np.uint64) + np.uint64(1))).sum(keepdims=True)).view(np.int64)[0]) if len(x) else None for x in seqs]
                 made = [sketch(x).view(np.int64).tolist() if len(x) else None for x in seqs]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(whole, pa.int64()), pa.array([len(x) for x in seqs], pa.int32()), pa.array(made, pa.list_(pa.int64()))],
-                    ["doc_id", "h", "n", "sketch"],
+                    [*(batch.column(k).slice(first, len(texts)) for k in (0, 1)), pa.array(whole, pa.int64()), pa.array([len(x) for x in seqs], pa.int32()), pa.array(made, pa.list_(pa.int64()))],
+                    ["doc_id", "t", "h", "n", "sketch"],
                 )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, h long, n int, sketch array<long>")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _text_hash(text).alias("t"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, t long, h long, n int, sketch array<long>")
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are similar. Ids that lead many pairs are dealt over salts."""
+    """(a, b) of the pairs (lead, b) of classes whose texts are similar.
+
+    A class follows few leaders, so its text is sent to them; leaders, who may have many, are dealt over salts.
+    """
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(32)).cast("int"))
-    heads = pairs.select("a", "salt").distinct()
-    heads = heads.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(heads, ["a", "salt"])
-    kind = pairs.schema["a"].dataType.simpleString()
+    heads = pairs.select("lead", "salt").distinct().join(texts.select(F.col("h").alias("lead"), F.col("text").alias("text_a")), "lead")
+    joined = pairs.join(texts.select(F.col("h").alias("b"), F.col("text").alias("text_b")), "b").join(heads, ["lead", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,22 +211,37 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 sims = [similarity(known[a], b) for a, b in zip(left, shingle_sequences(list(right)), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(first, len(left)) for k in (0, 1)] + [pa.array(sims)], ["a", "b", "similarity"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double").filter(F.col("similarity") >= SIMILAR)
+    found = joined.select(F.col("lead").alias("a"), "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return found.filter(F.col("similarity") >= SIMILAR).select("a", "b")
+
 
+def _pairs(found: DataFrame) -> DataFrame:
+    """lo, hi, lead, b: each pair of the rows (lead, b) once, whichever of the two leads."""
+    x = found.select(F.least("lead", "b").alias("lo"), F.greatest("lead", "b").alias("hi"), "lead").groupBy("lo", "hi").agg(F.min("lead").alias("lead"))
+    return x.withColumn("b", F.when(F.col("lead") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
 
-def _leader_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): each bucket's members b with two leaders a, the smallest id and one that the bucket's key chooses."""
-    lead = keys.groupBy("key").agg(F.min("doc_id").alias("a1"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("a2"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    led = keys.join(lead, "key").select("a1", "a2", F.col("doc_id").alias("b"))
-    pairs = led.select(F.col("a1").alias("a"), "b").unionByName(led.select(F.col("a2").alias("a"), "b"))
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _near(n: str, m: str) -> Column:
+    """Whether lengths allow a link."""
+    return F.least(n, m) >= SIMILAR * F.greatest(n, m) - 1e-6
+
+
+def _led(keys: DataFrame) -> DataFrame:
+    """(lead, b): each bucket's members b with two leaders, the smallest class and one that the bucket's key chooses.
+
+    Only members of another component (c) than the leader's and of a length that allows a link.
+    """
+    lead = keys.groupBy("key").agg(F.min(F.struct("h", "n", "c")).alias("l1"), F.min(F.struct(F.xxhash64("h", "key").alias("x"), "h", "n", "c")).alias("l2"), F.count("*").alias("m")).filter("m > 1")
+    lead = lead.select("key", F.explode(F.array("l1", F.struct("l2.h", "l2.n", "l2.c"))).alias("l"))
+    x = keys.join(lead, "key").filter((F.col("c") != F.col("l.c")) & _near("n", "l.n"))
+    return x.select(F.col("l.h").alias("lead"), F.col("h").alias("b"))
 
 
 def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows with c, the component of their doc_id."""
+    """The rows with c, the component of their class."""
     label = components(links)
     keys = keys.drop("c")
-    return keys.join(label, keys["doc_id"] == label["node"], "left").select(*keys.columns, F.coalesce("component", "doc_id").alias("c"))
+    return keys.join(label, keys["h"] == label["node"], "left").select(*keys.columns, F.coalesce("component", "h").alias("c"))
 
 
 def _apart(keys: DataFrame, most: int | None = None) -> DataFrame:
@@ -199,10 +251,10 @@ def _apart(keys: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def _pairs_apart(keys: DataFrame) -> DataFrame:
-    """(a, b): members of a bucket that are in different components and of lengths that allow a link."""
-    other = keys.select("key", F.col("c").alias("c2"), F.col("doc_id").alias("b"), F.col("n").alias("n2"))
-    near = F.least("n", "n2") >= SIMILAR * F.greatest("n", "n2") - 1e-6
-    return keys.join(other, "key").filter((F.col("c") < F.col("c2")) & near).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+    """(lead, b): members of a bucket that are in different components and of lengths that allow a link."""
+    other = keys.select("key", F.col("c").alias("c2"), F.col("h").alias("b"), F.col("n").alias("n2"))
+    found = keys.join(other, "key").filter((F.col("c") < F.col("c2")) & _near("n", "n2"))
+    return found.select(F.col("h").alias("lead"), "b")
 
 
 def _counted(texts: DataFrame) -> np.ndarray:
@@ -226,14 +278,14 @@ def _counted(texts: DataFrame) -> np.ndarray:
 
 
 def _rarest(texts: DataFrame) -> DataFrame:
-    """key, doc_id, n, c: the labelled shingles among the 0.2 n + 1 rarest of each text of n that others may have, as keys.
+    """key, h, n, c: the labelled shingles among the 0.2 n + 1 rarest of each text of n that others may have, as keys.
 
     Texts of similarity 0.8 share at least 0.8 of the longer one's labelled shingles; so, in any fixed order of all
     shingles, the first 0.2 n + 1 of both have one in common. With rare ones first, a passage that many texts share
     only comes up in texts that hardly have anything else. A shingle whose counter shows a single occurrence is in no
     second text, so it is no key.
     """
-    spark, kind = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()
+    spark = texts.sparkSession
     sums = spark.sparkContext.broadcast(_counted(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,68 +300,105 @@ def _rarest(texts: DataFrame) -> DataFrame:
                     sizes.append(len(own[-1]))
                     lengths.append(len(y))
                 at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-                doc, c = (batch.column(k).slice(first, len(some)).take(at) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), doc, pa.array(np.repeat(lengths, sizes), pa.int32()), c], ["key", "doc_id", "n", "c"])
+                own_h, c = (batch.column(k).slice(first, len(some)).take(at) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), own_h, pa.array(np.repeat(lengths, sizes), pa.int32()), c], ["key", "h", "n", "c"])
 
-    return texts.select("doc_id", "c", "text").mapInArrow(run, f"key long, doc_id {kind}, n int, c {kind}")
+    return texts.select("h", "c", "text").mapInArrow(run, "key long, h long, n int, c long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id, kept, n_shingles: a row for each distinct non-null id.
+def _classes(made: DataFrame) -> DataFrame:
+    """h, n, sketch, doc_id, t: a row for each class of equal shingle sequences, with one of the rows that have it."""
+    return made.filter("h is not null").groupBy("h", "n").agg(F.min(F.struct("doc_id", "t", "sketch")).alias("x")).select("h", "n", "x.*")
 
-    component_id is the smallest id reachable over links; kept marks it. Texts of equal words (case and punctuation
-    aside) are one class and are compared as one. Texts that are null or without words link with nothing. Rows that
-    repeat an id count as one document, whose smallest fingerprint stands for it; rows of null id are left out. An empty
-    table gives an empty one.
 
-    Steps: sketches; classes of equal sequences; buckets of equal sketches, whose members are compared with two leaders
-    each, so that a large group makes pairs in proportion to its size; components. Of the buckets with members that are
-    still apart, small ones are compared pair by pair. The texts of larger ones, which mostly share a passage only, meet
-    again by their rarest shingles, first with leaders, then all that are still apart. So every pair that shares a
-    sketch ends up in one component or has been found to be below the similarity, whatever its bucket's size.
-    """
-    made = written(sketches(docs.filter(F.col(doc_id).isNotNull()), doc_id, text), "sketches")
-    one = made.groupBy("doc_id").agg(F.min_by(F.struct("h", "n"), F.col("h")).alias("x")).select("doc_id", "x.h", "x.n")
-    classes = one.filter(F.col("h").isNotNull()).groupBy("h", "n").agg(F.min("doc_id").alias("rep"))
-    reps = classes.withColumnRenamed("rep", "doc_id").join(made, ["doc_id", "h", "n"]).dropDuplicates(["doc_id"])
-    bands = reps.select("doc_id", "n", F.posexplode("sketch").alias("band", "s")).select("doc_id", "n", F.xxhash64("band", "s").alias("key"))
+def _links(made: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(a, b): links between classes of equal shingle sequences; see near_duplicates() for the steps."""
+    classes = written(_classes(made), "classes")
+    bands = classes.select("h", "n", F.posexplode("sketch").alias("band", "s")).select("h", "n", F.xxhash64("band", "s").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    keys = written(bands.join(shared, "key"), "buckets")
-
-    pairs = written(_leader_pairs(keys.select("key", "doc_id")), "pairs")
-    needed = keys.select("doc_id").distinct()
-    texts = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = written(_verified(pairs, texts), "links").select("a", "b")
-
-    # buckets with members that are still apart
+    keys = written(bands.join(shared, "key").withColumn("c", F.col("h")), "buckets")
+
+    # the texts of classes that have any partner; of equal texts only the row that its class names is read
+    needed = classes.join(keys.select("h").distinct(), "h", "left_semi").select("doc_id", "t", "h")
+    own = docs.select(F.col(doc_id).alias("own_id"), _text_hash(text).alias("own_t"), F.col(text).alias("text"))
+    texts = needed.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("t") == F.col("own_t")))
+    texts = written(texts.select("h", "text").dropDuplicates(["h"]), "texts")
+
+    # first one pair for each class: the smallest of all its buckets' leaders
+    pairs = written(_pairs(_led(keys).groupBy("b").agg(F.min("lead").alias("lead"))), "pairs")
+    links = written(_verified(pairs, texts), "links")
+    # buckets with members that are still apart, with both leaders
+    keys = _with_component(keys, links)
+    keys = written(keys.join(_apart(keys), "key"), "apart")
+    more = written(_pairs(_led(keys)).join(pairs, ["lo", "hi"], "left_anti"), "pairs")
+    links = written(links.unionByName(_verified(more, texts)), "links")
+    pairs = pairs.unionByName(more)
+    # those that are apart yet
     keys = _with_component(keys, links)
     keys = written(keys.join(_apart(keys, BUCKET), "key"), "apart")
     more = _pairs_apart(keys.filter("few"))
-    crowd = keys.filter("not few").select("doc_id", "c").distinct()
+    crowd = keys.filter("not few").select("h", "c").distinct()
     crowded = not crowd.isEmpty()
     if crowded:
-        rare = _rarest(written(texts.join(crowd, "doc_id"), "crowd"))
+        rare = _rarest(written(texts.join(crowd, "h"), "crowd"))
         rare = written(rare, "rare")
         rare = written(rare.join(_apart(rare), "key"), "rare")
-        more = more.unionByName(_leader_pairs(rare.select("key", "doc_id"))).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = written(links.unionByName(_verified(more, texts).select("a", "b")), "links")
+        more = more.unionByName(_led(rare))
+    more = written(_pairs(more).join(pairs, ["lo", "hi"], "left_anti"), "pairs")
+    links = written(links.unionByName(_verified(more, texts)), "links")
     if crowded:
         rare = written(_with_component(rare, links), "rare")
-        rest = _pairs_apart(rare.join(_apart(rare), "key"))
-        rest = written(rest.join(pairs.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-        links = written(links.unionByName(_verified(rest, texts).select("a", "b")), "links")
+        rest = _pairs(_pairs_apart(rare.join(_apart(rare), "key")))
+        rest = written(rest.join(pairs.unionByName(more), ["lo", "hi"], "left_anti"), "pairs")
+        links = written(links.unionByName(_verified(rest, texts)), "links")
+    return links
 
-    label = components(links)
-    x = one.join(classes, ["h", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n")
-    x = x.join(label, x["rep"] == label["node"], "left")
-    component = F.coalesce("component", "rep")
-    return x.select("doc_id", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.col("n").alias("n_shingles"))
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id, kept, n_shingles: a row for each distinct id, and for each class of texts of null id.
+
+    component_id is the smallest id reachable over links; kept marks it. Texts of equal words (case and punctuation
+    aside) are one class and are compared as one. Texts that are null or without words link with nothing. Rows that
+    repeat an id are one document: all their texts take part, and what links with one of them links with the document;
+    n_shingles is that of the longest. Texts without an id take part too; they are kept, one of each group, if nothing
+    with an id is in their group, whose component_id then is null. Texts may be of any length, other columns of any
+    name; an empty table gives an empty one.
+
+    Steps: sketches; classes of equal sequences; buckets of equal sketches; a first comparison of each class with the
+    smallest of its buckets' leaders; components; where a bucket's members are still apart, comparisons with two leaders
+    each, so that a large group makes pairs in proportion to its size. Of the buckets with members that are apart yet,
+    small ones are compared pair by pair. The texts of larger ones, which mostly share a passage only, meet
+    again by their rarest shingles, first with leaders, then all that are still apart. So every pair that shares a
+    sketch ends up in one component or has been found to be below the similarity, whatever its bucket's size.
+    """
+    made = written(sketches(docs, doc_id, text), "sketches")
+    links = _links(made, docs, doc_id, text)
+    # ids of several texts link these
+    by_id = made.filter("doc_id is not null and h is not null").groupBy("doc_id", "h").agg(F.max("n").alias("n"))
+    several = by_id.groupBy("doc_id").agg(F.min("h").alias("low"), F.count("*").alias("m")).filter("m > 1").select("doc_id", "low")
+    own = by_id.join(several, "doc_id").select(F.col("low").alias("a"), F.col("h").alias("b")).filter("a <> b")
+    label = components(links.unionByName(own))
+
+    rows = made.groupBy("doc_id", "h").agg(F.max("n").alias("n"))
+    rows = rows.join(label, rows["h"] == label["node"], "left").select("doc_id", "h", "n", F.coalesce("component", "h").alias("c"))
+    rows = written(rows, "rows")
+    lowest = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min("h").alias("first"))
+    rows = rows.join(lowest.withColumnRenamed("c", "c_"), F.col("c") == F.col("c_"), "left")
+    with_id = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n").alias("n"))
+    component = F.coalesce("component_id", "doc_id")
+    with_id = with_id.select("doc_id", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.col("n").alias("n_shingles"))
+    kept = F.col("component_id").isNull() & F.coalesce(F.col("h") == F.col("first"), F.lit(True))
+    return with_id.unionByName(rows.filter("doc_id is null").select("doc_id", "component_id", kept.alias("kept"), F.col("n").alias("n_shingles")))
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are kept: one document of each group, and every row of null id. A repeated id stays once."""
-    kept = near_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_kept"))
-    some = docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    return some.unionByName(docs.filter(F.col(doc_id).isNull()))
+    """The rows of docs that are kept: those of one document of each group.
 
+    Of an id that is kept each different text stays once, with the columns of one of its rows. Rows of null id, which name
+    no document, all stay.
+    """
+    label = near_duplicates(docs, doc_id, text).filter("kept and doc_id is not null").select("doc_id")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no name of the input can clash
+    packed = docs.select(F.col(doc_id).alias("id"), _text_hash(text).alias("t"), row.alias("row"))
+    some = packed.filter("id is not null").join(label.withColumnRenamed("doc_id", "kept_id"), F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id", "t"])
+    return some.unionByName(packed.filter("id is null")).select("row.*")
