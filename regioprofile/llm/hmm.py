@@ -28,6 +28,9 @@ CLASSES = 512
 HEAD = (1 << 16) - CLASSES - 1
 #: Tokens that one piece of a batch holds.
 PIECE_TOKENS = 1_500_000
+#: How much of a rarer word's count is added to what a state expects of it: where a state expects nothing of a class, the
+#: counts alone share it out.
+LEAN = 1 / 64
 #: Expected counts are summed as whole numbers of this fraction, so that no order of tasks changes the sums.
 UNIT = 1 << 16
 LOG10 = math.log(10)
@@ -129,8 +132,9 @@ class Model:
     def emissions(self, flat: np.ndarray, rare: np.ndarray, own: np.ndarray | None) -> np.ndarray:
         """A column for each symbol; at the places `rare`, a word's expected counts `own` make its share of its class.
 
-        Of a class with T tokens and W words, a word expected e times in a state that the class is expected A times in
-        has the share (e T / A + 1) / (T + W + 1) there, and an unknown word 1 / (T + W + 1); the divisor is left out.
+        Of a class with T tokens and W words, a word expected e times (with LEAN of its count) in a state that the class is
+        expected A times in (with LEAN of T) has the share (e T / A + 1) / (T + W + 1) there, and an unknown word
+        1 / (T + W + 1); the divisor is left out.
         """
         em = self.emit[:, flat]
         if own is not None:
@@ -319,7 +323,7 @@ def train_model(codes: DataFrame, voc: Vocabulary, states: int = STATES, rounds:
         move, start = total[:, voc.size : voc.size + states].T + 0.1, total[:, -2] + 0.1
         seen.append(float(total[0, -1] * UNIT))
         ratio = np.zeros_like(emit)
-        ratio[:, head:-1] = voc.class_tokens / np.maximum(total[:, head : voc.size - 1], 1e-300)
+        ratio[:, head:-1] = voc.class_tokens / np.maximum(total[:, head : voc.size - 1] + LEAN * voc.class_tokens, 1e-300)
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), ratio)
     return model, words, seen
 
@@ -345,10 +349,11 @@ def score(codes: DataFrame, counts: DataFrame, voc: Vocabulary, model: Model, wo
                 sizes = np.array([len(d) for d in docs])
                 flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
                 rare, own = np.flatnonzero((flat >= head) & (flat < v.size - 1)), joined(owns, at)
+                expected = own[1:] + LEAN * own[0]
                 known, base, inner = (np.bincount(of, x[flat], len(docs)) for x in (known_of, base_of, within))
                 known += np.bincount(of[rare], own[0] > 0, len(docs))
                 base += np.bincount(of[rare], np.log10(own[0] + 1), len(docs))
-                found = m.log10_likelihoods(docs, rare, own[1:] if m.ratio is not None else None)
+                found = m.log10_likelihoods(docs, rare, expected if m.ratio is not None else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(at)), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(found + inner)],
                     ["doc_id", "n_tokens", "n_known", "base_score", "score"],
@@ -365,7 +370,8 @@ def score(codes: DataFrame, counts: DataFrame, voc: Vocabulary, model: Model, wo
 def fit_and_score(docs: DataFrame, is_train, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """Learns from the rows where `is_train` holds (null counts as false) and scores all rows, one for one.
 
-    A null text counts as empty: one token, the end. Repeated rows, equal ids too, each get their own row. Without
+    A null text counts as empty: one token, the end. Repeated rows, equal ids too, each get their own row. A text of any
+    length is one sequence; words of equal counts enter the head together or not at all. Without
     training rows nothing is known and the model is uniform. An empty table gives an empty one; other columns of docs,
     whatever their names, are left out.
     """
