@@ -1,9 +1,10 @@
 """Language identification by cross-parsing: how few phrases of a language's own text does a text fall into?
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed greedily into the
-longest phrases that occur in that sample; related text needs few, long phrases. The automata become one table of next
-states, in which a dead end restarts at the root and marks a phrase, so that numpy steps through thousands of text
-blocks and all languages at a time.
+longest phrases that occur in that sample; related text needs few, long phrases. The automata share one table of their
+transitions, whose size follows the samples and not their alphabets, so that numpy steps through thousands of
+text blocks and all languages at a time. A block starts a phrase of its own; where the phrase from the block before ends
+is then followed until both parses start a phrase at the same place, so that no count depends on the blocks.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from .common import bounded_sample
 
 #: Labelled rows drawn for each language, and characters of them that its automaton holds: the bounds of the fit.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 32_000
-#: Texts are parsed in blocks of this many characters; a phrase ends at a block's end.
+#: Characters of a text that are stepped through one after another.
 BLOCK = 1024
+#: Blocks whose parses haven't met their own yet that are followed one by one.
+FEW = 24
 #: Blocks that are stepped through together.
 BLOCKS_AT_ONCE = 6_000
-NEW = np.int32(1 << 30)  # marks a step that starts a phrase
 
 
 def _letters() -> np.ndarray:
@@ -65,8 +67,8 @@ def letters_and_gaps(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.where(letter[chosen], points[chosen], 32), lengths, n_letters[ends] - n_letters[starts]
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Next states of the automaton of all substrings of codes: a row for each state, -1 where there is none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the automaton of all substrings of codes: for each state, the next state by code."""
     follow: list[dict[int, int]] = [{}]
     link, depth, last = [-1], [0], 0
     for c in codes:
@@ -92,11 +94,48 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     follow[p][c] = twin
                     p = link[p]
         last = new
-    table = np.full((len(follow), width), -1, np.int32)
-    for s, row in enumerate(follow):
-        for c, t in row.items():
-            table[s, c] = t
-    return table
+    return follow
+
+
+class Transitions:
+    """Next states by (state, code) in arrays as large as a few times the number of transitions, whatever the alphabet.
+
+    Each state has a shift, chosen so that the places shift + code of all transitions differ; a place knows its state.
+    States draw their shifts at random, those of most transitions first, and again where a place is taken. State 0 has
+    no transitions.
+    """
+
+    def __init__(self, states: np.ndarray, codes: np.ndarray, to: np.ndarray, width: int):
+        """Pairs in rising order of states, which are 1 or more; codes below width."""
+        n_states = int(max(states.max(initial=0), to.max(initial=0))) + 1
+        size = 1 << max(8, int(4 * len(states) + 2 * width).bit_length())
+        rng = np.random.default_rng(0)
+        degree = np.bincount(states, minlength=n_states)
+        first = np.cumsum(degree) - degree
+        self.shift = np.zeros(n_states, np.int32)
+        self.owner, self.to = np.full(size + width, -1, np.int32), np.zeros(size + width, np.int32)
+        waiting = np.flatnonzero(degree)
+        waiting = waiting[np.argsort(-degree[waiting], kind="stable")]
+        while len(waiting):
+            # about as many transitions at a time as are placed already, so that large states meet an empty table
+            some = waiting[: max(1, int(np.searchsorted(np.cumsum(degree[waiting]), max(64, np.count_nonzero(self.owner >= 0)))))]
+            self.shift[some] = rng.integers(0, size, len(some))
+            own = np.repeat(some, degree[some])
+            pair = np.repeat(first[some] - (np.cumsum(degree[some]) - degree[some]), degree[some]) + np.arange(len(own))
+            place = self.shift[own] + codes[pair]
+            wins = np.zeros(len(own), bool)
+            wins[np.unique(place, return_index=True)[1]] = True  # of those that want one place the first gets it
+            wins &= self.owner[place] < 0
+            settled = np.bincount(own, wins, n_states)[some] == degree[some]
+            done = np.repeat(settled, degree[some])
+            self.owner[place[done]], self.to[place[done]] = own[done], to[pair[done]]
+            waiting = np.concatenate([some[~settled], waiting[len(some) :]])
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each pair, and which pairs have one."""
+        place = self.shift.take(state)
+        place += code
+        return self.to.take(place), self.owner.take(place) == state
 
 
 class CrossParser:
@@ -104,57 +143,122 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        streams = {k: letters_and_gaps([samples[k]])[0] for k in self.langs}
-        alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *streams.values()]).astype(np.uint32))
-        self.alphabet = alphabet
-        self.width = len(alphabet) + 1  # the last code is any character that no sample has
-        tables, self.roots = [], []
-        for k in self.langs:
-            one = suffix_automaton(self.codes(streams[k]).tolist(), self.width)
-            base = sum(len(t) for t in tables)
-            root = np.where(one[0] < 0, 0, one[0])
-            one = np.where(one < 0, root[None, :] + base + NEW, one + base)
-            one[0] = root + base + NEW  # a step from the root starts a phrase
-            tables.append(one.astype(np.int32))
-            self.roots.append(base)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        streams = [letters_and_gaps([samples[k]])[0] for k in self.langs]
+        self.alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *streams]).astype(np.uint32))
+        width = len(self.alphabet) + 1  # the last code is any character that no sample has
+        self.low = np.full(0x10000, width - 1, np.int32)
+        low = self.alphabet[self.alphabet < 0x10000]
+        self.low[low] = np.arange(len(low))
+        # where a phrase starts with a code; state 0 if it is the phrase's only character
+        self.begin = np.zeros((len(self.langs), width), np.int32)
+        states, codes, to, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+        for k, stream in enumerate(streams):
+            one = suffix_automaton(self.codes(stream).tolist())
+            sizes = [len(f) for f in one]
+            states.append(np.repeat(np.arange(len(one)), sizes) + n)
+            codes.append(np.fromiter((c for f in one for c in f), np.int64, sum(sizes)))
+            to.append(np.fromiter((t for f in one for t in f.values()), np.int64, sum(sizes)) + n)
+            self.begin[k, list(one[0])] = np.fromiter(one[0].values(), np.int64, len(one[0])) + n
+            n += len(one)
+        self.next = Transitions(np.concatenate(states), np.concatenate(codes), np.concatenate(to), width)
 
     def codes(self, points: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.alphabet, points)
-        at[at == len(self.alphabet)] = 0
-        return np.where(self.alphabet[at] == points, at, len(self.alphabet)).astype(np.int32)
+        out = self.low[np.minimum(points, 0xFFFF)]
+        high = np.flatnonzero(points > 0xFFFF)
+        if len(high):
+            at = np.minimum(np.searchsorted(self.alphabet, points[high]), len(self.alphabet) - 1)
+            out[high] = np.where(self.alphabet[at] == points[high], at, len(self.alphabet))
+        return out
 
     def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each text (row) under each language (column)."""
-        out = np.zeros((len(lengths), len(self.langs)), np.int64)
-        if not self.langs or not len(codes):
+        """Phrases of each text (row) under each language (column); codes of all texts in turn."""
+        n_langs = len(self.langs)
+        out = np.zeros((len(lengths), n_langs), np.int64)
+        if not n_langs or not len(codes):
             return out
         n_blocks = -(-lengths // BLOCK)
         text_of = np.repeat(np.arange(len(lengths)), n_blocks)
         nth = np.arange(len(text_of)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
         start = np.repeat(np.cumsum(lengths) - lengths, n_blocks) + nth * BLOCK
         size = np.minimum(BLOCK, lengths[text_of] - nth * BLOCK)
+        begins = np.zeros((n_langs, len(codes)), bool)  # where the parse by blocks starts a phrase
+        last = np.empty((n_langs, len(start)), np.int32)  # state behind each block
+        counts = np.empty((n_langs, len(start)), np.int64)
         order = np.argsort(-size, kind="stable")
         for i in range(0, len(order), BLOCKS_AT_ONCE):
             part = order[i : i + BLOCKS_AT_ONCE]
-            counts = self._blocks(codes, start[part], size[part])
-            for k in range(len(self.langs)):
-                out[:, k] += np.bincount(text_of[part], counts[k], len(lengths)).astype(np.int64)
+            last[:, part], counts[:, part] = self._blocks(codes, start[part], size[part], begins)
+        # blocks that another one comes before are entered in its last state, until no last state changes
+        lang, enter = (x.ravel() for x in np.meshgrid(np.arange(n_langs), np.flatnonzero(nth > 0), indexing="ij"))
+        while len(enter):
+            more, state = self._entered(codes, lang, start[enter], size[enter], last[lang, enter - 1], last[lang, enter], begins)
+            counts[lang, enter] += more
+            changed = state != last[lang, enter]
+            last[lang, enter] = state
+            lang, enter = lang[changed], enter[changed] + 1
+            some = enter < len(nth)
+            some[some] = nth[enter[some]] > 0
+            lang, enter = lang[some], enter[some]
+        for k in range(n_langs):
+            out[:, k] = np.bincount(text_of, counts[k], len(lengths))
         return out
 
-    def _blocks(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """start, size: of blocks, the longest first."""
+    def _blocks(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last states and phrases of blocks, the longest first, each parsed on its own under all languages."""
         active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # blocks that have a character at t
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(start), 1)
+        state = np.zeros((len(self.langs), len(start)), np.int32)
         counts = np.zeros(state.shape, np.int32)
         for t, n in enumerate(active):
-            at = state[:, :n] * np.int32(self.width)
-            at += codes[start[:n] + t]
-            to = self.table.take(at)
-            new = to >= NEW
-            counts[:, :n] += new
-            np.bitwise_and(to, NEW - 1, out=state[:, :n])
-        return counts
+            at = start[:n] + t
+            code = codes[at]
+            to, on = self.next.step(state[:, :n], code)
+            np.copyto(to, self.begin[:, code], where=~on)
+            state[:, :n] = to
+            counts[:, :n] += ~on
+            begins[:, at] = ~on
+        return state, counts
+
+    def _entered(self, codes: np.ndarray, lang: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, last: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many phrases more blocks have if entered in these states, and their last states; begins is corrected.
+
+        From the first place on where the parse and that of before both start a phrase they are the same.
+        """
+        more, out = np.zeros(len(start), np.int64), last.copy()
+        on, t = np.arange(len(start)), 0
+        while len(on):
+            at, k = start[on] + t, lang[on]
+            code = codes[at]
+            to, some = self.next.step(state, code)
+            state = np.where(some, to, self.begin[k, code])
+            was = begins[k, at]
+            more[on] += (~some).astype(np.int64) - was
+            begins[k, at] = ~some
+            t += 1
+            apart, ended = some | ~was, size[on] <= t
+            out[on[apart & ended]] = state[apart & ended]
+            stay = apart & ~ended
+            on, state = on[stay], state[stay]
+        shift, owner, to = (memoryview(x) for x in (self.next.shift, self.next.owner, self.next.to))
+        for i, s in zip(on.tolist(), state.tolist(), strict=True):
+            k, a, b = int(lang[i]), int(start[i]) + t, int(start[i] + size[i])
+            begin, was, n = memoryview(self.begin[k]), memoryview(begins[k]), 0
+            for j, c in enumerate(memoryview(np.ascontiguousarray(codes[a:b])), a):
+                place = shift[s] + c
+                if owner[place] == s:
+                    s = to[place]
+                    if was[j]:
+                        was[j] = False
+                        n -= 1
+                    continue
+                s = begin[c]
+                if was[j]:
+                    break
+                was[j] = True
+                n += 1
+            else:
+                out[i] = s
+            more[i] += n
+        return more, out
 
     def predict(self, texts: list[str]) -> pd.DataFrame:
         points, lengths, letters = letters_and_gaps(texts)
@@ -185,10 +289,10 @@ def language_samples(train: DataFrame, text: str = "text", lang: str = "lang", r
     """
     each = max(1, 2 * chars // rows)
     t = F.col(text)
-    labelled = train.filter(t.isNotNull() & F.col(lang).isNotNull() & t.rlike(r"\p{L}")).select(t.alias("_t"), F.col(lang).cast("string").alias("_l"))
-    drawn = bounded_sample(labelled, F.col("_t"), "_l", rows)
+    labelled = train.filter(t.isNotNull() & F.col(lang).isNotNull() & t.rlike(r"\p{L}"))
+    labelled = labelled.select(F.xxhash64(t).alias("_h"), F.col(lang).cast("string").alias("_l"), middle_of(t, each).alias("_m"))
     found: dict[str, str] = {}
-    for r in drawn.select("_l", middle_of(F.col("_t"), each)).collect():
+    for r in bounded_sample(labelled, F.col("_h"), "_l", rows).select("_l", "_m").collect():
         if len(found.get(r[0], "")) < chars:
             found[r[0]] = (found.get(r[0], "") + "\n" + r[1])[:chars]
     return found
@@ -203,8 +307,9 @@ def with_language(docs: DataFrame, samples: dict[str, str], text: str = "text",
     """Adds struct `into` (lang_pred, score, phrases_per_char) to docs, from the whole text.
 
     `und` with score 0 if the text is null, empty or has no letter, or if there is no labelled sample. Ties go to the
-    language first in the alphabet. Repeated rows get equal results; an empty table stays empty; a column named `into`
-    is replaced.
+    language first in the alphabet. Repeated rows get equal results; texts of any length are parsed whole, and a block's
+    end ends no phrase; an empty table stays empty; other columns keep their names and values, but for one named `into`,
+    which is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(samples)  # at most SAMPLE_CHARS for each language
     key = hash(tuple(sorted(samples.items())))
