@@ -20,10 +20,10 @@ def _containing(left: DataFrame, right: DataFrame, part: str, name: str) -> Data
     """
     parts = left.select(F.col(part).alias("_part")).distinct()
     holds = F.lower(F.col(name)).contains(F.lower(F.col("_part")))
+    right = materialized(right)  # made once for its size and its rows
     if right.limit(FEW + 1).count() <= FEW:
         return parts.join(F.broadcast(right), holds)
     triples = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.lower(c), i, F.lit(3))))
-    right = materialized(right)
     grams = right.filter(F.length(name) >= 3).withColumn("_gram", F.explode(triples(F.col(name))))
     often = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     long = parts.filter(F.length("_part") >= 3)
@@ -63,6 +63,7 @@ def nearest(left: DataFrame, right: DataFrame, name: str, lat: str = "latitude",
     more are searched by grid cells. Rows and points without coordinates: a row's name is null, a point is left out.
     """
     points = right.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).alias("a"), F.col(lon).alias("o"), F.col(name).alias("n")).distinct()
+    points = materialized(points)
     if points.limit(FEW + 1).count() > FEW:
         return nearest_by_cells(left, points, name, lat, lon)
     whole = points.agg(F.collect_list(F.struct("a", "o", "n")).alias("_points"))
@@ -77,7 +78,6 @@ def nearest_by_cells(left: DataFrame, points: DataFrame, name: str, lat: str, lo
     point, as all others are farther; rows that find none so near go on with cells of twice the width, until a cell
     holds everything. Cells start small enough to hold few points, were these even.
     """
-    points = materialized(points)
     box = points.agg(F.count(F.lit(1)).alias("n"), F.min("a"), F.max("a"), F.min("o"), F.max("o")).first()
     rows = materialized(left.withColumn("_row", F.monotonically_increasing_id()))
     here = rows.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
