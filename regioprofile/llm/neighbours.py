@@ -1,7 +1,8 @@
 """Near-duplicate vectors: binary codes by iterative quantisation, multi-index Hamming tables, exact reranking.
 
 A rotation that balances the codes is learnt on a bounded sample; codes are cut into substrings, each the key of a table
-that is probed at Hamming distance 0 and 1; what meets there is compared by the original vectors in double precision.
+that is probed at Hamming distance 0 and 1; of what meets there, pairs whose whole codes are close are compared by the
+original vectors in double precision.
 
 Dense groups don't make all their pairs: vectors within half the linking angle of a common leader are a cell, and all of
 a cell's members are linked by the triangle inequality. Tables then pair cells, most of which are linked as a whole or
@@ -72,6 +73,20 @@ def table_sizes(n: int, link: float = LINK) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
 
+def most_bits(bits: int, link: float, angles: float) -> int:
+    """Bits of whole codes in which vectors so many linking angles apart may differ: eight standard deviations above the mean."""
+    differ = min(1.0, angles * math.acos(link) / math.pi)
+    return math.ceil(bits * differ + 8 * math.sqrt(bits * differ * (1 - differ)))
+
+
+def whole_codes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The substrings of keys_of() as a row of 64-bit numbers for each vector, as many substrings in each as fit."""
+    each = 64 // bits
+    own = keys & ((1 << bits) - 1)
+    own = np.pad(own, ((0, 0), (0, -own.shape[1] % each))).reshape(len(own), -1, each)
+    return (own.view(np.uint64) << np.arange(each, dtype=np.uint64) * np.uint64(bits)).sum(2, dtype=np.uint64).view(np.int64)
+
+
 def keys_of(x: np.ndarray, model: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
     """A row of table keys for each vector: the table's number above its substring of the code."""
     code = np.concatenate([(x - mean) @ w >= 0 for mean, w in model], 1)[:, : bits * tables].reshape(len(x), tables, bits)
@@ -97,44 +112,61 @@ def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", link: float = LINK) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of vectors.
 
-    Vectors link if their cosine is `link` or more. Null, zero and non-finite vectors, and those of another dimension
-    than most, link with nothing. Equal vectors are compared as one and count each. component_id is the smallest id
-    reachable over links; rows of null id take part, but are never kept. Other columns are left out; an empty table
-    gives an empty one.
+    Vectors link if they have the same dimension and their cosine is `link` or more. Null, empty, zero and non-finite
+    vectors and those with null components link with nothing. Equal vectors are compared as one and count each.
+    component_id is the smallest id reachable over links; rows of null id take part, but are never kept; rows that repeat
+    an id each get their own row. Vectors may be of any length; other columns are left out, whatever their names; an
+    empty table gives an empty one. Each dimension is searched on its own.
     """
-    spark = vectors.sparkSession
     kind = vectors.schema[vec_id].dataType.simpleString()
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     rows = _arrow(rows, lambda b: [b.column(0), pa.array(normalised(b.column(1).to_pylist()), pa.binary())], f"vec_id {kind}, v binary")
     rows = written(rows, "vectors")
-    sizes = {r[0]: r[1] for r in rows.filter("v is not null").groupBy(F.length("v")).count().collect()}
-    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not sizes:
-        return alone(rows)
-    width = max(sizes, key=lambda k: (sizes[k], k))
-    usable = F.coalesce(F.length("v") == width, F.lit(False))
-    own = written(rows.filter(usable).groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n")).withColumn("rid", F.monotonically_increasing_id()), "distinct")
+    widths = sorted(r[0] for r in rows.filter("v is not null").groupBy(F.length("v")).count().filter("count > 1").collect())
+    alone = rows.filter(~F.coalesce(F.length("v").isin(widths or [-1]), F.lit(False)))
+    out = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    for width in widths:
+        out = out.unionByName(_of_one_dimension(rows.filter(F.length("v") == width), link))
+    return out
+
+
+def _of_one_dimension(rows: DataFrame, link: float) -> DataFrame:
+    """linked_vectors() of two or more unit vectors (vec_id, v) of one dimension."""
+    spark = rows.sparkSession
+    own = written(rows.groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n")).withColumn("rid", F.monotonically_increasing_id()), "distinct")
 
     count = own.count()
     bits, tables = table_sizes(count, link)
-    sample = own.filter(hash_share(F.col("v")) < 1.5 * SAMPLE / count).select("v").limit(SAMPLE).toArrow()
+    share = hash_share(F.col("v"))
+    sample = own.filter(share < max(1.5 * SAMPLE, 20.0) / count).orderBy(share, "v").select("v").limit(SAMPLE).toArrow()
     if not sample.num_rows:
-        sample = own.select("v").limit(SAMPLE).toArrow()
+        sample = own.orderBy("v").select("v").limit(SAMPLE).toArrow()
     x = matrix(sample.column(0))
     each = min(x.shape[1], 64)
     model = spark.sparkContext.broadcast([itq(x, each, seed) for seed in range(-(-bits * tables // each))])
 
     def coded(b: pa.RecordBatch) -> list:
         keys = keys_of(matrix(b.column(1)), model.value, bits, tables)
-        return [b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), pa.array(keys.ravel()))]
+        code = whole_codes(keys, bits)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+        return [b.column(0), lists(keys), lists(code)]
+
+    codes = written(_arrow(own.select("rid", "v"), coded, "rid long, keys array<long>, code array<long>"), "codes")
 
-    codes = written(_arrow(own.select("rid", "v"), coded, "rid long, keys array<long>"), "codes")
+    def likely(pairs: DataFrame, a: str, b: str, sides: DataFrame) -> DataFrame:
+        """Of the pairs of ids (a, b) those whose whole codes are close enough; sides: rid, code, spread (in linking angles)."""
+        side = lambda c: sides.select(F.col("rid").alias(c), F.col("code").alias(f"code_{c}"), F.col("spread").alias(f"spread_{c}"))
+        apart = F.aggregate(F.zip_with(f"code_{a}", f"code_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        most = F.lit(most_bits(bits * tables, link, 1.0))
+        for spread in (0.5, 1.0):
+            most = F.when(F.col(f"spread_{a}") + F.col(f"spread_{b}") >= spread, most_bits(bits * tables, link, 1 + spread)).otherwise(most)
+        return pairs.join(side(a), a).join(side(b), b).filter(apart <= most).select(a, b)
 
     # cells: the smallest leader, among the first members of a vector's buckets, within half the linking angle
     half = math.acos(link) / 2
     exact = codes.select("rid", F.explode("keys").alias("key"))
     lead = exact.groupBy("key").agg(F.min("rid").alias("cell"), F.count("*").alias("m")).filter("m > 1").select("key", "cell")
-    near = exact.join(lead, "key").filter("rid <> cell").select("rid", "cell").distinct()
+    near = likely(exact.join(lead, "key").filter("rid <> cell").select("rid", "cell").distinct(), "rid", "cell", codes.withColumn("spread", F.lit(0.0)))
     near = near.join(own.select("rid", "v"), "rid").join(own.select(F.col("rid").alias("cell"), F.col("v").alias("w")), "cell").select("rid", "cell", "v", "w")
     near = _arrow(near, lambda b: [b.column(0), b.column(1), pa.array(_angle(matrix(b.column(2)), matrix(b.column(3))))], "rid long, cell long, angle double").filter(F.col("angle") <= half - _EPS)
     near = near.groupBy("rid").agg(F.min(F.struct("cell", "angle")).alias("c"))
@@ -168,6 +200,9 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         none = np.where(spread == 0, cos < link, angle - spread > 2 * half + _EPS)
         return [*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(np.where(whole, 1, np.where(none, 0, 2)).astype(np.int32))]
 
+    # members of a cell may be half the linking angle away from its centre
+    centres = codes.join(cells.select(F.col("cell").alias("rid"), F.when(F.col("m") > 1, 0.5).otherwise(0.0).alias("spread")), "rid")
+    pairs = likely(pairs, "a", "b", centres)
     pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb", "ra", "rb", "na", "nb")
     pairs = written(_arrow(pairs, judged, "a long, b long, na long, nb long, verdict int").filter("verdict > 0"), "pairs")
 
@@ -202,8 +237,8 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     found = member.join(cells.select("cell", F.col("n").alias("together")), "cell").join(by_cell, "cell", "left").join(by_member, "rid", "left")
     found = found.join(label, found["cell"] == label["node"], "left")
     found = found.select("rid", "low", F.coalesce("component", "cell").alias("part"), (F.col("together") - 1 + F.coalesce("k", F.lit(0)) + F.coalesce("j", F.lit(0))).alias("n_links"))
+    found = written(found, "found")  # so that a large part is summed up in all tasks and its join can be split
     lowest = found.groupBy("part").agg(F.min("low").alias("component_id"))
     found = found.join(lowest, "part").select("rid", "n_links", "component_id")
-    result = rows.filter(usable).join(own.select("v", "rid"), "v").join(found, "rid")
-    result = result.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    return result.unionByName(alone(rows.filter(~usable)))
+    result = rows.join(own.select("v", "rid"), "v").join(found, "rid")
+    return result.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
