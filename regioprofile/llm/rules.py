@@ -25,8 +25,8 @@ PRIOR_ROWS = 20
 CUTOFFS = {
     "symbol_share": (0.25, 0.75, 4.0, 0.02),
     "upper_share": (0.25, 0.75, 4.0, 0.10),
-    "dup_line_share": (0.50, 0.95, 1.0, 0.05),
-    "repeat_share": (0.50, 0.95, 1.0, 0.05),
+    "dup_line_share": (0.50, 0.99, 1.0, 0.05),
+    "repeat_share": (0.50, 0.99, 1.0, 0.05),
     "mean_word": (0.25, 0.75, 4.0, 1.0),
 }
 LOWER = ("mean_word",)
@@ -132,17 +132,17 @@ def _limits(measured: DataFrame) -> DataFrame:
     return x.filter(F.col("_of_all._n") > 0).select(F.col("_lang").alias("_lang1"), F.col("_source").alias("_source1"), *out).checkpoint()
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all by default) and a struct `quality_rules`: counts, base_failed, kept and the reason.
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None, into: str = "quality_rules") -> DataFrame:
+    """The columns `keep` of docs (all by default) and a struct `into`: counts, base_failed, kept and the reason.
 
     A row fails the base rule, or lies beyond a cutoff of its (language, source) group. Null text counts as empty (no
     words, base_failed); null language or source is a group of its own; the cutoffs of small groups lean to the merged sketches; equal rows
-    get equal verdicts; an empty table gives an empty one. Columns of docs may have any names; one that is called
-    quality_rules is replaced.
+    get equal verdicts; a measure equal to its cutoff is within it; an empty table gives an empty one. Texts of any length
+    are measured whole. Columns of docs may have any names; one that is called like `into` is replaced.
 
     The measures are written to the shared folder once, since both the sketches and the verdicts need them.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "quality_rules"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     # The input columns travel in a struct, so that no name of theirs can clash.
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
     measured = _shares(written(docs.select(row, F.col(lang).alias("_lang"), F.col(source).alias("_source"), measures(F.col(text)).alias("_m")), "measures"))
@@ -159,4 +159,4 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
         "_m.of_words.n_words", "_m.of_words.word_chars", "_m.n_symbols", "_m.of_lines.n_dup_lines", "_m.of_words.n_repeat_words",
         F.col("_base_failed").alias("base_failed"), reason.isNull().alias("kept"), reason.alias("reason"),
     )
-    return x.select(*[F.col("_row")[c].alias(c) for c in keep], verdict.alias("quality_rules"))
+    return x.select(*[F.col("_row")[c].alias(c) for c in keep], verdict.alias(into))
