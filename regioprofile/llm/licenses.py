@@ -27,16 +27,20 @@ TEMPLATES = {
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
         "SPDX-License-Identifier: MIT",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "LGPL": [
@@ -49,6 +53,7 @@ TEMPLATES = {
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
@@ -267,12 +272,13 @@ def _scan_run(model: Model, run: list[tuple]) -> Iterator[tuple]:
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """fit() with a bounded sample of the corpus' paragraphs, drawn by their hash from all texts."""
-    lines = docs.filter(F.col(text).isNotNull()).select(F.explode(F.split(F.col(text), "\n")).alias("p")).filter("length(p) between 1 and 2000")
-    n = docs.count()
-    drawn = lines.filter(hash_share(F.col("p"), 4) < SAMPLE / max(1, 4 * n)).limit(SAMPLE)
-    found = sorted(r[0] for r in drawn.collect())
-    return fit(found)
+    """fit() with a bounded sample of the corpus' different lines, those with the smallest hashes of all texts' lines."""
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(x).between(1, 2000))
+    own = docs.select(lines.alias("lines"))
+    n = own.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    drawn = own.select(F.explode("lines").alias("p")).withColumn("_share", hash_share(F.col("p"), 4)).filter(F.col("_share") < 3 * SAMPLE / max(1, n))
+    drawn = drawn.groupBy("p", "_share").count().orderBy("_share", "p").limit(SAMPLE)
+    return fit(sorted(r[0] for r in drawn.collect()))
 
 
 SCHEMA = "paragraph int, start long, length int, family string, probability double, template string, similarity double, confirmed boolean"
@@ -282,7 +288,8 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     """doc_id and SCHEMA: a row for each paragraph of each text that is put into a licence family.
 
     Null and empty texts and those without licences give no row; repeated rows give repeated results; ids may be null;
-    other columns are left out.
+    texts of any length are read whole; of templates that fit alike the longer counts; other columns are left out,
+    whatever their names; an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -346,7 +346,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Cuts, ranks and packs all documents; a row for each piece. See pieces() and pack().
 
-    Ids may be null or repeat: each row is packed. Texts of any length are cut, an empty table gives an empty one, and
+    Ids may be null or repeat: each row is packed. Pieces of one length are alike to the plan and ranked by id and piece.
+    Texts of any length are cut, an empty table gives an empty one, and
     other columns, whatever their names, are left out.
     """
     return pack(pieces(docs, tokenizer, doc_id, text, capacity, with_ids), capacity)

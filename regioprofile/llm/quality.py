@@ -137,7 +137,8 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text", into: str =
     """Adds struct `into` (score, predicted) to docs, from the whole text.
 
     Null text counts as empty; an empty text has no size difference and gets the curve's value there. Repeated rows get
-    equal scores; an empty table stays empty; a column named `into` is replaced.
+    equal scores; texts of any length count whole, block by block; an empty table stays empty; other columns keep their
+    names and values, but for one named `into`, which is replaced.
     """
 
     def of(scorer: Scorer, texts: list[str]) -> pd.DataFrame:

@@ -605,7 +605,7 @@ def test_forward_and_counts_equal_enumeration():
 
 def test_segmentations_follow_their_distribution():
     pieces = segment.Pieces(PIECE)
-    lat = segment.Lattice(pieces, ["▁it"])
+    lat = segment.Lattice(pieces, *segment.points_of(["it"]))
 
     def paths(p):
         if lat.last[p]:
