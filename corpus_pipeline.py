@@ -16,10 +16,23 @@ SURE = 0.5
 FIT_QUANTILE, FIT_FACTOR = 0.99, 1.3
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name for a further column that docs has not."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rule or an adaptive cutoff of their language and source."""
-    x = rules.quality_rules(docs)
-    return x.filter("quality_rules.kept").select(*docs.columns)
+    """Drops documents that fail the base rule or an adaptive cutoff of their language and source.
+
+    Null and empty texts have no words and go; a measure equal to its cutoff is within it; null languages and sources
+    are groups of their own; repeated rows stay or go together; texts of any length count whole. Columns of docs keep
+    their names and values, whatever these are; an empty table stays empty.
+    """
+    verdict = _free(docs, "quality_rules")
+    x = rules.quality_rules(docs, into=verdict)
+    return x.filter(F.col(f"{verdict}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,28 +40,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The score only compares learned languages. A text in none of them falls into many short phrases of each, so it is
     held against labelled texts of that language that went into no automaton. Without any such text nothing is known of
-    the fit, and the score alone decides.
+    the fit, and the score alone decides. Null and empty texts and those without a letter have no language and go, ties
+    of two languages stay; repeated rows stay or go together; texts of any length are parsed whole. Columns of docs keep
+    their names and values, whatever these are; without labels, as in an empty table, nothing is recognised.
     """
+    into = _free(docs, "language")
+    of = lambda field: F.col(f"{into}.{field}")
     held_out = id_remainder("doc_id", 4) == 2
     samples = langid.language_samples(docs.filter(~held_out))
-    known = langid.with_language(docs.filter(held_out & F.col("lang").isNotNull()), samples, into="_language")
-    found = known.filter(F.col("lang") == F.col("_language.lang_pred")).groupBy("lang")
-    limits = found.agg(F.percentile_approx("_language.phrases_per_char", FIT_QUANTILE).alias("q")).collect()  # a row for each learned language
+    known = langid.with_language(docs.filter(held_out & F.col("lang").isNotNull()), samples, into=into)
+    found = known.filter(F.col("lang") == of("lang_pred")).groupBy("lang")
+    limits = found.agg(F.percentile_approx(of("phrases_per_char"), FIT_QUANTILE).alias("q")).collect()  # a row for each learned language
     limit = F.lit(None).cast("double")
     for lang, q in limits:
-        limit = F.when(F.col("_language.lang_pred") == lang, FIT_FACTOR * q).otherwise(limit)
-    x = langid.with_language(docs, samples, into="_language")
-    sure = (F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= SURE)
-    return x.filter(sure & F.coalesce(F.col("_language.phrases_per_char") <= limit, F.lit(True))).select(*docs.columns)
+        limit = F.when(of("lang_pred") == lang, FIT_FACTOR * q).otherwise(limit)
+    x = langid.with_language(docs, samples, into=into)
+    sure = (of("lang_pred") != "und") & (of("score") >= SURE)
+    return x.filter(sure & F.coalesce(of("phrases_per_char") <= limit, F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the smallest id."""
-    return dedup.without_near_duplicates(docs).select(*docs.columns)
+    """Keeps one document of each group of near copies: the one with the smallest id.
+
+    Null, empty and wordless texts are copies of nothing. Of rows that repeat the id that is kept, each different text
+    stays once; rows of null id all stay. Texts of any length are compared whole. Columns of docs keep their names and
+    values, whatever these are; an empty table stays empty.
+    """
+    return dedup.without_near_duplicates(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents that are left into sequences of 4096 tokens."""
+    """Packs the documents that are left into sequences of 4096 tokens.
+
+    A null text counts as empty, of which the end token is packed; longer texts are cut; each repeated row is packed.
+    Of docs only id and text are used; an empty table gives an empty one.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
