@@ -27,6 +27,8 @@ SKETCHES, TOGETHER = 20, 2
 #: A bucket of at most so many texts, some of which are still apart, is compared pair by pair; the texts of larger ones
 #: are compared where they share one of their rarest shingles, which loses no similar pair (see _rarest).
 BUCKET = 32
+#: Characters of text that are hashed together.
+PIECE_CHARS = 250_000
 #: Counters of shingles, by fingerprint modulo this number, 16 bits each. They order the shingles and show those that occur
 #: once; with more shingles than counters fewer of these are seen, at the same links.
 COUNTERS = 1 << 22
@@ -176,7 +178,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in in_pieces(batch.column(2).to_pylist()):
+            for first, texts in in_pieces(batch.column(2).to_pylist(), PIECE_CHARS):
                 seqs = shingle_sequences(texts)
                 whole = [int(mix((x * (2 * np.arange(len(x), dtype=np.uint64) + np.uint64(1))).sum(keepdims=True)).view(np.int64)[0]) if len(x) else None for x in seqs]
                 made = [sketch(x).view(np.int64).tolist() if len(x) else None for x in seqs]
@@ -204,8 +206,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                left, right = (batch.column(k).slice(first, 256).to_pylist() for k in (2, 3))
+            for first in range(0, batch.num_rows, 64):  # few pairs at a time, for the sake of memory
+                left, right = (batch.column(k).slice(first, 64).to_pylist() for k in (2, 3))
                 some = list(dict.fromkeys(left))
                 known = dict(zip(some, shingle_sequences(some), strict=True))
                 sims = [similarity(known[a], b) for a, b in zip(left, shingle_sequences(list(right)), strict=True)]
@@ -263,7 +265,7 @@ def _counted(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(COUNTERS, np.int32)
         for batch in batches:
-            for _, some in in_pieces(batch.column(0).to_pylist()):
+            for _, some in in_pieces(batch.column(0).to_pylist(), PIECE_CHARS):
                 if own := [labelled(x) for x in shingle_sequences(some) if len(x)]:
                     at, n = np.unique(np.concatenate(own) % np.uint64(COUNTERS), return_counts=True)
                     sums[at.astype(np.int64)] += n.astype(np.int32)
@@ -290,7 +292,7 @@ def _rarest(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, some in in_pieces(batch.column(2).to_pylist()):
+            for first, some in in_pieces(batch.column(2).to_pylist(), PIECE_CHARS):
                 own, sizes, lengths = [np.empty(0, np.uint64)], [], []
                 for x in shingle_sequences(some):
                     y = labelled(x) if len(x) else x

@@ -325,7 +325,7 @@ def with_language(docs: DataFrame, samples: dict[str, str], text: str = "text",
     return docs.withColumn(into, predict(F.col(text)))
 
 
-def in_parts(f, batch: pd.Series, chars: int = 4_000_000):
+def in_parts(f, batch: pd.Series, chars: int = 1_500_000):
     """f over lists of texts of about `chars` characters together, so that memory doesn't grow with the batch."""
     texts = ["" if t is None else t for t in batch]
     parts, size, own = [], 0, []

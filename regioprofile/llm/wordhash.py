@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, PIECE_BYTES + 1)
+        n = 1 << (n - 1).bit_length()
         _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (*_P, *_INVERSE)]
     return _POWERS
 
