@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import in_pieces, mix
+from .wordhash import fingerprints, in_pieces, mix
 
 #: Fixed value: stands for a space in pieces.
 SPACE = "▁"
@@ -55,45 +55,63 @@ class Pieces:
         for i in plain:
             for k, h in enumerate(_beginnings(names[i])):
                 known[h] = i if k == len(names[i]) - 1 else known.get(h, -1)
-        self.prints = np.array(sorted(known), np.uint64)
-        self.ids = np.array([known[int(h)] for h in self.prints], np.int32)
+        # an open hash table, of which at most an eighth is used: id of a whole piece, -1 of a beginning, -2 of nothing
+        bits = (8 * len(known)).bit_length()
+        self.shift, self.prints, self.ids = np.uint64(64 - bits), np.zeros((1 << bits) + len(known), np.uint64), np.full((1 << bits) + len(known), -2, np.int32)
+        for h, i in known.items():
+            at = (h * int(_ODD) & _ALL) >> 64 - bits
+            while self.ids[at] != -2:
+                at += 1
+            self.prints[at], self.ids[at] = h, i
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ids by fingerprint: -1 for a beginning of pieces, -2 for none."""
+        at = (h * _ODD >> self.shift).astype(np.int64)
+        out, same = self.ids[at], self.prints[at] == h
+        on = np.flatnonzero(~same & (out != -2))
+        out[on] = -2
+        while len(on):
+            at[on] += 1
+            ids = self.ids[at[on]]
+            hit = self.prints[at[on]] == h[on]
+            out[on[hit]] = ids[hit]
+            on = on[~hit & (ids != -2)]
+        return out
 
 
 def _beginnings(piece: str) -> list[int]:
+    """Fingerprints of the piece's beginnings: polynomials of their characters modulo 2**64."""
     h, out = 0, []
     for c in piece:
         h = (h * int(_MULTIPLIER) + ord(c) + 1) & _ALL
-        out.append(int(mix(np.array([h], np.uint64))[0]))
+        out.append(h)
     return out
 
 
-def segments(text: str) -> list[str]:
-    """The text, a space put before it, cut before each run of spaces and around line breaks; no piece crosses a cut."""
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            out.append("\n")
-        words = line.split(" ")
-        first, gap = 1 if i else 0, ""
-        if first and words[0]:
-            out.append(words[0])
-        for w in words[first:]:
-            gap += SPACE
-            if w:
-                out.append(gap + w)
-                gap = ""
-        if gap:
-            out.append(gap)
-    return out if text else []
+def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in turn, a space put before each that isn't empty, and each one's number of them."""
+    spaced = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+    return np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(t) for t in spaced], np.int64)
+
+
+def cut(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where segments start: at texts, at each run of spaces, at line breaks and behind them; no piece crosses a cut."""
+    space, line = points == ord(SPACE), points == 10
+    first = space | line
+    first[1:] &= ~(space[1:] & space[:-1])  # of a run of spaces the first
+    first[1:] |= line[:-1]
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return np.flatnonzero(first)
 
 
 class Lattice:
-    """Lattices of distinct segments side by side. Edges of one place are neighbours: id, end, chance, logarithm of it."""
+    """Lattices of segments side by side. Edges of one place are neighbours: id, end, chance, logarithm of it."""
 
-    def __init__(self, pieces: Pieces, texts: list[str]):
-        size = np.array([len(t) for t in texts], np.int64)
-        self.start = (np.cumsum(size + 1) - size - 1).astype(np.int64)
-        points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    def __init__(self, pieces: Pieces, own: np.ndarray, size: np.ndarray):
+        """own: code points of all segments in turn; size: how many each has."""
+        self.start = np.cumsum(size + 1) - size - 1
+        points = np.zeros(len(own) + len(size), np.uint32)  # a place behind each segment is its end
+        points[np.arange(len(own)) + np.repeat(np.arange(len(size)), size)] = own
         wide = points.astype(np.uint64) + np.uint64(1)
         n = len(points)
         left = np.repeat(size + self.start, size + 1) - np.arange(n)  # characters up to the segment's end
@@ -107,10 +125,9 @@ class Lattice:
             more = left[at] > k
             at = at[more]
             h = h[more] * _MULTIPLIER + wide[at + k]
-            mixed = mix(h)
-            found = np.minimum(np.searchsorted(pieces.prints, mixed), len(pieces.prints) - 1)
-            some = pieces.prints[found] == mixed
-            at, h, ids = at[some], h[some], pieces.ids[found[some]]
+            ids = pieces.find(h)
+            some = ids > -2
+            at, h, ids = at[some], h[some], ids[some]
             whole = ids >= 0
             if k == 0:
                 spelled[at[whole]] = False
@@ -123,7 +140,7 @@ class Lattice:
         ids = np.where(c < 0x80, pieces.byte_table[np.minimum(c, 0x7F)], -2)
         matches.append((at, 1, ids, pieces.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))))
         # places in the order of `left`, so that each place's ends come before it
-        order = np.argsort(left.astype(np.int32), kind="stable")
+        order = np.argsort(left.astype(np.uint16 if left.max(initial=0) < 1 << 16 else np.int64), kind="stable")
         count = np.zeros(n, np.int64)
         for at, *_ in matches:
             count[at] += 1
@@ -133,7 +150,7 @@ class Lattice:
         edges = int(in_order[-1]) if n else 0
         self.place, self.ids, weight, step = np.empty(edges, np.int64), np.empty(edges, np.int32), np.empty(edges), np.empty(edges, np.int64)
         used = self.first.copy()
-        for at, k, ids, w in matches:
+        for at, k, ids, w in reversed(matches):  # long pieces, the likelier ones, first: choose() goes through them in turn
             e = used[at]
             used[at] += 1
             self.place[e], self.ids[e], weight[e], step[e] = at, ids, w, k
@@ -208,13 +225,18 @@ class _Drawn:
 
 def sample_texts(pieces: Pieces, texts: list[str], keys: np.ndarray, paths: int = PATHS) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
     """(text, sample, ids, log chance, log inclusion score) of up to `paths` different segmentations of each text."""
-    cut = [segments(t) for t in texts]
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-    lat = Lattice(pieces, list(distinct))
-    n_seg = np.array([len(c) for c in cut], np.int64)
-    start = lat.start[np.fromiter(map(distinct.__getitem__, chain.from_iterable(cut)), np.int64, int(n_seg.sum()))]
-    first_seg = np.cumsum(n_seg) - n_seg
-    doc_of = np.repeat(np.arange(len(cut)), n_seg)
+    points, sizes = points_of(texts)
+    at = cut(points, sizes)
+    length = np.diff(at, append=len(points))
+    _, one, which = np.unique(fingerprints(points, at, at + length), return_index=True, return_inverse=True)
+    by = np.argsort(one)  # in the order of their first places, so that frequent ones lie together
+    one, which = one[by], np.argsort(by)[which]
+    whole = np.repeat(at[one] - (np.cumsum(length[one]) - length[one]), length[one]) + np.arange(length[one].sum())
+    lat = Lattice(pieces, points[whole], length[one])
+    start = lat.start[which]
+    bounds = np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]))
+    n_seg, first_seg = np.diff(bounds), bounds[:-1]
+    doc_of = np.repeat(np.arange(len(texts)), n_seg)
     seg_key = lambda path, doc, k: mix(keys[doc] + np.uint64((path + 1) * 0xD6E8FEB86659FD93 & _ALL) + k.astype(np.uint64) * _ODD)
 
     def branch_values(edges: np.ndarray, doc: np.ndarray, begin: np.ndarray, before, top, path: int) -> np.ndarray:
@@ -301,7 +323,8 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
 
     Draws depend on the row's id and the seed alone. The segmentations of a row differ; a text that has fewer gets all
     of them, then with inclusion score 1 (logarithm 0). A null or empty text has one, without pieces. Repeated rows get
-    equal draws; null ids share one key; an empty table gives an empty one.
+    equal draws; null ids share one key; a text of any length has one lattice, the product of its segments'; other columns
+    are left out, whatever their names; an empty table gives an empty one.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
