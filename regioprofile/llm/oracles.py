@@ -78,4 +78,47 @@ by_doc AS (SELECT rid, count(*) AS k, count(c.c) AS known, sum(log10((coalesce(c
 SELECT doc_id, held_out, coalesce(k, 0) + 1 AS n_tokens, coalesce(known, 0) + (ends > 0)::INT AS n_known, n AS train_tokens, coalesce(score, 0) + log10((ends + 1) / (n + v + 1)::DOUBLE) AS base_score
 FROM d CROSS JOIN n LEFT JOIN by_doc USING (rid)"""
 
-ORACLES = {"op1_vector_neighbours": VECTORS, "op8_adaptive_rules": _rules(), "op9_warc_archives": ARCHIVES, "unigram_base_scores": UNIGRAMS}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: UTF-8 of a run of letters: one byte below 128, else 195 and the code point less 64.
+_BYTES = "flatten(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN unicode({0}[i]) < 128 THEN [unicode({0}[i])::UBIGINT] ELSE [195::UBIGINT, (unicode({0}[i]) - 64)::UBIGINT] END))"
+_CRC_OF_BYTES = "xor(list_reduce(list_prepend(4294967295::UBIGINT, {0}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+
+SPELLING = rf"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+d AS (SELECT id, run, count(*) AS k, {_CRC_OF_BYTES.format(_BYTES.format("(id || ':' || run)"))} AS h FROM r WHERE length(run) >= 6 GROUP BY id, run),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM d GROUP BY 1),
+v AS MATERIALIZED (SELECT word, n FROM w WHERE length(word) >= 6 AND n >= 5),
+c AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM c AS a JOIN c AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM c JOIN v ON c.rest = v.word UNION SELECT v.word, c.word, c.n FROM c JOIN v ON c.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN top END AS form_n,
+  (SELECT min(other) FROM near WHERE near.word = v.word AND near.n = top AND top >= 5 * v.n) AS form FROM v LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS root FROM formed UNION ALL SELECT s.word, f.form FROM steps AS s JOIN formed AS f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, n, form, root, n_near, form_n FROM formed AS f JOIN steps USING (word) WHERE root IN (SELECT word FROM formed WHERE form IS NULL)"""
+
+LEAKS = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN.format("coalesce(" + _LOWER + ", '')")} AS w FROM documents),
+i AS (SELECT DISTINCT item_id, {_PLAIN.format(_LOWER)} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+dw AS (SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT k FROM iw))),
+found AS (SELECT rid, p, k, item_id FROM dw JOIN iw USING (k, g)),
+hit AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS pos FROM (SELECT DISTINCT rid, p, k FROM found)) GROUP BY rid),
+listed AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN listed USING (rid)"""
+
+SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN.format("coalesce(" + _LOWER + ", '')")} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS qid, item_id, {_PLAIN.format(_LOWER)} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) GROUP BY rid, t),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_words FROM d WHERE len(w) > 0),
+q AS (SELECT qid, t, count(*) AS k FROM (SELECT qid, unnest(w) AS t FROM i) GROUP BY qid, t),
+weights AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf CROSS JOIN s GROUP BY t, n_docs),
+m AS (SELECT rid, doc_id, 25 + (75 * len(w)::BIGINT * n_docs) // n_words AS m FROM d CROSS JOIN s WHERE len(w) > 0),
+score AS (SELECT qid, rid, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN tf USING (t) JOIN weights USING (t) JOIN m USING (rid) GROUP BY qid, rid),
+ranked AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM score JOIN m USING (rid) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked JOIN i USING (qid) WHERE rank <= 10"""
+
+ORACLES = {"op1_vector_neighbours": VECTORS, "op8_adaptive_rules": _rules(), "op9_warc_archives": ARCHIVES, "op11_spelling_variants": SPELLING, "op12_decontamination": LEAKS, "op13_lexical_search": SEARCH, "unigram_base_scores": UNIGRAMS}

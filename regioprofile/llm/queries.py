@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, hmm, langid, licenses, neighbours, packing, quality, rules, segment, warc
+from . import decontam, dedup, hmm, langid, lexical, licenses, neighbours, packing, quality, rules, segment, spelling, warc
 from .common import id_remainder, new_path
 from .oracles import ORACLES
 
@@ -76,6 +76,21 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = F.col("contamination")
+    listed = F.sha2(F.array_join(found["items"], ",").cast("binary"), 256)
+    return x.select("doc_id", found["n_words"].alias("n_words"), found["n_hit"].alias("n_hit"), F.size(found["items"]).cast("long").alias("n_items"), listed.alias("items_sha256"), (found["n_hit"] > 0).alias("contaminated"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def unigram_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base of op10, which SQL can express, from the operator with one state and without training rounds."""
     held_out = id_remainder("doc_id", 7) == 2
@@ -92,7 +107,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = [
         op1_vector_neighbours, op2_compression_quality, op3_cross_parsing_language, op4_license_paragraphs, op5_sampled_segmentations,
-        op6_pattern_packing, op7_order_minhash, op8_adaptive_rules, op9_warc_archives, op10_hidden_markov, unigram_base_scores, pipeline,
+        op6_pattern_packing, op7_order_minhash, op8_adaptive_rules, op9_warc_archives, op10_hidden_markov, op11_spelling_variants, op12_decontamination,
+        op13_lexical_search, unigram_base_scores, pipeline,
     ]
     return {f.__name__: f for f in own}
 
