@@ -28,6 +28,8 @@ SAMPLE, ROUNDS = 4096, 30
 MISS = 1e-4
 #: Members of a cell that are compared together.
 BLOCK = 512
+#: Cells stored under a key of a table; keys of more are split.
+BUCKET = 1024
 _EPS = 1e-9
 
 
@@ -51,18 +53,21 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
 
 
-def itq(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection whose signs are the code: principal axes, turned until the signs fit them best."""
-    mean = x.mean(0)
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
-    w = axes[:bits].T
-    v = (x - mean) @ w
-    turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((w.shape[1], w.shape[1])))
+def itq(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """Projection whose signs are the code: directions at right angles, turned until the signs fit the vectors best.
+
+    The vectors are not centred, since the tables reckon with the angles between the vectors themselves: of vectors in a
+    narrow cone, those between the centred ones are far larger. Of more dimensions than bits, a random subspace is taken,
+    another for each seed, whose angles are those of the whole space in the mean; principal axes would lose what is rare.
+    """
+    w, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((x.shape[1], bits)))
+    v = x @ w
+    turn = np.eye(bits)
     for _ in range(ROUNDS):
         b = np.where(v @ turn >= 0, 1.0, -1.0)
         u, _, vt = np.linalg.svd(b.T @ v)
         turn = (u @ vt).T
-    return mean, w @ turn
+    return w @ turn
 
 
 def table_sizes(n: int, link: float = LINK) -> tuple[int, int]:
@@ -87,9 +92,9 @@ def whole_codes(keys: np.ndarray, bits: int) -> np.ndarray:
     return (own.view(np.uint64) << np.arange(each, dtype=np.uint64) * np.uint64(bits)).sum(2, dtype=np.uint64).view(np.int64)
 
 
-def keys_of(x: np.ndarray, model: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
+def keys_of(x: np.ndarray, model: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """A row of table keys for each vector: the table's number above its substring of the code."""
-    code = np.concatenate([(x - mean) @ w >= 0 for mean, w in model], 1)[:, : bits * tables].reshape(len(x), tables, bits)
+    code = np.concatenate([x @ w >= 0 for w in model], 1)[:, : bits * tables].reshape(len(x), tables, bits)
     return (code * (1 << np.arange(bits, dtype=np.int64))).sum(2) + (np.arange(tables, dtype=np.int64) << 40)
 
 
@@ -188,7 +193,11 @@ def _of_one_dimension(rows: DataFrame, link: float) -> DataFrame:
     own_keys = codes.join(member.select("rid", "cell"), "rid").select("cell", "keys")
     stored = own_keys.select(F.col("cell").alias("b"), F.explode("keys").alias("key")).distinct()
     asked = _arrow(own_keys, probes, "a long, key long").distinct()
-    pairs = asked.join(stored, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a key of many cells is split: its stored cells are dealt over parts, and each probe asks all of them
+    often = written(stored.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("k")).filter("k > 1"), "split-keys")
+    stored = stored.join(often, "key", "left").select("b", "key", F.coalesce(F.pmod(F.xxhash64("b"), F.col("k")), F.lit(0)).cast("int").alias("part"))
+    asked = asked.join(often, "key", "left").select("a", "key", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1)).alias("part"))
+    pairs = asked.join(stored, ["key", "part"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = cells.select(F.col("cell").alias("a"), F.col("v").alias("va"), F.col("r").alias("ra"), F.col("n").alias("na"))
     right = cells.select(F.col("cell").alias("b"), F.col("v").alias("vb"), F.col("r").alias("rb"), F.col("n").alias("nb"))
 

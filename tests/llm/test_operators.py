@@ -496,6 +496,29 @@ def test_vectors_equal_brute_force(spark):
     assert neighbours.linked_vectors(df.limit(0)).count() == 0
 
 
+def cones(rng, n, dim, noise, directions):
+    """Unit vectors around common directions, as most encoders' embeddings lie; noise is that of a component."""
+    centre = rng.standard_normal((directions, dim))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    x = centre[rng.integers(0, directions, n)] + rng.standard_normal((n, dim)) * noise / math.sqrt(dim)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("dim", "noise", "directions"), [(64, 0.24, 1), (64, 0.20, 1), (64, 0.22, 5), (160, 0.22, 3)])
+def test_vectors_in_cones_keep_their_links(spark, dim, noise, directions):
+    x = cones(np.random.default_rng(8), 500, dim, noise, directions)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    link = x @ x.T >= neighbours.LINK
+    np.fill_diagonal(link, False)
+    part = np.arange(len(x))
+    while (new := np.minimum(part, np.where(link, part[None, :], 9999).min(1))).tolist() != part.tolist():
+        part = new
+    got = {r.vec_id: r for r in neighbours.linked_vectors(df).collect()}
+    assert link.sum() > 10_000
+    assert sum(r.n_links for r in got.values()) >= 0.999 * link.sum() and all(got[i].n_links <= link[i].sum() for i in got)
+    assert [got[i].component_id for i in range(len(x))] == part.tolist()
+
+
 def test_vectors_of_several_dimensions(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [2.0, 0.0]), (6, [1.0, 0.0, 0.0, 0.0]), (7, []), (None, [3.0, 0.0]), (5, [0.0, 1.0])]
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
