@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .rules import CUTOFFS, LOWER, MAX_REPEAT_PCT, MIN_WORDS, PRIOR_ROWS
+from .rules import COUNT_BITS, COUNTS, CUTOFFS, LOWER, MAX_REPEAT_PCT, MIN_WORDS, PRIOR_ROWS, SHARES
 
 #: crc32 of a text of ASCII characters.
 _CRC = (
@@ -22,27 +22,23 @@ FROM lowest LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 
 
 def _rules() -> str:
-    """Counts, base rule and cutoffs from the exact quantiles of groups, languages and all rows.
-
-    The operator's sketches are exact up to SKETCH_K rows of a group, as here at the supplied sizes.
-    """
-    quantile = lambda c, q: f"list_sort(list({c}))[greatest(1, ceil({q} * count(*)))::INT]"
-    wanted = {(m, q) for m, (low, high, _, _) in CUTOFFS.items() for q in (low, high)}
+    """Counts, base rule and cutoffs from weighted quantiles on the sketches' grid."""
+    leading = lambda x, bits: f"({x}) - ({x}) % (1::BIGINT << greatest(length(bin({x})) - {bits}, 0))"
+    grid = {}
+    for m, (n, d, steps, bits) in SHARES.items():
+        x = f"(({steps} * {n}::BIGINT) // greatest({d}, 1)::BIGINT)"
+        grid[m] = leading(x, bits) if bits else x
+    grid |= {c: leading(f"{c}::BIGINT", COUNT_BITS) for c in COUNTS}
+    values = ", ".join(f"{{'k': '{k}', 'v': ({x})::BIGINT}}" for k, x in grid.items())
+    wanted = sorted({(m, q) for m, (low, high, *_) in CUTOFFS.items() for q in (low, high)} | {(of, 0.5) for *_, of in CUTOFFS.values()})
     name = lambda m, q: f"{m}_{round(100 * q)}"
-    columns = ", ".join(f"{quantile(m, q)} AS {name(m, q)}" for m, q in sorted(wanted))
-
-    def mixed(m: str, q: float) -> str:
-        out = f"a.{name(m, q)}"
-        for g in ("l", "o"):
-            out = f"(CASE WHEN {g}.n > 0 THEN ({g}.n * {g}.{name(m, q)} + {PRIOR_ROWS} * {out}) / ({g}.n + {PRIOR_ROWS}) ELSE {out} END)"
-        return out
-
+    columns = ", ".join(f"min(v) FILTER (WHERE k = '{m}' AND upto >= {q - 1e-9!r}::DOUBLE * total)::DOUBLE AS {name(m, q)}" for m, q in wanted)
     reasons = ["WHEN base_failed THEN 'base'"]
-    for m, (lower, upper, factor, slack) in CUTOFFS.items():
-        low, high = mixed(m, lower), mixed(m, upper)
-        reasons.append(f"WHEN {m} > {high} + {factor}::DOUBLE * ({high} - {low}) + {slack}::DOUBLE THEN '{m}'")
+    for m, (lower, upper, factor, units, of) in CUTOFFS.items():
+        low, high, steps, slack = name(m, lower), name(m, upper), float(SHARES[m][2]), f"{units}::DOUBLE / {name(of, 0.5)}"
+        reasons.append(f"WHEN {m} > ({high} + {factor}::DOUBLE * ({high} - {low})) / {steps}::DOUBLE + {slack} THEN '{m}'")
         if m in LOWER:
-            reasons.append(f"WHEN {m} < {low} - {factor}::DOUBLE * ({high} - {low}) - {slack}::DOUBLE THEN '{m}_low'")
+            reasons.append(f"WHEN {m} < ({low} - {factor}::DOUBLE * ({high} - {low})) / {steps}::DOUBLE - {slack} THEN '{m}_low'")
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -53,9 +49,13 @@ counted AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, length(array_to
     length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN covered USING (rid)),
 m AS (SELECT *, coalesce(n_symbols / nullif(word_chars, 0)::DOUBLE, 0) AS symbol_share, coalesce(n_upper / nullif(word_chars, 0)::DOUBLE, 0) AS upper_share, coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0) AS dup_line_share,
     coalesce(n_repeat_words / nullif(n_words, 0)::DOUBLE, 0) AS repeat_share, coalesce(word_chars / nullif(n_words, 0)::DOUBLE, 0) AS mean_word, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed FROM counted),
-good AS (SELECT * FROM m WHERE NOT base_failed),
-a AS (SELECT count(*) AS n, {columns} FROM good), l AS (SELECT lang, count(*) AS n, {columns} FROM good GROUP BY lang), o AS (SELECT lang, source, count(*) AS n, {columns} FROM good GROUP BY lang, source),
-judged AS (SELECT m.*, CASE {" ".join(reasons)} END AS reason FROM m CROSS JOIN a LEFT JOIN l ON l.lang IS NOT DISTINCT FROM m.lang LEFT JOIN o ON o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source)
+s AS (SELECT lang, source, k, v, count(*)::DOUBLE AS w FROM (SELECT lang, source, x.k AS k, x.v AS v FROM (SELECT lang, source, unnest([{values}]) AS x FROM m WHERE NOT base_failed)) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM m),
+a AS (SELECT k, v, {PRIOR_ROWS} * w / sum(w) OVER (PARTITION BY k) AS w FROM (SELECT k, v, sum(w) AS w FROM s GROUP BY k, v)),
+l AS (SELECT lang, k, v, {PRIOR_ROWS} * w / sum(w) OVER (PARTITION BY lang, k) AS w FROM (SELECT lang, k, v, sum(w) AS w FROM (SELECT lang, k, v, w FROM s UNION ALL SELECT lang, k, v, w FROM (SELECT DISTINCT lang FROM g) CROSS JOIN a) GROUP BY lang, k, v)),
+o AS (SELECT lang, source, k, v, sum(w) AS w FROM (SELECT * FROM s UNION ALL SELECT g.lang, g.source, k, v, w FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang) GROUP BY lang, source, k, v),
+q AS (SELECT lang, source, {columns} FROM (SELECT *, sum(w) OVER (PARTITION BY lang, source, k ORDER BY v) AS upto, sum(w) OVER (PARTITION BY lang, source, k) AS total FROM o) GROUP BY lang, source),
+judged AS (SELECT m.*, CASE {" ".join(reasons)} END AS reason FROM m LEFT JOIN q ON q.lang IS NOT DISTINCT FROM m.lang AND q.source IS NOT DISTINCT FROM m.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason IS NULL AS kept, reason FROM judged"""
 
 

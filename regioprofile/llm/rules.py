@@ -1,12 +1,13 @@
 """Quality rules whose cutoffs come from quantile sketches of each language and source.
 
 Native: the main path has DataFrame functions only. Every measure is computed inside its row with array functions, so
-texts are never shuffled; only (language, source) sketches are.
+texts are never shuffled; only (language, source) sketches are. A sketch counts rows by steps of a fixed grid, so that
+two runs give the same cutoffs at every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -15,21 +16,32 @@ from .common import written
 SYMBOLS = r"[#*$%&|<>]"
 #: Base rule limits.
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
-#: Sketch size: quantiles of a group of up to about this many rows are exact.
-SKETCH_K = 4096
-#: A group of n rows counts n / (n + PRIOR_ROWS) for its cutoffs and its language the rest; a language likewise with all rows.
+#: Shares are sketched in steps of 1 / STEPS, mean word lengths in steps of 1 / WORD_STEPS; of larger numbers this many
+#: leading bits are kept.
+STEPS, WORD_STEPS, WORD_BITS, COUNT_BITS = 10_000, 1000, 14, 8
+#: To a group's sketch its language's is added with the weight of so many rows, and to that the one of all rows in the same way.
 PRIOR_ROWS = 20
-#: Measure: (lower and upper quantile q and r around the bulk, allowed factor of their distance, least slack).
-#: Upper cutoff = r + factor * (r - q) + slack; a measure that has a lower cutoff mirrors it below q. Most texts repeat
-#: nothing, so that the quartiles of the two shares of repetition are 0: their groups' upper quantiles decide.
+#: Measure: (lower and upper quantile q and r around the bulk, allowed factor of their distance, units, what they are a part of).
+#: Upper cutoff = r + factor * (r - q) + units / median of the third; a measure that has a lower cutoff mirrors it below q.
+#: So the slack follows the group's own resolution: `units` symbols, lines or words in its median text. Most texts repeat
+#: nothing, so that the quartiles of the two shares of repetition are 0: their groups' upper quantiles decide. A
+#: document's reason is the first of these measures beyond its cutoff.
 CUTOFFS = {
-    "symbol_share": (0.25, 0.75, 4.0, 0.02),
-    "upper_share": (0.25, 0.75, 4.0, 0.10),
-    "dup_line_share": (0.50, 0.99, 1.0, 0.05),
-    "repeat_share": (0.50, 0.99, 1.0, 0.05),
-    "mean_word": (0.25, 0.75, 4.0, 1.0),
+    "symbol_share": (0.50, 0.75, 4.0, 4.0, "word_chars"),
+    "upper_share": (0.25, 0.75, 4.0, 2.0, "word_chars"),
+    "dup_line_share": (0.50, 0.99, 0.5, 0.5, "n_lines"),
+    "repeat_share": (0.50, 0.99, 0.5, 3.0, "n_words"),
+    "mean_word": (0.25, 0.75, 4.0, 0.0, "n_words"),
 }
 LOWER = ("mean_word",)
+#: What each measure is: counted parts, of what, steps, leading bits (0: all).
+SHARES = {
+    "mean_word": ("word_chars", "n_words", WORD_STEPS, WORD_BITS), "symbol_share": ("n_symbols", "word_chars", STEPS, 0), "upper_share": ("n_upper", "word_chars", STEPS, 0),
+    "dup_line_share": ("n_dup_lines", "n_lines", STEPS, 0), "repeat_share": ("n_repeat_words", "n_words", STEPS, 0),
+}
+COUNTS = ("n_words", "word_chars", "n_lines")
+#: Where measures() has each count.
+_AT = {"n_words": "of_words.", "word_chars": "of_words.", "n_repeat_words": "of_words.", "n_lines": "of_lines.", "n_dup_lines": "of_lines.", "n_symbols": "", "n_upper": ""}
 
 
 def _let(value: Column, body) -> Column:
@@ -82,61 +94,73 @@ def measures(text: Column) -> Column:
 
 
 def _shares(df: DataFrame) -> DataFrame:
-    n, chars = F.col("_m.of_words.n_words").cast("double"), F.col("_m.of_words.word_chars").cast("double")
-    share = lambda x, of: F.coalesce(F.try_divide(F.col(x).cast("double"), of), F.lit(0.0))
-    return df.withColumns(
-        {
-            "_symbol_share": share("_m.n_symbols", chars),
-            "_upper_share": share("_m.n_upper", chars),
-            "_dup_line_share": share("_m.of_lines.n_dup_lines", F.col("_m.of_lines.n_lines").cast("double")),
-            "_repeat_share": share("_m.of_words.n_repeat_words", n),
-            "_mean_word": F.coalesce(F.try_divide(chars, n), F.lit(0.0)),
-            "_base_failed": (F.col("_m.of_words.n_words") < MIN_WORDS)
-            | (100 * F.col("_m.of_words.n_repeat_words") > MAX_REPEAT_PCT * F.col("_m.of_words.n_words")),
-        }
-    )
+    of = lambda c: F.col(f"_m.{_AT[c]}{c}")
+    share = {f"_{m}": F.coalesce(F.try_divide(of(n).cast("double"), of(d).cast("double")), F.lit(0.0)) for m, (n, d, _, _) in SHARES.items()}
+    return df.withColumns(share | {"_base_failed": (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > MAX_REPEAT_PCT * of("n_words"))})
+
+
+def _leading(x: str, bits: int) -> str:
+    """A whole number with only its leading bits, the others 0."""
+    return f"({x}) - ({x}) % shiftleft(1L, greatest(length(bin({x})) - {bits}, 0))"
+
+
+def _on_grid() -> dict[str, Column]:
+    """The measures and counts as the whole numbers that are sketched."""
+    at = lambda c: f"_m.{_AT[c]}{c}"
+    out = {}
+    for m, (n, d, steps, bits) in SHARES.items():
+        x = f"({steps} * {at(n)}) div greatest({at(d)}, 1L)"
+        out[m] = F.expr(_leading(x, bits) if bits else x)
+    return out | {c: F.expr(_leading(at(c), COUNT_BITS)) for c in COUNTS}
 
 
 def _limits(measured: DataFrame) -> DataFrame:
-    """(_lang, _source, _low_<m>, _high_<m>): cutoffs of each group, from its own and the merged sketches above it.
+    """(_lang, _source, _low_<m>, _high_<m>): cutoffs of each group, from its own sketch merged with those above it.
 
-    At every size they are weighted means, so that no verdict turns at a certain number of rows.
+    A sketch is the weight of rows by step of a fixed grid: its quantiles are right to a step, sketches are merged by sums,
+    in any order to the same result, and each has as many rows as the grid has steps at most. The language's sketch counts
+    PRIOR_ROWS rows at every size of a group, so that no verdict turns at a certain number of rows.
     """
+    names = list(_on_grid())
+    wanted = sorted({(m, q) for m, (low, high, *_) in CUTOFFS.items() for q in (low, high)} | {(of, 0.5) for *_, of in CUTOFFS.values()})
     good = measured.filter(~F.col("_base_failed"))
-    group = good.groupBy("_lang", "_source").agg(F.count("*").alias("_n"), *[F.kll_sketch_agg_double(f"_{m}", F.lit(SKETCH_K)).alias(f"_{m}") for m in CUTOFFS])
-    merged = [F.sum("_n").alias("_n"), *[F.kll_merge_agg_double(f"_{m}", F.lit(SKETCH_K)).alias(f"_{m}") for m in CUTOFFS]]
-    group = group.checkpoint()  # one row for each pair of language and source
-    sketches = F.struct("_n", *[f"_{m}" for m in CUTOFFS])
-    by_lang = group.groupBy("_lang").agg(*merged).select(F.col("_lang").alias("_lang2"), sketches.alias("_by_lang"))
-    of_all = group.agg(*merged).select(sketches.alias("_of_all"))
-    own = group.select(F.col("_lang").alias("_lang1"), F.col("_source").alias("_source1"), sketches.alias("_own"))
-    x = measured.select("_lang", "_source").distinct()
-    x = x.join(own, F.col("_lang").eqNullSafe(F.col("_lang1")) & F.col("_source").eqNullSafe(F.col("_source1")), "left")
-    x = x.join(by_lang, F.col("_lang").eqNullSafe(F.col("_lang2")), "left")
-    x = x.join(F.broadcast(of_all), F.lit(True), "left")  # a single row: the sketches of all rows
-
-    def mixed(m: str, q: float) -> Column:
-        of = lambda level: F.kll_sketch_get_quantile_double(F.col(f"{level}._{m}"), F.lit(q))
-        out = of("_of_all")
-        for level in ("_by_lang", "_own"):
-            n = F.col(f"{level}._n").cast("double")
-            out = F.when(n > 0, (n * of(level) + PRIOR_ROWS * out) / (n + PRIOR_ROWS)).otherwise(out)
-        return out
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), v.cast("long").alias("v")) for i, v in enumerate(_on_grid().values())]))
+    sketch = good.select("_lang", "_source", values.alias("x")).groupBy("_lang", "_source", "x.m", "x.v").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    sketch = sketch.checkpoint()  # at most a row for each step of each measure in each pair of language and source
+    groups = measured.select("_lang", "_source").distinct()
+
+    def shares(level: DataFrame, by: list[str]) -> DataFrame:
+        """Weights as shares of their group's and measure's, of PRIOR_ROWS in all."""
+        x = level.groupBy(*by, "m", "v").agg(F.sum("w").alias("w"))
+        return x.withColumn("w", PRIOR_ROWS * F.col("w") / F.sum("w").over(Window.partitionBy(*by, "m")))
+
+    of_all = shares(sketch, [])
+    langs = groups.select("_lang").distinct().select("_lang", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("m"))
+    by_lang = shares(sketch.select("_lang", "m", "v", "w").unionByName(langs.join(of_all, "m")), ["_lang"]).withColumnRenamed("_lang", "_of")
+    merged = sketch.unionByName(groups.join(by_lang, F.col("_lang").eqNullSafe(F.col("_of"))).drop("_of"))
+    merged = merged.groupBy("_lang", "_source", "m", "v").agg(F.sum("w").alias("w"))
+    group = Window.partitionBy("_lang", "_source", "m")
+    merged = merged.withColumns({"upto": F.sum("w").over(group.orderBy("v")), "of": F.sum("w").over(group)})
+    # weights are fractions: a hair below the share counts as the share
+    reached = lambda q: F.col("upto") >= F.lit(q - 1e-9) * F.col("of")
+    found = [F.min(F.when((F.col("m") == names.index(m)) & reached(q), F.col("v"))).cast("double").alias(f"{m}_{q}") for m, q in wanted]
+    x = merged.groupBy("_lang", "_source").agg(*found)
 
     out = []
-    for m, (lower, upper, factor, slack) in CUTOFFS.items():
-        low, high = mixed(m, lower), mixed(m, upper)
-        out.append((high + factor * (high - low) + slack).alias(f"_high_{m}"))
+    for m, (lower, upper, factor, units, of) in CUTOFFS.items():
+        low, high, steps = F.col(f"`{m}_{lower}`"), F.col(f"`{m}_{upper}`"), float(SHARES[m][2])
+        slack = F.lit(units) / F.col(f"`{of}_0.5`")
+        out.append(((high + factor * (high - low)) / steps + slack).alias(f"_high_{m}"))
         if m in LOWER:
-            out.append((low - factor * (high - low) - slack).alias(f"_low_{m}"))
-    return x.filter(F.col("_of_all._n") > 0).select(F.col("_lang").alias("_lang1"), F.col("_source").alias("_source1"), *out).checkpoint()
+            out.append(((low - factor * (high - low)) / steps - slack).alias(f"_low_{m}"))
+    return x.select(F.col("_lang").alias("_lang1"), F.col("_source").alias("_source1"), *out).checkpoint()
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None, into: str = "quality_rules") -> DataFrame:
     """The columns `keep` of docs (all by default) and a struct `into`: counts, base_failed, kept and the reason.
 
     A row fails the base rule, or lies beyond a cutoff of its (language, source) group. Null text counts as empty (no
-    words, base_failed); null language or source is a group of its own; the cutoffs of small groups lean to the merged sketches; equal rows
+    words, base_failed); null language or source is a group of its own; those of small groups lean to their language's sketch; equal rows
     get equal verdicts; a measure equal to its cutoff is within it; an empty table gives an empty one. Texts of any length
     are measured whole. Columns of docs may have any names; one that is called like `into` is replaced.
 

@@ -92,6 +92,25 @@ def test_rules_on_long_and_short_words_and_cutoffs_of_groups(spark):
     assert sorted((r.doc_id, r.quality_rules.reason) for r in got.filter("not quality_rules.kept").collect()) == [(900, "mean_word"), (901, "mean_word_low")]
 
 
+def test_rules_adapt_in_the_supplied_table(spark):
+    """At 10,000 rows: no cutoff is one constant, several rules reject, two runs agree, and good documents stay."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.quality_rules for r in rules.quality_rules(docs, keep=["doc_id"]).collect()}
+    again = {r.doc_id: r.quality_rules for r in rules.quality_rules(docs.repartition(7), keep=["doc_id"]).collect()}
+    assert got == again
+    row = F.struct(F.col("doc_id")).alias("_row")
+    measured = rules._shares(docs.select(row, F.col("lang").alias("_lang"), F.col("source").alias("_source"), rules.measures(F.col("text")).alias("_m")))
+    limits = rules._limits(measured).collect()
+    assert len(limits) == 80 and all(len({r[f"_high_{m}"] for r in limits}) >= 10 for m in rules.CUTOFFS)
+    reasons = collections.Counter(r.reason for r in got.values() if not r.base_failed and not r.kept)
+    assert len(reasons) >= 4 and reasons["symbol_share"] < sum(reasons.values())
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lost = [d for d, r in got.items() if quality.get(d) == 1 and not r.base_failed and not r.kept]
+    assert len(lost) < 0.02 * sum(q == 1 for q in quality.values())
+    assert not [d for d, r in got.items() if quality.get(d) == 0 and r.kept]
+
+
 def test_cross_parsing_equals_substring_search(docs):
     samples = langid.language_samples(docs, chars=4000) | {"zh": "".join(chr(0x4E00 + i * i % 3000) for i in range(4000)), "ja": "".join(chr(0x3041 + i * i % 83) + chr(0x20000 + i % 500) for i in range(1000))}
     parser = langid.CrossParser(samples)
