@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as v
 from ..operators import match, reshape
+from ..sources import relations, versions
 from ..sources import tables as t
 from ..sources.fixtures import BASE, EXTRA_YEARS, FIXTURES, REPORT, YEARS, needed, raw
 from . import star
@@ -296,6 +297,36 @@ def incremental_latest(s, d):
     return t.latest_rows(now, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+# ---- versioned tables ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def versioned_reload(s, d):
+    """A load that reads the table that it replaces: the first version's rows and more."""
+    n, root = table(s, d, "nation").select("n_nationkey", "n_name"), t.shared_path(s, "versioned")
+    versions.load(n.filter("n_nationkey % 2 = 0"), root)
+    versions.load(versions.current(s, root).unionByName(n.filter("n_nationkey % 2 = 1")), root)
+    return versions.current(s, root)
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) AS x WHERE rn = 1 AND o_orderstatus <> 'P'")
+def merge_increments(s, d):
+    """Three increments with late rows and deletions by flag, merged into a stored table: as one full load gives it."""
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", (F.col("o_orderstatus") == "P").alias("gone"))
+    root = t.shared_path(s, "merged")
+    for part in (2, 0, 1):
+        versions.merge(o.filter(F.col("o_orderkey") % 3 == part), root, ["o_custkey"], ["o_orderdate", "o_orderkey"], mark="o_orderkey", deleted="gone", buckets=8)
+    return versions.current(s, root).drop("o_orderdate")
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey % 2, o_custkey, o_orderkey) AS nr FROM orders")
+def surrogate_key_lasting(s, d):
+    """Numbers of a second load, whose new rows lie between those of the first: old ones keep theirs."""
+    o, root = table(s, d, "orders").select("o_orderkey", "o_custkey"), t.shared_path(s, "keys")
+    versions.lasting_keys(o.filter("o_orderkey % 2 = 0"), root, ["o_custkey", "o_orderkey"], "nr")
+    return versions.lasting_keys(o, root, ["o_custkey", "o_orderkey"], "nr")
+
+
 # ---- filters and joins --------------------------------------------------------------------------------------------
 
 
@@ -611,3 +642,37 @@ def coverage_report(s, d):
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("kpi"), F.col(c).alias("n_filled")) for c in _COVERED]))
     x = one.select("n", rows.alias("r"))
     return x.select("r.kpi", "r.n_filled", F.col("n").alias("n_rows"), v.round_to(v.safe_div(100.0 * F.col("r.n_filled"), "n"), 2).alias("pct"))
+
+
+_RELATED = ("dim_kreis", "dim_jahr", "dim_gemeinde", "dim_klimastadt", "fact_bevoelkerung", "fact_bauland", "fact_klima", "fact_gemeinde_stamm")
+
+
+def _related_sql() -> str:
+    rows = []
+    for name in _RELATED:
+        key = relations.GRAINS[name]
+        own = {"grain": f"SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(key)} FROM {name})) AS n FROM {name}", "key_missing": f"SELECT count(*) AS n FROM {name} WHERE " + " OR ".join(f"{k} IS NULL" for k in key)}
+        own |= {c: f"SELECT count(*) AS n FROM {name} AS x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} AS y WHERE y.{k} = x.{c}{' AND jahr <= 1999' if p == 'dim_jahr' else ''})" for c, p, k in relations.FOREIGN.get(name, [])}
+        if name == "dim_jahr":
+            own = {k: f"{q}{' AND' if 'WHERE' in q else ' WHERE'} jahr <= 1999".replace("FROM dim_jahr))", "FROM dim_jahr WHERE jahr <= 1999))").replace("WHERE jahr IS NULL AND jahr <= 1999", "WHERE jahr IS NULL") for k, q in own.items()}
+        rows += [f"SELECT '{name}.{k}' AS check_name, n AS n_bad, n = 0 AS passed FROM ({q}) AS q" for k, q in own.items()]
+    return " UNION ALL ".join(rows)
+
+
+@query(_related_sql(), *_RELATED)
+def audit_relations(s, d):
+    """Grains and foreign keys of the star schema's tables, with a year dimension that ends too early."""
+    places, kreise, weather = t.materialized(municipality(s, d)), t.materialized(dim_kreis(s, d)), t.materialized(climate(s, d))
+    gemeinden = t.materialized(star.dim_gemeinde(places, kreise))
+    own = {
+        "dim_kreis": kreise, "dim_jahr": dim_jahr(s, d).filter("jahr <= 1999"), "dim_gemeinde": gemeinden, "dim_klimastadt": star.dim_klimastadt(weather), "fact_bevoelkerung": fact_bevoelkerung(s, d),
+        "fact_bauland": fact_bauland(s, d), "fact_klima": star.fact_klima(weather, BASE, REPORT), "fact_gemeinde_stamm": star.fact_gemeinde_stamm(places, gemeinden),
+    }
+    return relations.relational_audit(own)
+
+
+@query("""SELECT (SELECT count(*) FROM intact) AS n_left, count(DISTINCT rid) AS n_matched, count(*) AS n_joined, max(k) AS largest
+  FROM (SELECT rid, count(*) OVER (PARTITION BY rid) AS k FROM (SELECT row_number() OVER () AS rid, * FROM intact) AS m JOIN dim_gemeinde AS g ON m.municipality_name = g.gemeinde_name AND m.postal_code = g.postal_code) AS x""", "intact", "dim_gemeinde")
+def audit_fan_out(s, d):
+    """What the join of municipalities with their dimension multiplies."""
+    return relations.fan_out(star.intact(municipality(s, d)), dim_gemeinde(s, d), [("municipality_name", "gemeinde_name"), ("postal_code", "postal_code")])

@@ -62,20 +62,41 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CONTRACTS[table]])
 
 
+def _replace(df: DataFrame, path: str) -> int:
+    """Writes the rows beside the folder at path and puts them in its place at the end; until then the old ones are read.
+
+    df may read the folder itself. Between the two renames at the end there is no folder for a moment; where readers can't
+    have that, use versions.load().
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    aside, old = f"{path}.loading-{mark}", f"{path}.replaced-{mark}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(aside)
+    n = seen.get["n"]
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = as_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(as_path(path))
+    if there and not fs.rename(as_path(path), as_path(old)):
+        raise OSError(f"{path} can't be renamed")
+    if not fs.rename(as_path(aside), as_path(path)):
+        if there:
+            fs.rename(as_path(old), as_path(path))
+        raise OSError(f"{aside} can't be renamed")
+    if there:
+        fs.delete(as_path(old), True)
+    return n
+
+
 def full_load(df: DataFrame, path: str) -> int:
-    """Replaces the table at path; non-finite numbers become NULL. Returns the row count, taken while writing."""
+    """Replaces the table at path once all rows are written; non-finite numbers become NULL. Returns the row count."""
     from ..functions.values import sanitize
 
-    seen = Observation()
-    sanitize(df).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    return seen.get["n"]
+    return _replace(sanitize(df), path)
 
 
 def stage(df: DataFrame, path: str) -> int:
     """A copy as it is, with its row count."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    return seen.get["n"]
+    return _replace(df, path)
 
 
 def stage_all(tables: dict[str, DataFrame], root: str) -> dict[str, tuple[DataFrame, int]]:
@@ -104,7 +125,7 @@ def publish(staged: str, target: str, checks: dict[str, str], spark: SparkSessio
 
 
 def truncate(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    _replace(spark.createDataFrame([], schema), path)
 
 
 def create_tables(spark: SparkSession, database: str = "default") -> list[str]:
