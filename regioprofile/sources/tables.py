@@ -51,6 +51,12 @@ def materialized(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialized_with_count(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """materialized() rows and their number, which is taken while they are written."""
+    seen = Observation()
+    return materialized(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
 def read_table(spark: SparkSession, where: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """A table of any source Spark reads. A JDBC read is split by partitionColumn, lowerBound, upperBound, numPartitions."""
     reader = spark.read.format(fmt).options(**options)

@@ -174,3 +174,36 @@ def test_jdbc_reads_are_split(spark, monkeypatch):
 
     t.read_table(Session(), "unused", "jdbc", url="jdbc:x", dbtable="t", partitionColumn="id", lowerBound="0", upperBound="100", numPartitions="4")
     assert given == {"format": "jdbc", "url": "jdbc:x", "dbtable": "t", "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "4", "where": ()}
+
+
+def test_many_names_meet_by_equal_keys_only(spark, monkeypatch):
+    """Parts of every length, empty and absent ones, and runs that nearly all names hold: no nested loop, equal rows."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abÄ") for _ in range(n))
+    names = [(i, "Kreis " + word(rng.randint(0, 7))) for i in range(300)] + [(900, None), (901, ""), (902, "İx"), (903, "a")]
+    parts = [(i, p) for i, p in enumerate(["", "K", "kr", "KREIS", "kreis a", "äb", "bäÄ", "zzz", "kzq", None, "a", "is ", "i̇x", "reis bbb"])]
+    right, left = spark.createDataFrame(names, "kid int, kname string"), spark.createDataFrame(parts, "id int, part string")
+    few = match.contains_join(left, right, "part", "kname").collect()
+    monkeypatch.setattr(match, "FEW", 3)
+    many = match.contains_join(left, right, "part", "kname")
+    assert "NestedLoop" not in many._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few)) and len(few) > 1000
+
+
+def test_cells_are_bounded_however_points_lie(spark):
+    rng = random.Random(2)
+    shapes = {
+        "cloud and a far point": [(rng.gauss(50, 1), rng.gauss(10, 1)) for _ in range(2000)] + [(5e6, -5e6)],
+        "one line": [(50.0, rng.gauss(10, 1)) for _ in range(2000)],
+        "half on a line": [(50.0 if i % 2 else rng.gauss(50, 1), rng.gauss(10, 1)) for i in range(2000)],
+        "grid": [(float(i % 40), float(i // 40)) for i in range(2000)],
+    }
+    ask = [(i, rng.gauss(50, 2), rng.gauss(10, 2)) for i in range(150)] + [(900, -4e6, 3e6), (901, 50.0, 1e4), (902, None, 1.0), (903, 20.5, 20.5)]
+    asked = spark.createDataFrame([*ask, ask[0]], "id int, latitude double, longitude double")
+    for shape, places in shapes.items():
+        points = spark.createDataFrame([(f"n{i:04d}", *p) for i, p in enumerate(places)], "n string, a double, o double")
+        sizes = [r.k for r in match._cells(points, len(places)).select(F.size("points").alias("k")).collect()]
+        assert sum(sizes) == len(places) and max(sizes) <= 4 * match.CELL_POINTS, shape
+        got = match.nearest_by_cells(asked, points, len(places), "n", "latitude", "longitude").collect()
+        want = {i: None if a is None else min(((a - x) ** 2 + (o - y) ** 2, f"n{k:04d}") for k, (x, y) in enumerate(places))[1] for i, a, o in ask}
+        assert len(got) == len(ask) + 1 and {r.id: r.n for r in got} == want, shape
