@@ -356,6 +356,28 @@ def _links(made: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFram
     return links
 
 
+def _labelled(made: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """near_duplicates() from the texts' sketches, with h, the class of equal shingles, of texts without an id."""
+    links = _links(made, docs, doc_id, text)
+    # ids of several texts link these
+    by_id = made.filter("doc_id is not null and h is not null").groupBy("doc_id", "h").agg(F.max("n").alias("n"))
+    several = by_id.groupBy("doc_id").agg(F.min("h").alias("low"), F.count("*").alias("m")).filter("m > 1").select("doc_id", "low")
+    own = by_id.join(several, "doc_id").select(F.col("low").alias("a"), F.col("h").alias("b")).filter("a <> b")
+    label = components(links.unionByName(own))
+
+    rows = made.groupBy("doc_id", "h").agg(F.max("n").alias("n"))
+    rows = rows.join(label, rows["h"] == label["node"], "left").select("doc_id", "h", "n", F.coalesce("component", "h").alias("c"))
+    rows = written(rows, "rows")
+    lowest = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min("h").alias("first"))
+    rows = rows.join(lowest.withColumnRenamed("c", "c_"), F.col("c") == F.col("c_"), "left")
+    with_id = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n").alias("n"))
+    component = F.coalesce("component_id", "doc_id")
+    with_id = with_id.select("doc_id", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.col("n").alias("n_shingles"))
+    kept = F.col("component_id").isNull() & F.coalesce(F.col("h") == F.col("first"), F.lit(True))
+    without_id = rows.filter("doc_id is null").select("doc_id", "component_id", kept.alias("kept"), F.col("n").alias("n_shingles"), "h")
+    return with_id.withColumn("h", F.lit(None).cast("long")).unionByName(without_id)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id, kept, n_shingles: a row for each distinct id, and for each class of texts of null id.
 
@@ -374,33 +396,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sketch ends up in one component or has been found to be below the similarity, whatever its bucket's size.
     """
     made = written(sketches(docs, doc_id, text), "sketches")
-    links = _links(made, docs, doc_id, text)
-    # ids of several texts link these
-    by_id = made.filter("doc_id is not null and h is not null").groupBy("doc_id", "h").agg(F.max("n").alias("n"))
-    several = by_id.groupBy("doc_id").agg(F.min("h").alias("low"), F.count("*").alias("m")).filter("m > 1").select("doc_id", "low")
-    own = by_id.join(several, "doc_id").select(F.col("low").alias("a"), F.col("h").alias("b")).filter("a <> b")
-    label = components(links.unionByName(own))
-
-    rows = made.groupBy("doc_id", "h").agg(F.max("n").alias("n"))
-    rows = rows.join(label, rows["h"] == label["node"], "left").select("doc_id", "h", "n", F.coalesce("component", "h").alias("c"))
-    rows = written(rows, "rows")
-    lowest = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min("h").alias("first"))
-    rows = rows.join(lowest.withColumnRenamed("c", "c_"), F.col("c") == F.col("c_"), "left")
-    with_id = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n").alias("n"))
-    component = F.coalesce("component_id", "doc_id")
-    with_id = with_id.select("doc_id", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.col("n").alias("n_shingles"))
-    kept = F.col("component_id").isNull() & F.coalesce(F.col("h") == F.col("first"), F.lit(True))
-    return with_id.unionByName(rows.filter("doc_id is null").select("doc_id", "component_id", kept.alias("kept"), F.col("n").alias("n_shingles")))
+    return _labelled(made, docs, doc_id, text).drop("h")
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are kept: those of one document of each group.
 
-    Of an id that is kept each different text stays once, with the columns of one of its rows. Rows of null id, which name
-    no document, all stay.
+    Of an id that is kept each different text stays once, with the columns of one of its rows. Of rows without an id one
+    stays for each group that has no row with an id; those without words are copies of nothing and all stay.
     """
-    label = near_duplicates(docs, doc_id, text).filter("kept and doc_id is not null").select("doc_id")
+    made = written(sketches(docs, doc_id, text), "sketches")
+    label = written(_labelled(made, docs, doc_id, text).filter("kept"), "kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no name of the input can clash
     packed = docs.select(F.col(doc_id).alias("id"), _text_hash(text).alias("t"), row.alias("row"))
-    some = packed.filter("id is not null").join(label.withColumnRenamed("doc_id", "kept_id"), F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id", "t"])
-    return some.unionByName(packed.filter("id is null")).select("row.*")
+    ids = label.filter("doc_id is not null").select(F.col("doc_id").alias("kept_id"))
+    some = packed.filter("id is not null").join(ids, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id", "t"])
+    classes = label.filter("doc_id is null and h is not null").select("h")
+    texts = made.filter("doc_id is null").join(classes, "h").groupBy("h").agg(F.min("t").alias("t")).select("t")
+    nameless = packed.filter("id is null")
+    first = nameless.join(texts, "t", "left_semi").dropDuplicates(["t"]).select("row")
+    wordless = made.filter("doc_id is null and h is null").select("t").distinct()
+    return some.select("row").unionByName(first).unionByName(nameless.join(wordless, "t", "left_semi").select("row")).select("row.*")

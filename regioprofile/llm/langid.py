@@ -1,7 +1,8 @@
 """Language identification by cross-parsing: how few phrases of a language's own text does a text fall into?
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed greedily into the
-longest phrases that occur in that sample; related text needs few, long phrases. The automata share one table of their
+longest phrases that occur in that sample; related text needs few, long phrases. The number of phrases is normalised by
+the logarithm of the sample's length, so that a language of which little text is labelled is not at a disadvantage. The automata share one table of their
 transitions, whose size follows the samples and not their alphabets, so that numpy steps through thousands of
 text blocks and all languages at a time. A block starts a phrase of its own; where the phrase from the block before ends
 is then followed until both parses start a phrase at the same place, so that no count depends on the blocks.
@@ -143,6 +144,9 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
+        # a phrase names a place in the sample: it costs the logarithm of the sample's length, here in units of the longest one's
+        bits = np.log2([2.0 + len(samples[k]) for k in self.langs])
+        self.cost = bits / max(bits, default=1.0)
         streams = [letters_and_gaps([samples[k]])[0] for k in self.langs]
         self.alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *streams]).astype(np.uint32))
         width = len(self.alphabet) + 1  # the last code is any character that no sample has
@@ -265,10 +269,11 @@ class CrossParser:
         phrases = self.phrases(self.codes(points), lengths)
         if not self.langs:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "phrases_per_char": 0.0})
-        best = phrases.argmin(1)
+        costs = phrases * self.cost
+        best = costs.argmin(1)
         least = phrases[np.arange(len(texts)), best]
         # posterior, were each phrase more a halving of the likelihood
-        score = 1.0 / np.exp2(-np.minimum(phrases - least[:, None], 1000)).sum(1)
+        score = 1.0 / np.exp2(-np.minimum(costs - costs[np.arange(len(texts)), best][:, None], 1000)).sum(1)
         none = letters == 0
         return pd.DataFrame(
             {
@@ -322,7 +327,8 @@ def with_language(docs: DataFrame, samples: dict[str, str], text: str = "text",
         for batch in batches:
             yield in_parts(_PARSERS[key].predict, batch)
 
-    return docs.withColumn(into, predict(F.col(text)))
+    # marked as not deterministic, so that a filter on the result doesn't parse each text once more
+    return docs.withColumn(into, predict.asNondeterministic()(F.col(text)))
 
 
 def in_parts(f, batch: pd.Series, chars: int = 1_500_000):

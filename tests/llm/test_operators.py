@@ -157,7 +157,9 @@ def test_languages(spark, docs, odd):
 def test_language_predictions_equal_brute_force(spark, docs):
     """lang_pred and score of the query, from greedy parses by plain substring search."""
     held = common.id_remainder("doc_id", 4) == 2
-    samples = {k: "".join(map(chr, langid.letters_and_gaps([v])[0])) for k, v in langid.language_samples(docs.filter(~held)).items()}
+    drawn = langid.language_samples(docs.filter(~held))
+    samples = {k: "".join(map(chr, langid.letters_and_gaps([v])[0])) for k, v in drawn.items()}
+    cost = {k: math.log2(2 + len(v)) / math.log2(2 + max(map(len, drawn.values()))) for k, v in drawn.items()}
     got = {r.doc_id: r for r in queries.op3_cross_parsing_language(spark, SF).collect()}
     texts = sorted((r for r in docs.collect() if r.text), key=lambda r: (len(r.text), r.doc_id))[:40]
     for r in texts:
@@ -169,13 +171,24 @@ def test_language_predictions_equal_brute_force(spark, docs):
                 while j <= len(stream) and stream[i:j] in source:
                     j += 1
                 i, n = max(i + 1, j - 1), n + 1
-            phrases[lang] = n
+            phrases[lang] = n * cost[lang]
         letters = any(c.isalpha() for c in r.text)
         best = min(sorted(phrases), key=phrases.get) if letters else "und"
         score = 1 / sum(2.0 ** (phrases[best] - n) for n in phrases.values()) if letters else 0.0
         assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - score) < 1e-9
 
 
+def test_languages_of_unequal_samples(spark):
+    """A language of which only 300 characters are known is found as well as the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200").orderBy("doc_id").collect()
+    by = {k: [r.text for r in docs if r.lang == k] for k in ("de", "en", "fr", "es")}
+    for small in ("fr", "de"):
+        samples = {k: "\n".join(t[:1000] for t in texts[:40])[: 300 if k == small else 32_000] for k, texts in by.items()}
+        texts, langs = zip(*[(t, k) for k, own in by.items() for t in own[40:110]], strict=True)
+        got = langid.CrossParser(samples).predict(list(texts))["lang_pred"].tolist()
+        assert sum(a != b for a, b in zip(got, langs, strict=True)) <= 0.01 * len(langs)
+
+
 def test_quality_on_held_out_rows(spark, odd):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
     x = queries.op2_compression_quality(spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("held_out").collect()
@@ -386,7 +399,20 @@ def test_near_duplicates_of_repeated_and_null_ids_and_long_texts(spark):
     assert got == sorted([(5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (None, 9, False), (1, 1, True), (20, 20, True), (21, 20, False), (None, None, True)], key=str)
     kept = dedup.without_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted(str((r.doc_id, (r.text or "")[:5])) for r in kept.collect()) == sorted(str((i, (t or "")[:5])) for i, t in [rows[0], rows[1], rows[5], rows[6], rows[7], rows[8], rows[9], rows[11]])
+    assert sorted(str((r.doc_id, (r.text or "")[:5])) for r in kept.collect()) == sorted(str((i, (t or "")[:5])) for i, t in [rows[0], rows[1], rows[5], rows[8], rows[9], rows[11]])
+
+
+def test_copies_without_an_id_go_from_tables(spark):
+    """Of rows of null id one stays for each group, none beside a row with an id; texts without words all stay."""
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(None, a, "1"), (None, a, "2"), (None, a.upper() + ".", "3"), (None, a + " x", "4"), (7, b, "5"), (None, b, "6"), (None, c, "7"), (None, "", "8"), (None, None, "9"), (None, "", "10")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    got = dedup.without_near_duplicates(df)
+    assert got.columns == df.columns
+    kept = {r.h for r in got.collect()}
+    assert len(kept & {"1", "2", "3", "4"}) == 1 and kept - {"1", "2", "3", "4"} == {"5", "7", "8", "9", "10"}
 
 
 def test_buckets_with_many_groups_lose_no_link(spark, monkeypatch):
