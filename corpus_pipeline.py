@@ -63,7 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the smallest id.
 
     Null, empty and wordless texts are copies of nothing. Of rows that repeat the id that is kept, each different text
-    stays once; rows of null id all stay. Texts of any length are compared whole. Columns of docs keep their names and
+    stays once; of rows of null id one stays for each group without an id. Texts of any length are compared whole. Columns of docs keep their names and
     values, whatever these are; an empty table stays empty.
     """
     return dedup.without_near_duplicates(docs)
