@@ -27,6 +27,8 @@ from .plainwords import in_slices, item_blocks, plain, words_of
 LENGTH_PCT, WEIGHT_SCALE, TF_SCALE = 75, 1000, 1_000_000_000
 #: Documents kept for each item.
 TOP = 10
+#: Sums of doubles hold whole numbers below this exactly.
+EXACT_BELOW = 2**53
 #: Documents that are scored together; an item's best rows so far that are held before the worse ones go.
 SCORED_ROWS, HELD_ROWS = 128, 64
 #: Sets of tasks whose best rows are merged first, so that no task merges those of all.
@@ -86,7 +88,7 @@ def _scored(counted: DataFrame, weight: np.ndarray, n_docs: int, n_words: int, q
     item = np.repeat(np.arange(len(queries)), [len(q[0]) for q in queries])[order]
     times = (np.concatenate([q[1] for q in queries]) if queries else by_term)[order]
     first = np.searchsorted(by_term[order], np.arange(len(weight) + 1))
-    exact = max((int((weight[q[0]] * q[1]).sum()) for q in queries), default=0) * (TF_SCALE // 1000) < 2**53
+    exact = max((int((weight[q[0]] * q[1]).sum()) for q in queries), default=0) * (TF_SCALE // 1000) < EXACT_BELOW
     sent = counted.sparkSession.sparkContext.broadcast((weight, first, item, times))  # as many numbers as the block's items have terms
     n_items, doc_kind = len(queries), counted.schema["doc_id"].dataType.simpleString()
 

@@ -29,6 +29,9 @@ def odd(spark, tmp_path_factory):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     own = spark.createDataFrame([(-5, None, None), (-6, "u", ""), (-7, "u", "é"), (-8, "u", "é"), (-9, "u", "é")], "page_id long, url string, html string")
     pages.unionByName(own).unionByName(pages.limit(7).withColumn("page_id", F.col("page_id") + 1000)).write.parquet(f"{root}/pages.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    few = [(None, "word of the day a"), (-1, None), (-2, ""), (-3, "!!!"), (-4, "A b."), (-5, "b"), (-5, "y Y y y y y y y y y y y"), (0, "of the DAY"), (-4, "A b."), (-6, "é ß λ")]
+    items.unionByName(spark.createDataFrame(few, items.schema)).write.parquet(f"{root}/benchmark.parquet")
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     near = vectors.limit(20).select((F.col("vec_id") + 10_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i == 3, x * 1.2).otherwise(x)).alias("embedding"))
     bad = spark.createDataFrame([(-1, None), (-2, []), (-3, [0.0, 0.0]), (-4, [float("nan"), 1.0]), (-5, [None, 1.0]), (-6, [1.0, 2.0]), (-7, [2.0, 4.0])], "vec_id long, embedding array<float>")
@@ -39,9 +42,11 @@ def odd(spark, tmp_path_factory):
 @pytest.mark.parametrize("key", sorted(queries.oracle_sql()))
 @pytest.mark.parametrize("which", ["given", "odd"])
 def test_query_equals_sql(spark, odd, key, which):
+    if (key, which) == ("op11_spelling_variants", "odd"):
+        pytest.skip("the SQL loops over each letter of a word of three million; odd rows of op11 are in test_items_and_words.py")
     root = {"given": SF, "odd": odd}[which]
     con = duckdb.connect()
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "benchmark"):
         path = f"{root}/{name}.parquet"
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     assert glob.glob(f"{root}/*")
