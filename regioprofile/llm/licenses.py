@@ -160,6 +160,10 @@ def fit(paragraphs: list[str], seed: int = 0) -> Model:
     return Model(families, index, w, b, float(sharp), alert)
 
 
+#: Lines that a notice in other words may be wrapped over, and the evidence that each further line must add.
+STRETCH, LINE_PRICE = 12, 1.0
+
+
 def _found(template: str, own: list[str]) -> float:
     """Share of the template's word bigrams that the words hold."""
     t = words(template)
@@ -222,7 +226,8 @@ def scan_text(model: Model, text: str) -> Iterator[tuple]:
     """(paragraph, start, length, family, probability, template, similarity, confirmed) of each paragraph and family named.
 
     A paragraph's number is that of its first line. A line is a paragraph; lines over which a notice is wrapped count
-    with the whole run of lines between blank ones. A paragraph with several licences gives a row for each.
+    with the whole run of lines between blank ones, or by themselves where a run of more than STRETCH lines holds one in
+    other words than a template's. A paragraph with several licences gives a row for each.
     """
     # a text without any word that a feature needs is unknown throughout; cut at other characters, words may end in dots
     quick = text.lower().encode("utf-8", "surrogatepass").translate(_CUT).split()
@@ -255,22 +260,64 @@ def _scan_run(model: Model, run: list[tuple]) -> Iterator[tuple]:
                 wrapped[notice[0]] = notice
     for family, p, template, share in wrapped.values():
         yield run[0][0], run[0][1], run[-1][1] + len(run[-1][2]) - run[0][1], family, p, template, share, share >= CONFIRMS
-    for i, (k, start, line, line_words) in enumerate(run):
-        named = set()
+    lines, single = [r[3] for r in run], {}
+    for i, line_words in enumerate(lines):
         if i not in covered and not model.alert.isdisjoint(line_words):
-            p = model.probabilities(line_words)
-            best = int(p.argmax())
-            if best and p[best] >= NAMES:
-                family = model.families[best]
-                score, template = max((_found(t, line_words), -i) for i, t in enumerate(TEMPLATES[family]))
-                named.add(family)
-                yield k, start, len(line), family, float(p[best]), TEMPLATES[family][-template], score, score >= CONFIRMS
+            single[i] = _classified(model, line_words)
+    kept = {i for i, c in single.items() if c and c[3] >= CONFIRMS} | set(inside)
+    for first, last, (family, p, template, share) in _stretches(model, lines, single, covered | kept):
+        covered.update(range(first, last + 1))
+        a, b = (0, len(run) - 1) if len(run) <= STRETCH else (first, last)  # a short run is a paragraph as a whole
+        yield run[a][0], run[a][1], run[b][1] + len(run[b][2]) - run[a][1], family, p, template, share, share >= CONFIRMS
+    for i, (k, start, line, _) in enumerate(run):
+        named = set()
+        if i not in covered and single.get(i):
+            named.add(single[i][0])
+            yield k, start, len(line), *single[i], single[i][3] >= CONFIRMS
         for family, p, template, share in inside.get(i, ()):
             if family not in named:
                 named.add(family)
                 yield k, start, len(line), family, p, template, share, share >= CONFIRMS
 
 
+def _classified(model: Model, own: list[str]) -> tuple[str, float, str, float] | None:
+    """Family, probability, template and similarity of the words, or None if they are unknown."""
+    p = model.probabilities(own)
+    best = int(p.argmax())
+    if not best or p[best] < NAMES:
+        return None
+    family = model.families[best]
+    score, template = max((_found(t, own), -i) for i, t in enumerate(TEMPLATES[family]))
+    return family, float(p[best]), TEMPLATES[family][-template], score
+
+
+def _stretches(model: Model, lines: list[list[str]], single: dict[int, tuple | None], taken: set[int]) -> list[tuple]:
+    """(first line, last line, classification) of notices in other words than a template's, wrapped over several lines.
+
+    The classifier reads each stretch of two to STRETCH lines that begins and ends with a line of licence words. Its
+    evidence is how much likelier the family is than `unknown`; a stretch counts if that exceeds that of each of its
+    lines alone by LINE_PRICE for each further line, the clearest first.
+    """
+    evidence = lambda p: float(np.log(p[1:].max() + 1e-300) - np.log(p[0] + 1e-300))
+    free = [i for i in single if i not in taken]
+    alone = {i: evidence(model.probabilities(lines[i])) for i in free}
+    found = []
+    for x, i in enumerate(free):
+        for j in free[x + 1 :]:
+            if j - i >= STRETCH or not taken.isdisjoint(range(i, j + 1)):
+                break
+            own = [w for line in lines[i : j + 1] for w in line]
+            e = evidence(model.probabilities(own)) - LINE_PRICE * (j - i)
+            if e > max(alone[k] for k in free if i <= k <= j) and (c := _classified(model, own)):
+                found.append((-e, i, j, c))
+    out, used = [], set()
+    for _, i, j, c in sorted(found, key=lambda f: f[:3]):
+        if used.isdisjoint(range(i, j + 1)):
+            used.update(range(i, j + 1))
+            out.append((i, j, c))
+    return sorted(out, key=lambda f: f[:2])
+
+
 def train(docs: DataFrame, text: str = "text") -> Model:
     """fit() with a bounded sample of the corpus' different lines, those with the smallest hashes of all texts' lines."""
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(x).between(1, 2000))

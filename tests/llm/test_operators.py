@@ -281,6 +281,55 @@ def test_licences_of_misleading_lines_and_order_of_the_sample(spark, docs):
     assert again.index == model.index and np.array_equal(again.weights, model.weights)
 
 
+def test_licences_in_other_words_are_found_wrapped_as_in_a_line(docs):
+    model = licenses.train(docs)
+    notices = {
+        "BSD": "Redistribution and use of the source code / and of compiled binary forms, modified or not, / is permitted so long as these conditions are met:",
+        "Apache-2.0": "This software may be used under the / terms of the licence of the Apache / Software Foundation, in its version / 2.0; the license is at hand.",
+    }
+    filler = "\n".join(["Whbles onin ganing rel tieser"] * 20)
+    for family, notice in notices.items():
+        flat, body = notice.replace(" / ", " "), notice.replace(" / ", "\n")
+        (one,) = licenses.scan_text(model, f"some words\n\n{flat}\n\nother words")
+        (several,) = licenses.scan_text(model, f"some words\n\n{body}\n\nother words")
+        assert one[3] == several[3] == family and abs(one[4] - several[4]) < 1e-9 and one[6:] == several[6:] and several[:3] == (2, 12, len(body))
+        (inside,) = licenses.scan_text(model, f"{filler}\n{body}\n{filler}")
+        assert inside[3] == family and body.startswith((f"{filler}\n{body}\n{filler}")[inside[1] : inside[1] + inside[2]][:20])
+
+
+def test_licence_rows_equal_a_plain_classifier(docs):
+    """Family, probability and similarity of every row, from the weights and templates by plain loops, and that no line is missed."""
+    model = licenses.train(docs)
+    names = {row: f for f, row in model.index.items()}
+
+    def plain(text):
+        own = re.findall(r"[a-z0-9.]*[a-z0-9]", text.lower())
+        have = set(own) | {f"{a} {b}" for a, b in zip(own, own[1:])}
+        z = [model.sharpness * (model.bias[k] + sum(model.weights[row, k] for row in range(len(names)) if names[row] in have)) for k in range(len(model.families))]
+        total = sum(math.exp(v - max(z)) for v in z)
+        k = max(range(len(z)), key=z.__getitem__)
+        pairs = list(zip(own, own[1:]))
+        share = lambda t: (lambda w: sum(p in pairs for p in zip(w, w[1:])) / max(1, len(w) - 1))(re.findall(r"[a-z0-9.]*[a-z0-9]", t.lower()))
+        return model.families[k], math.exp(z[k] - max(z)) / total, max(map(share, licenses.TEMPLATES[model.families[k]])) if k else 0.0
+
+    got = {(r.doc_id, r.start): r for r in licenses.scan(docs, model).collect()}
+    known = set(model.alert)
+    lines = 0
+    for d in docs.collect():
+        at = 0
+        for line in d.text.split("\n"):
+            own = re.findall(r"[a-z0-9.]*[a-z0-9]", line.lower())
+            if known & set(own):
+                family, p, share = plain(line)
+                r = got.pop((d.doc_id, at), None)
+                assert (r is not None) == (family != "unknown" and p >= licenses.NAMES), line
+                if r:
+                    lines += 1
+                    assert r.family == family and abs(r.probability - p) < 1e-9 and abs(r.similarity - share) < 1e-9 and r.confirmed == (share >= licenses.CONFIRMS) and r.length == len(line)
+            at += len(line) + 1
+    assert lines and not got
+
+
 def test_packing(docs, odd):
     from tokenizers import Tokenizer
 
