@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as v
-from ..operators import match, reshape
+from ..operators import match, repair, reshape
 from ..sources import relations, versions
 from ..sources import tables as t
 from ..sources.fixtures import BASE, EXTRA_YEARS, FIXTURES, REPORT, YEARS, needed, raw
@@ -585,6 +585,35 @@ def clean_names(s, d):
     return municipality(s, d).select("municipality_name", v.clean_name("district_kreis").alias("district")).distinct()
 
 
+_DAMAGED = "CASE WHEN c_custkey % 5 = 0 THEN 'Nowh?re' WHEN c_custkey % 5 = 1 THEN replace(n_name, 'A', '?') WHEN c_custkey % 5 = 2 THEN n_name || '?' WHEN c_custkey % 5 = 3 THEN replace(n_name, 'TI', chr(65533) || chr(65533)) ELSE ' ' || n_name END"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN status = 'repaired' THEN hit ELSE clean END AS name, status, candidates FROM (
+  SELECT c_custkey, clean, hit, CASE WHEN clean NOT LIKE '%?%' AND clean NOT LIKE '%' || chr(65533) || '%' THEN 'intact' WHEN fits = 1 THEN 'repaired' WHEN fits > 1 THEN 'ambiguous' ELSE 'unknown' END AS status, CASE WHEN clean NOT LIKE '%?%' AND clean NOT LIKE '%' || chr(65533) || '%' THEN 0 ELSE fits END AS candidates
+  FROM (SELECT c_custkey, clean, CASE WHEN count(*) FILTER (WHERE e) > 0 THEN count(*) FILTER (WHERE e) ELSE count(*) FILTER (WHERE l) END AS fits, CASE WHEN count(*) FILTER (WHERE e) > 0 THEN min(full_name) FILTER (WHERE e) ELSE min(full_name) FILTER (WHERE l) END AS hit
+    FROM (SELECT c_custkey, clean, n.n_name AS full_name, regexp_full_match(n.n_name, translate(clean, '?' || chr(65533), '..')) AS e, regexp_full_match(n.n_name, replace(replace(clean, '?', '.{{0,2}}'), chr(65533), '.{{0,2}}')) AS l
+      FROM (SELECT c_custkey, trim({_DAMAGED}) AS clean FROM customer JOIN nation ON c_nationkey = n_nationkey) AS d CROSS JOIN nation AS n) AS m GROUP BY c_custkey, clean) AS f) AS s""")
+def repair_names(s, d):
+    """Names with lost letters, found again among intact ones, or reported as ambiguous or unknown."""
+    n = table(s, d, "nation")
+    x = table(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.expr(_DAMAGED.replace("chr(65533)", "decode(unhex('EFBFBD'), 'UTF-8')")).alias("damaged"))
+    return repair.repaired_names(x, "damaged", n, "n_name").select("c_custkey", "repair.*")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name || ', Stadt' ELSE c_name END AS name, CASE WHEN c_custkey % 11 = 0 AND c_custkey % 7 <> 0 THEN 'x' ELSE lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') END AS plz, n_name AS district,
+  CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 5000 AS VARCHAR) END AS population, CASE WHEN c_custkey % 7 = 0 THEN 'repaired' WHEN c_custkey % 11 = 0 THEN 'unsuitable: plz' ELSE 'intact' END AS state FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def realign_rows(s, d):
+    """Rows that a separator within a name has shifted are put back; those that can't be are quarantined with a reason."""
+    c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    cut, wrong = F.col("c_custkey") % 7 == 0, F.col("c_custkey") % 11 == 0
+    own = [F.col("c_name"), F.when(wrong & ~cut, "x").otherwise(F.lpad((F.col("c_custkey") % 100_000).cast("string"), 5, "0")), F.col("n_name"), (F.col("c_custkey") % 5000).cast("string")]
+    shifted = [own[0], F.lit(" Stadt"), *own[1:3]]
+    names = ["name", "plz", "district", "population"]
+    rows = c.select("c_custkey", *[F.when(cut, b).otherwise(a).alias(k) for k, a, b in zip(names, own, shifted, strict=True)])
+    good, rest = repair.realigned(rows, {"name": ".+", "plz": "[0-9]{5}", "district": "[^0-9]+_[0-9]+", "population": "[0-9]{1,4}"}, into="state")
+    return good.unionByName(rest.withColumnRenamed("reason", "state"))
+
+
 # ---- audits -------------------------------------------------------------------------------------------------------
 
 _AUDITS = {
