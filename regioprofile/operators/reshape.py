@@ -57,3 +57,17 @@ def z(column: str) -> Column:
 def top1(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """First row of each group."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def extremes(df: DataFrame, key: list[str], columns: list[str], fence: float = 3.0) -> DataFrame:
+    """key, kpi, value, side: values of the columns more than `fence` quartile distances below or above their quartiles.
+
+    Nulls are never extreme; a column without spread has no extremes but what differs from its quartiles. The quartiles are
+    values of the rows, by one aggregation of sketches, exact up to a million rows; a single row of them goes to all tasks.
+    """
+    bounds = df.agg(*[F.percentile_approx(c, [0.25, 0.75], 1_000_000).alias(f"_q{i}") for i, c in enumerate(columns)])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("kpi"), F.col(c).cast("double").alias("value"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(columns)]))
+    x = df.crossJoin(F.broadcast(bounds)).select(*key, rows.alias("r")).select(*key, "r.*").filter("value is not null")
+    low, high = F.col("q")[0], F.col("q")[1]
+    side = F.when(F.col("value") > high + fence * (high - low), "high").when(F.col("value") < low - fence * (high - low), "low")
+    return x.withColumn("side", side).filter("side is not null").drop("q")

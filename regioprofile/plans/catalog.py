@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as v
-from ..operators import match, repair, reshape
+from ..operators import match, moments, repair, reshape
 from ..sources import relations, versions
 from ..sources import tables as t
 from ..sources.fixtures import BASE, EXTRA_YEARS, FIXTURES, REPORT, YEARS, needed, raw
@@ -319,6 +319,17 @@ def merge_increments(s, d):
     return versions.current(s, root).drop("o_orderdate")
 
 
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS jahr, " + _r("(o_totalprice - avg(o_totalprice) OVER w) / stddev_samp(o_totalprice) OVER w", 6) + " AS z FROM orders WINDOW w AS (PARTITION BY year(o_orderdate))")
+def scores_by_increments(s, d):
+    """Scores of all orders by year, from moments that three increments were merged into."""
+    o = table(s, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("jahr"), "o_totalprice")
+    root = t.shared_path(s, "scores")
+    for part in range(3):
+        moments.keep_scores(o.filter(F.col("o_orderkey") % 3 == part), f"{root}/rows", f"{root}/moments", ["jahr"], ["o_totalprice"])
+    x = moments.scored(versions.current(s, f"{root}/rows"), versions.current(s, f"{root}/moments"), ["jahr"], ["o_totalprice"])
+    return x.select("o_orderkey", "jahr", v.round_to("o_totalprice_z", 6).alias("z"))
+
+
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey % 2, o_custkey, o_orderkey) AS nr FROM orders")
 def surrogate_key_lasting(s, d):
     """Numbers of a second load, whose new rows lie between those of the first: old ones keep theirs."""
@@ -705,3 +716,17 @@ def audit_relations(s, d):
 def audit_fan_out(s, d):
     """What the join of municipalities with their dimension multiplies."""
     return relations.fan_out(star.intact(municipality(s, d)), dim_gemeinde(s, d), [("municipality_name", "gemeinde_name"), ("postal_code", "postal_code")])
+
+
+_RATED = ("wohnraumdruck_index", "baulandpreis_pro_kopf_eur", "freiflaeche_pro_einwohner_qm", "verstaedterung_index")
+
+
+@query(
+    "SELECT kreis_id, jahr, kpi, value, CASE WHEN value > high THEN 'high' ELSE 'low' END AS side FROM (SELECT *, q3 + 3 * (q3 - q1) AS high, q1 - 3 * (q3 - q1) AS low FROM ("
+    + " UNION ALL ".join(f"SELECT kreis_id, jahr, '{c}' AS kpi, {c} AS value, quantile_disc({c}, 0.25) OVER () AS q1, quantile_disc({c}, 0.75) OVER () AS q3 FROM fact_standortprofil_kpi WHERE {c} IS NOT NULL" for c in _RATED)
+    + ") AS u) AS f WHERE value > high OR value < low",
+    "fact_standortprofil_kpi",
+)
+def extreme_kpis(s, d):
+    """Which district has an extreme value of which figure in which year: beyond three quartile distances."""
+    return reshape.extremes(fact_standortprofil_kpi(s, d), ["kreis_id", "jahr"], list(_RATED))

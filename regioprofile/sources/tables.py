@@ -196,3 +196,90 @@ def newer_rows(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Source rows above the target's largest key; all where the target is empty."""
     mark = target.agg(F.max(key).alias("_mark"))
     return source.crossJoin(F.broadcast(mark)).filter(F.col("_mark").isNull() | (F.col(key) > F.col("_mark"))).drop("_mark")
+
+
+def create_year_tables(spark: SparkSession, database: str = "default", by: str = "jahr") -> list[str]:
+    """Creates the fact tables that have years where they are missing, in a folder for each year."""
+    made = [name for name, schema in CONTRACTS.items() if name.startswith("fact_") and by in schema.names]
+    for name in made:
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sorted(CONTRACTS[name], key=lambda f: f.name == by))
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet PARTITIONED BY ({by})")
+    return made
+
+
+def load_years(df: DataFrame, table: str, by: str = "jahr") -> int:
+    """Replaces the years of a catalogue table that df has rows of; other years' files stay. Returns the row count.
+
+    Columns are matched by name; non-finite numbers become NULL; without rows nothing is replaced. Rows are balanced over
+    tasks by year, so that a small year is one file and a large one several. df may not read the table itself.
+    """
+    from ..functions.values import sanitize
+
+    spark, mode = df.sparkSession, "spark.sql.sources.partitionOverwriteMode"
+    seen = Observation()
+    x = sanitize(df.select(*spark.table(table).columns)).hint("rebalance", F.col(by)).observe(seen, F.count(F.lit(1)).alias("n"))
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")  # insertInto() takes it from the session alone
+    try:
+        x.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+    return seen.get["n"]
+
+
+def truncate_table(spark: SparkSession, table: str) -> None:
+    """Empties a catalogue table, which keeps its columns."""
+    spark.sql(f"TRUNCATE TABLE {table}")
+
+
+def split_predicates(spark: SparkSession, options: dict[str, str], key: str, parts: int, bins: int = 200, rounds: int = 3) -> list[str]:
+    """Conditions on a numeric key that cut a database table in about `parts` pieces of equal size, however its values lie.
+
+    The database counts rows by bins of equal width; bins with more than a quarter of a piece are counted again in finer
+    bins, up to `rounds` times, and neighbouring bins are put together until a piece is full. Each row, also one of null
+    key, meets exactly one condition. Rows of a single key stay together. At most parts * 8 * bins counts reach the driver.
+    """
+
+    def asked(sql: str) -> list:
+        given = {k: v for k, v in options.items() if k != "dbtable"}
+        return spark.read.format("jdbc").options(**given, query=sql).load().collect()
+
+    table = options["dbtable"]
+    low, high, total = asked(f"SELECT MIN({key}) AS lo, MAX({key}) AS hi, COUNT({key}) AS n FROM {table}")[0]
+    if not total or parts <= 1 or low == high:
+        return ["1 = 1"]
+    whole = isinstance(low, int)
+    fine = total / parts / 4
+
+    def counted(a, b, last: bool, rest: int) -> list[tuple]:
+        """(lower bound, rows) of bins of [a, b), or [a, b] for the last one."""
+        width = max(1, -(-(b - a + 1) // bins)) if whole else (float(b) - float(a)) / bins
+        if width <= 0:
+            return [(a, None)]
+        place = f"({key} - ({a!r})) / {width!r}" if whole else f"CAST(FLOOR(({key} - ({a!r})) / {width!r}) AS BIGINT)"
+        rows = asked(f"SELECT b, COUNT(*) AS n FROM (SELECT {place} AS b FROM {table} WHERE {key} >= {a!r} AND {key} {'<=' if last else '<'} {b!r}) q GROUP BY b")
+        out = []
+        for k, n in sorted((int(r[0]), int(r[1])) for r in rows):
+            begin, end = a + k * width, a + (k + 1) * width
+            if n > fine and rest and not (whole and width == 1):
+                out += counted(begin, min(end, b), last and end > b, rest - 1)
+            else:
+                out.append((begin, n))
+        return out
+
+    if not whole:
+        low, high = float(low), float(high)
+    cuts, size, done = [], 0, 0
+    for begin, n in counted(low, high, True, rounds):
+        if size and size + n > (total - done) / max(1, parts - len(cuts)) + fine:
+            cuts.append(begin)
+            done, size = done + size, 0
+        size += n
+    bounds = [f"{key} < {cuts[0]!r} OR {key} IS NULL", *[f"{key} >= {a!r} AND {key} < {b!r}" for a, b in zip(cuts, cuts[1:])], f"{key} >= {cuts[-1]!r}"] if cuts else ["1 = 1"]
+    return bounds
+
+
+def read_split(spark: SparkSession, options: dict[str, str], key: str, parts: int) -> DataFrame:
+    """A database table in about `parts` partitions of equal size, each read over its own connection."""
+    rest = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
+    return spark.read.jdbc(options["url"], options["dbtable"], predicates=split_predicates(spark, options, key, parts), properties=rest)

@@ -113,17 +113,17 @@ def _written(df: DataFrame, root: str, key: list[str], buckets: int) -> tuple[di
     return {b: [f"{folder}/{free}={b}"] for b in rows}, rows
 
 
-def load(df: DataFrame, root: str, key: list[str] | None = None, buckets: int = 1, deleted: str | None = None) -> int:
+def load(df: DataFrame, root: str, key: list[str] | None = None, buckets: int = 1, deleted: str | None = None, note: dict | None = None) -> int:
     """Publishes the rows as the table's next version, whatever it held; df may read the table. Returns the row count.
 
     Non-finite numbers become NULL. key and buckets are for tables that merge() is used on: rows are dealt over the buckets
-    by their key. deleted: a boolean column that marks rows as deleted. An empty df gives a table without rows; a load that
+    by their key. deleted: a boolean column that marks rows as deleted. note: more that the manifest keeps. An empty df gives a table without rows; a load that
     fails leaves the version before as it is.
     """
     spark = df.sparkSession
     after = max(versions(spark, root), default=0)
     folders, rows = _written(sanitize(df), root, key or [], buckets if key else 1)
-    _publish(spark, root, after, {"schema": df.schema.jsonValue(), "key": key or [], "buckets": buckets if key else 1, "folders": folders, "rows": rows, "deleted": deleted})
+    _publish(spark, root, after, {"schema": df.schema.jsonValue(), "key": key or [], "buckets": buckets if key else 1, "folders": folders, "rows": rows, "deleted": deleted, "note": note or {}})
     return sum(rows.values())
 
 
