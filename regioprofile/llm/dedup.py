@@ -27,6 +27,8 @@ SKETCHES, TOGETHER = 20, 2
 #: A bucket of at most so many texts, some of which are still apart, is compared pair by pair; the texts of larger ones
 #: are compared where they share one of their rarest shingles, which loses no similar pair (see _rarest).
 BUCKET = 32
+#: A bucket's members are dealt over so many salts by their class, 64 at most, as a long has a bit for each.
+SALTS = 64
 #: Characters of text that are hashed together.
 PIECE_CHARS = 250_000
 #: Counters of shingles, by fingerprint modulo this number, 16 bits each. They order the shingles and show those that occur
@@ -228,14 +230,39 @@ def _near(n: str, m: str) -> Column:
     return F.least(n, m) >= SIMILAR * F.greatest(n, m) - 1e-6
 
 
+def _salt(h: str = "h") -> Column:
+    return F.pmod(F.col(h), F.lit(SALTS)).cast("int")
+
+
+def _salts_in(mask: str) -> Column:
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(mask, i) == 1))
+
+
+def _by_bucket(keys: DataFrame, *sums: Column) -> DataFrame:
+    """key, salts and sums over each bucket, made in each task before the shuffle; salts has a bit for each of its members' salts."""
+    return keys.groupBy("key").agg(*sums, F.expr(f"bit_or(shiftleft(1L, cast(pmod(h, {SALTS}) as int)))").alias("salts"))
+
+
+def _with_bucket(keys: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The rows whose bucket is in (key, salts, ...) with its other columns; salts stays.
+
+    Members are dealt by key and salt, and their bucket's row is sent to the salts that occur, so that no task has a
+    whole bucket, however many texts share its key.
+    """
+    sent = buckets.withColumn("salt", _salts_in("salts"))
+    return keys.withColumn("salt", _salt()).join(sent, ["key", "salt"]).drop("salt")
+
+
 def _led(keys: DataFrame) -> DataFrame:
     """(lead, b): each bucket's members b with two leaders, the smallest class and one that the bucket's key chooses.
 
     Only members of another component (c) than the leader's and of a length that allows a link.
     """
-    lead = keys.groupBy("key").agg(F.min(F.struct("h", "n", "c")).alias("l1"), F.min(F.struct(F.xxhash64("h", "key").alias("x"), "h", "n", "c")).alias("l2"), F.count("*").alias("m")).filter("m > 1")
-    lead = lead.select("key", F.explode(F.array("l1", F.struct("l2.h", "l2.n", "l2.c"))).alias("l"))
-    x = keys.join(lead, "key").filter((F.col("c") != F.col("l.c")) & _near("n", "l.n"))
+    second = F.min(F.struct(F.xxhash64("h", "key").alias("x"), "h", "n", "c")).alias("l2")
+    lead = _by_bucket(keys, F.min(F.struct("h", "n", "c")).alias("l1"), second, F.count("*").alias("m")).filter("m > 1")
+    lead = lead.select("key", "salts", F.array("l1", F.struct("l2.h", "l2.n", "l2.c")).alias("leads"))
+    x = _with_bucket(keys.select("key", "h", "n", "c"), lead).withColumn("l", F.explode("leads"))
+    x = x.filter((F.col("c") != F.col("l.c")) & _near("n", "l.n"))
     return x.select(F.col("l.h").alias("lead"), F.col("h").alias("b"))
 
 
@@ -247,15 +274,19 @@ def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _apart(keys: DataFrame, most: int | None = None) -> DataFrame:
-    """key of the buckets with members of different components; `few` tells whether they have `most` members or fewer."""
-    x = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low <> high")
-    return x.select("key", (F.col("m") <= most).alias("few")) if most else x.select("key")
+    """The rows of buckets with members of different components, with `few` if a bucket has `most` members or fewer, and salts."""
+    x = _by_bucket(keys, F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low <> high")
+    few = [(F.col("m") <= most).alias("few")] if most else []
+    return _with_bucket(keys.drop("salts"), x.select("key", "salts", *few))
 
 
 def _pairs_apart(keys: DataFrame) -> DataFrame:
-    """(lead, b): members of a bucket that are in different components and of lengths that allow a link."""
-    other = keys.select("key", F.col("c").alias("c2"), F.col("h").alias("b"), F.col("n").alias("n2"))
-    found = keys.join(other, "key").filter((F.col("c") < F.col("c2")) & _near("n", "n2"))
+    """(lead, b): members of a bucket that are in different components and of lengths that allow a link.
+
+    One side is dealt over the bucket's salts, to which the other is sent; that makes fewer rows than the pairs are.
+    """
+    other = keys.select("key", _salts_in("salts").alias("salt"), F.col("c").alias("c2"), F.col("h").alias("b"), F.col("n").alias("n2"))
+    found = keys.withColumn("salt", _salt()).join(other, ["key", "salt"]).filter((F.col("c") < F.col("c2")) & _near("n", "n2"))
     return found.select(F.col("h").alias("lead"), "b")
 
 
@@ -272,7 +303,9 @@ def _counted(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int32())], ["slot", "n"])
 
-    made = texts.select("text").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
+    # as many tasks as run side by side, so that what they send does not grow with the texts
+    side_by_side = texts.select("text").coalesce(max(1, texts.sparkSession.sparkContext.defaultParallelism))
+    made = side_by_side.mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
     got = made.select("slot", F.least("n", F.lit(0xFFFF)).cast("int").alias("n")).toArrow()
     sums = np.zeros(COUNTERS, np.uint16)
     sums[got["slot"].to_numpy()] = got["n"].to_numpy()
@@ -317,8 +350,8 @@ def _links(made: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFram
     """(a, b): links between classes of equal shingle sequences; see near_duplicates() for the steps."""
     classes = written(_classes(made), "classes")
     bands = classes.select("h", "n", F.posexplode("sketch").alias("band", "s")).select("h", "n", F.xxhash64("band", "s").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    keys = written(bands.join(shared, "key").withColumn("c", F.col("h")), "buckets")
+    shared = _by_bucket(bands, F.count("*").alias("m")).filter("m > 1").drop("m")
+    keys = written(_with_bucket(bands, shared).select("h", "n", "key", F.col("h").alias("c")), "buckets")
 
     # the texts of classes that have any partner; of equal texts only the row that its class names is read
     needed = classes.join(keys.select("h").distinct(), "h", "left_semi").select("doc_id", "t", "h")
@@ -331,26 +364,26 @@ def _links(made: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFram
     links = written(_verified(pairs, texts), "links")
     # buckets with members that are still apart, with both leaders
     keys = _with_component(keys, links)
-    keys = written(keys.join(_apart(keys), "key"), "apart")
+    keys = written(_apart(keys), "apart")
     more = written(_pairs(_led(keys)).join(pairs, ["lo", "hi"], "left_anti"), "pairs")
     links = written(links.unionByName(_verified(more, texts)), "links")
     pairs = pairs.unionByName(more)
     # those that are apart yet
     keys = _with_component(keys, links)
-    keys = written(keys.join(_apart(keys, BUCKET), "key"), "apart")
+    keys = written(_apart(keys, BUCKET), "apart")
     more = _pairs_apart(keys.filter("few"))
     crowd = keys.filter("not few").select("h", "c").distinct()
     crowded = not crowd.isEmpty()
     if crowded:
         rare = _rarest(written(texts.join(crowd, "h"), "crowd"))
         rare = written(rare, "rare")
-        rare = written(rare.join(_apart(rare), "key"), "rare")
+        rare = written(_apart(rare), "rare")
         more = more.unionByName(_led(rare))
     more = written(_pairs(more).join(pairs, ["lo", "hi"], "left_anti"), "pairs")
     links = written(links.unionByName(_verified(more, texts)), "links")
     if crowded:
         rare = written(_with_component(rare, links), "rare")
-        rest = _pairs(_pairs_apart(rare.join(_apart(rare), "key")))
+        rest = _pairs(_pairs_apart(_apart(rare)))
         rest = written(rest.join(pairs.unionByName(more), ["lo", "hi"], "left_anti"), "pairs")
         links = written(links.unionByName(_verified(rest, texts)), "links")
     return links

@@ -464,6 +464,29 @@ def test_copies_without_an_id_go_from_tables(spark):
     assert len(kept & {"1", "2", "3", "4"}) == 1 and kept - {"1", "2", "3", "4"} == {"5", "7", "8", "9", "10"}
 
 
+def test_members_of_a_hot_bucket_are_dealt_over_salts(spark):
+    """Leaders, verdicts and pairs of a bucket with a third of all rows are those of plain joins, and no task has it whole."""
+    n = 900
+    rows = [(7 if i % 3 == 0 else i // 2, i * 2654435761 % 2**61 - 2**60, 50 + i % 40, i % 5) for i in range(n)]
+    keys = spark.createDataFrame(rows, "key long, h long, n int, c long")
+    members = {}
+    for k, h, size, c in rows:
+        members.setdefault(k, []).append((h, size, c))
+    apart = {k: m for k, m in members.items() if len({c for *_, c in m}) > 1}
+    got = dedup._apart(keys, dedup.BUCKET)
+    assert sorted((r.key, r.h, r.few) for r in got.collect()) == sorted((k, m[0], len(v) <= dedup.BUCKET) for k, v in apart.items() for m in v)
+    near = lambda a, b: min(a, b) >= dedup.SIMILAR * max(a, b) - 1e-6
+    pairs = {(a[0], b[0]) for v in apart.values() for a in v for b in v if a[2] < b[2] and near(a[1], b[1])}
+    found = [(r.lead, r.b) for r in dedup._pairs_apart(got).collect()]
+    assert len(found) == len(set(found)) and set(found) == pairs
+    led = {(r.lead, r.b) for r in dedup._led(keys).collect()}
+    first = {(min(v)[0], m[0]) for v in members.values() for m in v if m[2] != min(v)[2] and near(m[1], min(v)[1])}
+    assert first <= led and led <= {(a[0], b[0]) for v in members.values() for a in v for b in v if a[2] != b[2]}
+    dealt = got.filter("key = 7").groupBy(dedup._salt()).count().collect()
+    assert len(dealt) > dedup.SALTS // 2 and max(r[1] for r in dealt) < 40
+    assert dedup._apart(keys.limit(0)).count() == 0 and dedup._led(keys.limit(0)).count() == 0
+
+
 def test_buckets_with_many_groups_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BUCKET", 2)
     rng = random.Random(3)
