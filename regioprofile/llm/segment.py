@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .plainwords import in_slices
 from .wordhash import fingerprints, in_pieces, mix
 
 #: Fixed value: stands for a space in pieces.
@@ -330,7 +331,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _pieces(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, "text")):  # few texts are Python objects at a time
             keys = batch.column(2).to_numpy().view(np.uint64)
             for first, texts in in_pieces(batch.column(1).to_pylist(), PIECE_CHARS):
                 who, sample, ids, chance, inclusion = zip(*sample_texts(held, [t or "" for t in texts], keys[first : first + len(texts)], paths), strict=True)
