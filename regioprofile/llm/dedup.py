@@ -303,9 +303,9 @@ def _counted(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int32())], ["slot", "n"])
 
-    # as many tasks as run side by side, so that what they send does not grow with the texts
-    side_by_side = texts.select("text").coalesce(max(1, texts.sparkSession.sparkContext.defaultParallelism))
-    made = side_by_side.mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
+    # at most four tasks for each core, so that what they send does not grow with the texts and a lost one is soon made again
+    bounded = texts.select("text").coalesce(4 * max(1, texts.sparkSession.sparkContext.defaultParallelism))
+    made = bounded.mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
     got = made.select("slot", F.least("n", F.lit(0xFFFF)).cast("int").alias("n")).toArrow()
     sums = np.zeros(COUNTERS, np.uint16)
     sums[got["slot"].to_numpy()] = got["n"].to_numpy()
